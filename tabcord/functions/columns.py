@@ -60,6 +60,11 @@ def percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double")) * F.lit(100.0)
 
 
+def mean(column: Column) -> Column:
+    """Aggregate: the mean as a double; exact sums stay exact up to the division."""
+    return F.try_divide(F.sum(column).cast("double"), F.count(column).cast("double"))
+
+
 def share(condition: Column, count: Column) -> Column:
     """Percentage of counted rows that meet a condition."""
     return percent(F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)), count)

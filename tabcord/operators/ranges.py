@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import aggregate_to_long, as_number, clean, is_numeric, share
+from ..functions.columns import aggregate_to_long, as_number, clean, is_numeric, mean, share
 
 # Wording of the result sentences.
 BAND_DETAIL = "%.1f%% outside [−{0}, +{0}]"
@@ -89,7 +89,7 @@ def exceed_share(
         return F.struct(
             F.lit(name).alias("column"),
             n.alias("n"),
-            F.avg(v).cast("double").alias("mean"),
+            mean(v).alias("mean"),
             share(v > ceiling, n).alias("pct_above"),
         )
 

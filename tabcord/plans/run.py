@@ -65,7 +65,7 @@ def collect_findings(tables: TableSet, path: str | None = None) -> tuple[DataFra
             target = f"{path}/check={i}" if path else None
             parts.append(materialise(check(tables), f"check{i}", target))
         except Exception as e:
-            log.exception("%s failed", label)
+            log.warning("%s failed: %s", label, e)
             part = _degraded(spark, label, e, tables)
             warnings.append(part.first()["warning"])
             parts.append(part)
@@ -117,7 +117,7 @@ def guarded_run(
         names = list(found)
         tables = TableSet.classify(found, notes)
     except Exception as e:
-        log.exception("set-up failed")
+        log.error("set-up failed: %s", e)
         known = isinstance(e, LookupError)
         text = str(e) if known else f"Fatal setup error: {e}"
         summary = text if known else "Fatal setup error before checks could run."
