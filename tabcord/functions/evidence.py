@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from .columns import clean, col
 
 
+def json_record(columns: Sequence[Column]) -> Column:
+    """One JSON object of the given columns, nulls included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def row_json(df: DataFrame, columns: Sequence[str]) -> Column:
     """One JSON object per row; NaN and null both appear as ``null``."""
-    return F.to_json(
-        F.struct(*[clean(df, c).alias(c) for c in columns]), {"ignoreNullFields": "false"}
-    )
+    return json_record([clean(df, c).alias(c) for c in columns])
 
 
 def top_records(df: DataFrame, order: Sequence[str], limit: int) -> DataFrame:

@@ -8,14 +8,41 @@ answers both directions at once, so no join is needed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean, col, percent, require_same_kind
 
-RESERVED = {"n_left", "n_right", "measure", "right_measure"}
+RESERVED = {"n_left", "n_right", "measure", "right_measure", "ref_table"}
+
+
+def _census(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return rows.groupBy(*[col(c) for c in by]).agg(
+        F.sum("n_left").alias("n_left"),
+        F.sum("n_right").alias("n_right"),
+        total("measure"),
+        total("right_measure"),
+    )
+
+
+def _tags(left: bool, measure: Column, right_measure: Column) -> list[Column]:
+    return [
+        F.lit(int(left)).cast("long").alias("n_left"),
+        F.lit(int(not left)).cast("long").alias("n_right"),
+        measure.alias("measure"),
+        right_measure.alias("right_measure"),
+    ]
+
+
+def _check_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> None:
+    if not keys:
+        raise ValueError("a key census needs at least one key column")
+    if RESERVED & set(keys):
+        raise ValueError(f"key columns may not be named {sorted(RESERVED & set(keys))}")
+    require_same_kind(left, right, keys)
 
 
 def key_census(
@@ -26,36 +53,66 @@ def key_census(
     right_measure: str | None = None,
 ) -> DataFrame:
     """Per key combination: rows on each side and the measure summed on each side."""
-    if not keys:
-        raise ValueError("a key census needs at least one key column")
-    if RESERVED & set(keys):
-        raise ValueError(f"key columns may not be named {sorted(RESERVED & set(keys))}")
-    require_same_kind(left, right, keys)
-
-    left_value = clean(left, measure) if measure else F.lit(0)
-    right_value = clean(right, right_measure) if right_measure else F.lit(0)
+    _check_keys(left, right, keys)
     left_type = left.schema[measure].dataType if measure else "int"
     right_type = right.schema[right_measure].dataType if right_measure else "int"
+    left_value = clean(left, measure) if measure else F.lit(0)
+    right_value = clean(right, right_measure) if right_measure else F.lit(0)
+    l = left.select(
+        *[clean(left, k).alias(k) for k in keys],
+        *_tags(True, left_value, F.lit(None).cast(right_type)),
+    )
+    r = right.select(
+        *[clean(right, k).alias(k) for k in keys],
+        *_tags(False, F.lit(None).cast(left_type), right_value),
+    )
+    return _census(l.unionByName(r), keys)
 
-    def tagged(df: DataFrame, n_left: int, lv: Column, rv: Column) -> DataFrame:
-        return df.select(
-            *[clean(df, k).alias(k) for k in keys],
-            F.lit(n_left).cast("long").alias("n_left"),
-            F.lit(1 - n_left).cast("long").alias("n_right"),
-            lv.cast(left_type).alias("measure"),
-            rv.cast(right_type).alias("right_measure"),
-        )
 
-    both = tagged(left, 1, left_value, F.lit(None)).unionByName(
-        tagged(right, 0, F.lit(None), right_value)
-    )
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    return both.groupBy(*[col(k) for k in keys]).agg(
-        F.sum("n_left").alias("n_left"),
-        F.sum("n_right").alias("n_right"),
-        total("measure"),
-        total("right_measure"),
+def key_census_many(
+    left: DataFrame,
+    refs: Mapping[str, DataFrame],
+    keys: Mapping[str, Sequence[str]],
+    measure: str | None = None,
+    right_measure: tuple[str, str] | None = None,
+) -> DataFrame:
+    """The census of one fact against many reference tables, in one pass over the fact.
+
+    Each fact row is counted once per reference table, under that table's key;
+    key columns of other tables are null.  One scan, one grouping and one
+    shuffle serve all tables.  ``right_measure`` is (table, column).
+    """
+    for name, ref in refs.items():
+        _check_keys(left, ref, keys[name])
+    columns = list(dict.fromkeys(k for name in refs for k in keys[name]))
+    owner, own = right_measure or (None, None)
+    left_type = left.schema[measure].dataType if measure else "int"
+    right_type = refs[owner].schema[own].dataType if owner else "int"
+
+    types = {c: left.schema[c].dataType for c in columns}
+    users = {c: [name for name in refs if c in keys[name]] for c in columns}
+    each = F.explode(F.array(*[F.lit(name) for name in refs])).alias("ref_table")
+    value = clean(left, measure) if measure else F.lit(0)
+    rows = left.select(
+        each, *[clean(left, c).alias(c) for c in columns], value.alias("__value")
+    ).select(
+        "ref_table",
+        *[F.when(F.col("ref_table").isin(users[c]), col(c)).alias(c) for c in columns],
+        *_tags(True, F.col("__value"), F.lit(None).cast(right_type)),
     )
+    for name, ref in refs.items():
+        right_value = clean(ref, own) if name == owner else F.lit(0)
+        rows = rows.unionByName(
+            ref.select(
+                F.lit(name).alias("ref_table"),
+                *[
+                    (clean(ref, c) if c in keys[name] else F.lit(None)).cast(types[c]).alias(c)
+                    for c in columns
+                ],
+                *_tags(False, F.lit(None).cast(left_type), right_value.cast(right_type)),
+            )
+        )
+    return _census(rows, ["ref_table", *columns])
 
 
 def only_left() -> Column:
@@ -106,7 +163,7 @@ def unmatched_top(
     return rows.orderBy(col(measure).desc(), *[col(c) for c in keys]).limit(k)
 
 
-def integrity_counts(census: DataFrame) -> list[Column]:
+def integrity_counts() -> list[Column]:
     """Aggregates over a census: both directions, the affected measure, the status."""
     n_unmatched = F.count_if(only_left())
     n_orphaned = F.count_if(only_right())
@@ -137,7 +194,7 @@ def integrity_summary(
 ) -> DataFrame:
     """One row for both directions: FAIL on unmatched keys, else WARNING on orphans."""
     census = key_census(left, right, keys, measure, right_measure)
-    return census.agg(*integrity_counts(census))
+    return census.agg(*integrity_counts())
 
 
 def unmatched_summary(

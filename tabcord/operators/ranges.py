@@ -209,26 +209,32 @@ def sequence_check(
     )
     # the i-th hole lies between the i-th hole start and the (i+1)-th run start
     in_order = Window.partitionBy("key", "held").orderBy("pos")
+    nth_edge = lambda held, n: F.max(
+        F.when((F.col("held") == F.lit(held)) & (F.col("nth") == n), F.col("pos"))
+    )
+    nth_hole = lambda n: F.when(
+        F.col(f"run{n}").isNotNull(),
+        F.sequence(
+            F.col(f"hole{n}"),
+            F.least(F.col(f"run{n}") - 1, F.col(f"hole{n}") + (shown - 1)),
+        ),
+    )
+    holes = range(1, shown + 1)
     edges = (
         marks.where(F.col("held") != F.col("follows"))
         .select("key", "held", "pos", F.row_number().over(in_order).alias("nth"))
         .where(F.col("nth") <= shown + 1)
-        .groupBy("key", (F.col("nth") - F.when(F.col("held"), 1).otherwise(0)).alias("hole"))
+        .groupBy(F.col("key").alias("gap_key"))
         .agg(
-            F.max(F.when(~F.col("held"), F.col("pos"))).alias("from"),
-            F.max(F.when(F.col("held"), F.col("pos"))).alias("upto"),
+            *[nth_edge(False, n).alias(f"hole{n}") for n in holes],
+            *[nth_edge(True, n + 1).alias(f"run{n}") for n in holes],
         )
-        .where("from is not null and upto is not null")
-        .select(
-            "key",
-            "hole",
-            F.sequence("from", F.least(F.col("upto") - 1, F.col("from") + shown - 1)).alias("run"),
-        )
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("hole", "run"))).alias("holes"))
+        .where("run1 is not null")
         .select(
-            F.col("key").alias("gap_key"),
-            F.slice(F.flatten(F.transform("holes", lambda h: h["run"])), 1, shown).alias("missing"),
+            "gap_key",
+            F.slice(
+                F.flatten(F.array_compact(F.array(*[nth_hole(n) for n in holes]))), 1, shown
+            ).alias("missing"),
         )
     )
     listed = F.coalesce(F.array_join("missing", ", "), F.lit(""))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, local_rows, percent
-from ..functions.evidence import collect_top, row_json
+from ..functions.evidence import collect_top, json_record, row_json
 from ..operators import coverage, integrity, ranges, uniqueness
 from ..sources.tables import N_ROWS, TableSet
 from . import roles
@@ -119,33 +119,32 @@ def referential_integrity(tables: TableSet) -> DataFrame:
         else None
     )
     total = fact.agg(F.sum(measure)).scalar() if measure else F.lit(None)
-    censuses = []
+    census = integrity.key_census_many(
+        fact,
+        {t: tables.refs[t] for t in keys},
+        keys,
+        measure,
+        (rp.FORECAST, ref_measure) if ref_measure else None,
+    )
+    record = F.lit(None).cast("string")
     for table, key in keys.items():
-        own = ref_measure if table == rp.FORECAST else None
-        c = integrity.key_census(fact, tables.refs[table], key, measure, own)
-        shown = [F.col("measure").alias(rp.MEASURE)] if measure else []
+        forward, reverse = [col(k) for k in key], [col(k) for k in key]
         if measure:
             pct = F.bround(percent(F.col("measure"), total), 1)
-            shown.append(pct.alias(f"{rp.MEASURE}_%"))
-        forward = F.to_json(F.struct(*[col(k) for k in key], *shown), {"ignoreNullFields": "false"})
-        shown = [F.col("right_measure").alias(own)] if own else []
-        reverse = F.to_json(F.struct(*[col(k) for k in key], *shown), {"ignoreNullFields": "false"})
-        censuses.append(
-            c.select(
-                F.lit(table).alias("table"),
-                "n_left",
-                "n_right",
-                "measure",
-                F.col("right_measure").cast("double").alias("right_measure"),
-                F.when(integrity.only_left(), forward).otherwise(reverse).alias("record"),
-            )
-        )
-    census = union(censuses)
-    counts = census.groupBy("table").agg(*integrity.integrity_counts(census))
-    loose = census.where(integrity.only_left() | integrity.only_right()).withColumn(
-        "forward", integrity.only_left()
+            forward += [F.col("measure").alias(rp.MEASURE), pct.alias(f"{rp.MEASURE}_%")]
+        if table == rp.FORECAST and ref_measure:
+            reverse.append(F.col("right_measure").alias(ref_measure))
+        shown = F.when(integrity.only_left(), json_record(forward)).otherwise(json_record(reverse))
+        record = F.when(F.col("ref_table") == table, shown).otherwise(record)
+    counts = census.groupBy(F.col("ref_table").alias("table")).agg(*integrity.integrity_counts())
+    loose = census.where(integrity.only_left() | integrity.only_right()).select(
+        F.col("ref_table").alias("table"),
+        integrity.only_left().alias("forward"),
+        "measure",
+        "right_measure",
+        record.alias("record"),
     )
-    order = [F.col("measure").desc(), F.col("record").asc()]
+    order = [F.col("measure").desc(), F.col("right_measure").desc(), F.col("record").asc()]
     evidence = collect_top(loose, ["table", "forward"], order, F.col("record"), rp.EVIDENCE_ROWS)
     forward_top = evidence.where("forward").select(
         "table", F.slice("evidence", 1, rp.TOP_ROWS).alias("forward_top")

@@ -49,17 +49,23 @@ def load_tables(
     spark: SparkSession,
     names: Sequence[str] = rp.KNOWN_TABLES,
     directory: str | None = None,
+    schemas: Mapping[str, T.StructType | str] | None = None,
 ) -> tuple[dict[str, DataFrame], list[str]]:
     """Open every named table that exists, as Parquet in a folder or from the catalogue.
 
     A missing table is skipped; one that cannot be opened is skipped with a
-    note.  Nothing is read yet.
+    note.  Nothing is read yet; with declared schemas not even file footers.
     """
     found, notes = {}, []
     for name in names:
+        reader = spark.read
+        if schemas and name in schemas:
+            reader = reader.schema(schemas[name])
         try:
-            source = f"{directory}/{name}.parquet" if directory else name
-            found[name] = spark.read.parquet(source) if directory else spark.table(source)
+            if directory:
+                found[name] = reader.parquet(f"{directory}/{name}.parquet")
+            else:
+                found[name] = spark.table(name)
         except AnalysisException as e:
             if not _missing(e):
                 log.warning("cannot open %s: %s", name, e)

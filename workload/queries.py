@@ -20,6 +20,7 @@ from tabcord.sources import tables as src
 
 from .bindings import (
     MONEY,
+    SCHEMAS,
     TABLES,
     buyers,
     large_parts,
@@ -52,7 +53,7 @@ def as_double(df: DataFrame, *names: str) -> DataFrame:
 @query
 def load_tables(spark, sf):
     """Open all known tables, skip the missing one, count rows."""
-    found, _ = src.load_tables(spark, [*TABLES, "returns"], sf)
+    found, _ = src.load_tables(spark, [*TABLES, "returns"], sf, SCHEMAS)
     counts = [
         df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
         for n, df in found.items()
@@ -475,11 +476,14 @@ def mixed_aggregate(spark, sf):
     """Sums, means, a kept value and derived ratios in one group-by."""
     items = read(spark, sf, "lineitem")
     qty = F.col("l_quantity").cast(MONEY)
+    # one exact number per (order, part, line): equal numbers hold equal kept values
+    wide = F.col("l_orderkey").cast("decimal(38,0)")
+    order = wide * 10**15 + F.col("l_partkey") * 10 + F.col("l_linenumber")
     t = items.select(
         F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("Segment"),
         F.col("l_linestatus").alias("Status"),
         F.col("l_linenumber").cast("long").alias("DevM"),
-        F.concat_ws("-", F.col("l_shipdate").cast("string"), "l_orderkey", "l_partkey").alias("pos"),
+        order.alias("pos"),
         money("l_extendedprice").alias("Ult_Premium"),
         money("l_extendedprice").alias("Incd_OL_Attr"),
         qty.alias("Ult_OL_Attr_IncdCL"),
