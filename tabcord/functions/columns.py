@@ -17,7 +17,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # Fixed value: the texts a cell may hold and still be read as a number.
 NUMERIC_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
-BLANK_TEXT = r"^(?U)\s*$"
+# Fixed value: the characters that count as whitespace around a text.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 class KeyTypeClash(TypeError):
@@ -43,7 +48,7 @@ def is_numeric(dtype: T.DataType) -> bool:
 
 def is_blank(column: Column) -> Column:
     """Null, empty, or only whitespace of any kind."""
-    return column.isNull() | column.cast("string").rlike(BLANK_TEXT)
+    return column.isNull() | (F.btrim(column.cast("string"), F.lit(WHITESPACE)) == "")
 
 
 def as_number(column: Column) -> Column:

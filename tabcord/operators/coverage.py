@@ -40,34 +40,52 @@ def unmapped_share(
 
 
 def unmapped_breakdown(
-    df: DataFrame, column: str, ids: Sequence[str], measure: str
+    df: DataFrame, columns: Sequence[str], ids: Sequence[str], measure: str
 ) -> DataFrame:
-    """Unmapped measure per identifier combination, and its share of the whole measure.
+    """Per column: unmapped measure of each identifier combination, and its share.
 
-    The share is relative to mapped plus unmapped measure.  Both come from one
-    grouping of the table; the total re-reads that grouping's shuffle output.
+    The share is relative to mapped plus unmapped measure.  One grouping of the
+    table serves all columns; the total re-reads that grouping's shuffle output.
     """
     value = clean(df, measure)
-    blank = is_blank(clean(df, column))
+    numbers = range(len(columns))
+    blank = [is_blank(clean(df, c)) for c in columns]
     groups = (
         df.select(
             *[clean(df, c).alias(c) for c in ids],
             value.alias("_all"),
-            F.when(blank, value).alias("_unmapped"),
-            F.when(blank, 1).otherwise(0).alias("_blank"),
+            *[F.when(blank[i], value).alias(f"_m{i}") for i in numbers],
+            *[F.when(blank[i], 1).alias(f"_n{i}") for i in numbers],
         )
         .groupBy(*[col(c) for c in ids])
         .agg(
             F.sum("_all").alias("_all"),
-            F.coalesce(F.sum("_unmapped"), F.lit(0)).alias("_unmapped"),
-            F.sum("_blank").alias("_blank"),
+            *[F.sum(f"_m{i}").alias(f"_m{i}") for i in numbers],
+            *[F.count(f"_n{i}").alias(f"_n{i}") for i in numbers],
         )
     )
     # always true; both readers then use the same columns and share one shuffle
-    groups = groups.where("_blank >= 0 or greatest(_all, _unmapped) is null")
+    sums = ["_all", *[f"_m{i}" for i in numbers]]
+    counts = F.greatest(F.lit(0), *[F.col(f"_n{i}") for i in numbers])
+    groups = groups.where((counts >= 0) | F.greatest(*sums).isNull())
     total = groups.agg(F.sum("_all").cast("double")).scalar()
-    return groups.where("_blank > 0").select(
-        *[col(c) for c in ids],
-        F.col("_unmapped").alias(measure),
-        F.bround(percent(F.col("_unmapped"), total), 1).alias("pct"),
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.col(f"_m{i}").alias("_unmapped"),
+                F.col(f"_n{i}").alias("_blank"),
+            )
+            for i, c in enumerate(columns)
+        ]
+    )
+    return (
+        groups.select(*[col(c) for c in ids], F.inline(each))
+        .where("_blank > 0")
+        .select(
+            "column",
+            *[col(c) for c in ids],
+            F.coalesce("_unmapped", F.lit(0)).alias(measure),
+            F.bround(percent(F.coalesce("_unmapped", F.lit(0)), total), 1).alias("pct"),
+        )
     )

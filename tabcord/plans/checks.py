@@ -1,7 +1,7 @@
 """The consistency checks: operators bound to the rule pack, as findings.
 
-Each function returns one lazy findings DataFrame that covers all tables, so a
-check is one Spark job however many reference tables there are.
+Each function returns one findings DataFrame that covers all tables, so the
+work is shared between the reference tables of a run.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, local_rows, percent
+from ..functions.durable import materialise
 from ..functions.evidence import collect_top, json_record, row_json
 from ..operators import coverage, integrity, ranges, uniqueness
 from ..sources.tables import N_ROWS, TableSet
@@ -136,13 +137,23 @@ def referential_integrity(tables: TableSet) -> DataFrame:
             reverse.append(F.col("right_measure").alias(ref_measure))
         shown = F.when(integrity.only_left(), json_record(forward)).otherwise(json_record(reverse))
         record = F.when(F.col("ref_table") == table, shown).otherwise(record)
-    counts = census.groupBy(F.col("ref_table").alias("table")).agg(*integrity.integrity_counts())
-    loose = census.where(integrity.only_left() | integrity.only_right()).select(
-        F.col("ref_table").alias("table"),
-        integrity.only_left().alias("forward"),
-        "measure",
-        "right_measure",
-        record.alias("record"),
+    # stored once: every summary below reads these keys only, not the census again
+    loose = materialise(
+        census.where(integrity.only_left() | integrity.only_right()).select(
+            F.col("ref_table").alias("table"),
+            integrity.only_left().alias("forward"),
+            "measure",
+            "right_measure",
+            record.alias("record"),
+        ),
+        "loose_keys",
+    )
+    forward, reverse = F.col("forward"), ~F.col("forward")
+    counts = loose.groupBy("table").agg(
+        F.count_if(forward).alias("n_unmatched"),
+        F.sum(F.when(forward, F.col("measure"))).alias("unmatched_measure"),
+        F.count_if(reverse).alias("n_orphaned"),
+        F.sum(F.when(reverse, F.col("right_measure"))).alias("orphaned_measure"),
     )
     order = [F.col("measure").desc(), F.col("right_measure").desc(), F.col("record").asc()]
     evidence = collect_top(loose, ["table", "forward"], order, F.col("record"), rp.EVIDENCE_ROWS)
@@ -168,7 +179,7 @@ def referential_integrity(tables: TableSet) -> DataFrame:
         status=_pass_fail(n_fwd),
         n_bad=n_fwd,
         measure_bad=F.col("unmatched_measure") if measure else F.lit(None),
-        pct=F.col("unmatched_pct") if measure else F.lit(None),
+        pct=percent(F.col("unmatched_measure"), total) if measure else F.lit(None),
         detail=F.when(
             n_fwd > 0, F.format_string("Forward RI: %d unmatched combination(s)", n_fwd)
         ).otherwise(ALL_PASSED),
@@ -492,19 +503,11 @@ def key_coverage(tables: TableSet) -> DataFrame:
     n_rows = N_ROWS if N_ROWS in fact.columns else None
     rows = coverage.unmapped_share(fact, columns, rp.MEASURE, n_rows)
     if ids:
-        groups = []
-        for c in columns:
-            b = coverage.unmapped_breakdown(fact, c, ids, rp.MEASURE)
-            named = b.withColumnRenamed("pct", f"{rp.MEASURE}_%")
-            groups.append(
-                named.select(
-                    F.lit(c).alias("column"),
-                    F.col(rp.MEASURE).alias("m"),
-                    row_json(named, named.columns).alias("record"),
-                )
-            )
-        order = [F.col("m").desc(), F.col("record").asc()]
-        top = collect_top(union(groups), ["column"], order, F.col("record"), rp.EVIDENCE_ROWS)
+        groups = coverage.unmapped_breakdown(fact, columns, ids, rp.MEASURE)
+        named = groups.withColumnRenamed("pct", f"{rp.MEASURE}_%")
+        shown = [c for c in named.columns if c != "column"]
+        order = [col(rp.MEASURE).desc(), *[col(c).asc() for c in ids]]
+        top = collect_top(named, ["column"], order, row_json(named, shown), rp.EVIDENCE_ROWS)
         rows = rows.join(top, "column", "left")
     else:
         rows = rows.withColumn("evidence", F.lit(None).cast("array<string>"))

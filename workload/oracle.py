@@ -635,11 +635,15 @@ ORACLE: dict[str, str] = {
               {numeric_row("kind", "event_type", "events", "95")})""",
     "coverage_share": f"{coverage_row('Key_Prio')} UNION ALL {coverage_row('Key_Region')}",
     "coverage_breakdown": f"""
-        WITH {COVERED}
-        SELECT seg, reg, sum(price)::DOUBLE AS price,
+        WITH {COVERED},
+          blank AS (
+            SELECT 'Key_Prio' AS column_name, seg, reg, price FROM covered WHERE Key_Prio IS NULL
+            UNION ALL
+            SELECT 'Key_Region', seg, reg, price FROM covered WHERE Key_Region = '')
+        SELECT column_name, seg, reg, sum(price)::DOUBLE AS price,
                round_even(sum(price)::DOUBLE / (SELECT sum(price)::DOUBLE FROM covered) * 100, 1)
                  ::DOUBLE AS pct
-        FROM covered WHERE Key_Prio IS NULL GROUP BY seg, reg""",
+        FROM blank GROUP BY ALL""",
     "weighted_ratio": """
         SELECT l_returnflag AS Segment,
                round(sum(l_discount::DECIMAL(4,2) * l_extendedprice::DECIMAL(18,2))::DOUBLE

@@ -442,8 +442,11 @@ def coverage_share(spark, sf):
 
 @query
 def coverage_breakdown(spark, sf):
-    rows = coverage.unmapped_breakdown(_covered(spark, sf), "Key_Prio", ["seg", "reg"], "price")
-    return as_double(rows, "price")
+    """Both unmapped keys by segment and region, against the whole measure."""
+    rows = coverage.unmapped_breakdown(
+        _covered(spark, sf), ["Key_Prio", "Key_Region"], ["seg", "reg"], "price"
+    )
+    return as_double(rows, "price").withColumnRenamed("column", "column_name")
 
 
 # --- aggregation -----------------------------------------------------------------
