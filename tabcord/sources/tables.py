@@ -41,8 +41,11 @@ class TableSet:
         return [rp.FACT, *([rp.MAPPING] if self.mapping is not None else []), *self.refs]
 
 
-def _missing(error: AnalysisException) -> bool:
-    return error.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
+def _missing(error: Exception) -> bool:
+    return isinstance(error, AnalysisException) and error.getCondition() in (
+        "PATH_NOT_FOUND",
+        "TABLE_OR_VIEW_NOT_FOUND",
+    )
 
 
 def load_tables(
@@ -66,10 +69,11 @@ def load_tables(
                 found[name] = reader.parquet(f"{directory}/{name}.parquet")
             else:
                 found[name] = spark.table(name)
-        except AnalysisException as e:
+        except Exception as e:  # one unreadable table must not stop the others
             if not _missing(e):
-                log.warning("cannot open %s: %s", name, e)
-                notes.append(f"{name} could not be opened: {e.getCondition()}")
+                reason = str(e).splitlines()[0]
+                log.warning("cannot open %s: %s", name, reason)
+                notes.append(f"{name} could not be opened: {reason}")
     return found, notes
 
 

@@ -12,8 +12,10 @@ def spark():
     s = (
         SparkSession.builder.master("local[4]")
         .appName("tests")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.default.parallelism", "4")
+        .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.default.parallelism", "2")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
@@ -28,3 +30,9 @@ def spark():
 def frame(spark):
     """Build a DataFrame from a DDL schema and rows."""
     return lambda ddl, *rows: spark.createDataFrame(list(rows), ddl)
+
+
+@pytest.fixture(scope="session")
+def dicts():
+    """Collect a small result as a list of dictionaries."""
+    return lambda df: [r.asDict(recursive=True) for r in df.collect()]

@@ -1,0 +1,114 @@
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from tabcord.functions.columns import KeyTypeClash
+from tabcord.operators import compare as cp
+from tabcord.operators import shaping as sh
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+LEFT = [("a", 1, "x"), ("a", 2, "y"), (None, 3, "z"), ("c", 4, "w")]
+RIGHT = [("a", 10, "r"), ("b", 20, "s"), (None, 30, "t"), (None, 31, "u")]
+
+
+def brute_force(how):
+    out = []
+    for l, r in itertools.product(LEFT, RIGHT):
+        if l[0] == r[0]:
+            out.append((*l, r[1], r[2]))
+    if how in ("left", "outer"):
+        out += [(*l, None, None) for l in LEFT if l[0] not in {r[0] for r in RIGHT}]
+    if how in ("right", "outer"):
+        out += [(r[0], None, None, r[1], r[2]) for r in RIGHT if r[0] not in {l[0] for l in LEFT}]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("split", [False, True])
+@pytest.mark.parametrize("how", sh.HOWS)
+def test_natural_join_matches_null_keys(frame, how, split):
+    l = frame("k string, v int, n string", *LEFT)
+    r = frame("k string, w int, n string", *RIGHT)
+    got = sh.natural_join(l, r, how, ["k"], "_r", split)
+    assert got.columns == ["k", "v", "n", "w", "n_r"]
+    assert rows(got) == brute_force(how)
+
+
+def test_natural_join_uses_all_shared_columns(frame):
+    l = frame("a string, b int, v int", ("x", 1, 5), ("x", 2, 6))
+    r = frame("b int, a string, w int", (1, "x", 7))
+    assert rows(sh.natural_join(l, r)) == [("x", 1, 5, 7), ("x", 2, 6, None)]
+    assert sh.natural_join(l, frame("z int", (1,))) is l
+
+
+def test_natural_join_rejects_bad_requests(frame):
+    l = frame("k string, n int", ("a", 1))
+    with pytest.raises(ValueError):
+        sh.natural_join(l, l, "left", ["k"])
+    with pytest.raises(ValueError):
+        sh.natural_join(l, l, "cross")
+    with pytest.raises(KeyTypeClash):
+        sh.natural_join(l, frame("k int", (1,)))
+
+
+def test_placeholders(frame, dicts):
+    used = frame("Key_A string, Sub_Key string, v int", ("Dummy", "x", 1), ("a", None, 2), ("a", "dummy", 3))
+    dummy = frame("Key_A string", ("Not in Use",), ("Not in use",))
+    empty = frame("Key_A string")
+    plain = frame("v int", (1,))
+    assert [sh.dataset_is_in_use(d) for d in (used, dummy, empty, plain)] == [True, False, False, True]
+    assert rows(sh.without_placeholders(used)) == [("a", None, 2)]
+    got = dicts(sh.placeholder_report({"used": used, "dummy": dummy, "empty": empty}))
+    assert [(g["table"], g["n_rows"], g["n_placeholder"], g["in_use"]) for g in got] == [
+        ("used", 3, 2, True),
+        ("dummy", 2, 2, False),
+        ("empty", 0, 0, False),
+    ]
+
+
+def test_empty_tables_get_a_placeholder_row(frame):
+    empty = frame("Key_A string, AY int, Comments string, v double")
+    full = frame("Key_A string", ("a",))
+    got = sh.fill_empty_tables({"empty": empty, "full": full})
+    assert rows(got["empty"]) == [("Not in Use", None, "", None)]
+    assert got["empty"].dtypes == empty.dtypes and got["full"] is full
+
+
+def test_periods(frame, dicts):
+    df = frame("p string", ("2018-2022",), ("2018-2022 ex 2020",), ("2018 - 2020 ex 2019-2020",), ("2021",), ("2022-2020",))
+    got = [(r["include_years"], r["exclude_years"]) for r in dicts(sh.expand_periods(df, "p"))]
+    assert got == [
+        ([2018, 2019, 2020, 2021, 2022], []),
+        ([2018, 2019, 2020, 2021, 2022], [2020]),
+        ([2018, 2019, 2020], [2019, 2020]),
+        ([2021], []),
+        ([], []),
+    ]
+    years = dicts(sh.period_years(df.where("p = '2018-2022 ex 2020'"), "p"))
+    assert [(y["year"], y["excluded"]) for y in years] == [(y, y == 2020) for y in range(2018, 2023)]
+    suffix = dicts(df.select(sh.period_suffix(F.col("p")).alias("s")))
+    assert suffix[1]["s"] == "2018_2022ex2020"
+
+
+def test_display_columns(frame):
+    df = frame("a int, b int, c int")
+    assert sh.display_columns(df, ["b"], ["c", "z"]).columns == ["b", "c"]
+    assert sh.display_columns(df, ["z"]).columns == ["a", "b", "c"]
+
+
+def test_diff_is_a_bag_comparison(frame, dicts):
+    a = frame("k string, v double", ("x", 0.1 + 0.2), ("x", 0.3), ("y", float("nan")), ("z", 1.0))
+    b = frame("v double, k string", (0.3, "x"), (None, "y"), (1.0, "z"), (1.0, "z"))
+    got = sorted(dicts(cp.diff(a, b)), key=str)
+    assert got == [
+        {"side": "left", "k": "x", "v": 0.3, "n": 1},
+        {"side": "right", "k": "z", "v": 1.0, "n": 1},
+    ]
+    assert dicts(cp.diff_summary(a, b)) == [{"n_left_only": 1, "n_right_only": 1, "equal": False}]
+    assert dicts(cp.diff_summary(a, a.repartition(3)))[0]["equal"]
+    with pytest.raises(ValueError):
+        cp.diff(a, a.drop("v"))
