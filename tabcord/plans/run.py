@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +42,9 @@ class Run:
             getattr(self, name).write.mode("overwrite").format(fmt).save(f"{path}/{name}")
 
 
-def _degraded(
-    spark: SparkSession, label: str, error: Exception, tables: TableSet
-) -> DataFrame:
+def _degraded(spark: SparkSession, label: str, warning: str, tables: TableSet) -> DataFrame:
     """Safe SKIP findings in place of a check that could not run."""
     section, names, _ = CHECKS[label]
-    warning = f"{label} degraded: {str(error).splitlines()[0] if str(error) else repr(error)}"
     base = {"section": section, "status": "SKIP", "detail": "Check failed", "warning": warning}
     rows = [{**base, "check": c, "table": t} for c in names for t in sorted(tables.refs)]
     if section == "check6":
@@ -58,18 +57,27 @@ def collect_findings(tables: TableSet, path: str | None = None) -> tuple[DataFra
 
     A check is lazy until its findings are written, so the guard encloses the
     write.  Findings are bounded by the schemas, with evidence of 20 rows each.
+    The checks are independent Spark jobs, submitted together so that small
+    stages of one fill the executors another leaves idle.
     """
-    spark, parts, warnings = tables.fact.sparkSession, [], []
-    for i, (label, (_, _, check)) in enumerate(CHECKS.items()):
+    spark = tables.fact.sparkSession
+
+    def guarded(number: int, label: str) -> tuple[DataFrame, str | None]:
         try:
-            target = f"{path}/check={i}" if path else None
-            parts.append(materialise(check(tables), f"check{i}", target))
+            target = f"{path}/check={number}" if path else None
+            return materialise(CHECKS[label][2](tables), f"check{number}", target), None
         except Exception as e:
             log.warning("%s failed: %s", label, e)
-            part = _degraded(spark, label, e, tables)
-            warnings.append(part.first()["warning"])
-            parts.append(part)
-    return union(parts), warnings
+            text = f"{label} degraded: {str(e).splitlines()[0] if str(e) else repr(e)}"
+            return _degraded(spark, label, text, tables), text
+
+    with ThreadPoolExecutor(len(CHECKS)) as pool:
+        jobs = [
+            pool.submit(inheritable_thread_target(spark)(guarded), i, label)
+            for i, label in enumerate(CHECKS)
+        ]
+        done = [job.result() for job in jobs]
+    return union([part for part, _ in done]), [text for _, text in done if text]
 
 
 def run_checks(tables: TableSet, aggregate: bool = True, path: str | None = None) -> Run:

@@ -654,8 +654,7 @@ ORACLE: dict[str, str] = {
         WITH g AS (
           SELECT CASE WHEN l_returnflag = 'N' THEN 'Unknown' ELSE l_returnflag END AS Segment,
                  l_linestatus AS Status,
-                 arg_min(l_linenumber::BIGINT,
-                   l_orderkey::HUGEINT * 1000000000000000 + l_partkey * 10 + l_linenumber) AS DevM,
+                 arg_min(l_linenumber::BIGINT, l_orderkey * 8 + l_linenumber) AS DevM,
                  sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS price,
                  sum(l_quantity::DECIMAL(18,2))::DOUBLE AS qty,
                  sum(l_tax::DECIMAL(4,2) * l_extendedprice::DECIMAL(18,2))::DOUBLE AS taxed,

@@ -479,9 +479,7 @@ def mixed_aggregate(spark, sf):
     """Sums, means, a kept value and derived ratios in one group-by."""
     items = read(spark, sf, "lineitem")
     qty = F.col("l_quantity").cast(MONEY)
-    # one exact number per (order, part, line): equal numbers hold equal kept values
-    wide = F.col("l_orderkey").cast("decimal(38,0)")
-    order = wide * 10**15 + F.col("l_partkey") * 10 + F.col("l_linenumber")
+    order = F.col("l_orderkey") * 8 + F.col("l_linenumber")  # equal numbers keep equal values
     t = items.select(
         F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("Segment"),
         F.col("l_linestatus").alias("Status"),
