@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import local_rows
 from ..functions.durable import materialise
-from ..sources.tables import TableSet, preaggregated
+from ..sources.tables import MissingFact, TableSet, preaggregated
 from . import rulepack as rp
 from .checks import CHECKS, union
 from .findings import DEGRADED, FINDING, run_rollup, section_rollup, stated
@@ -80,9 +80,14 @@ def collect_findings(tables: TableSet, path: str | None = None) -> tuple[DataFra
     return union([part for part, _ in done]), [text for _, text in done if text]
 
 
-def run_checks(tables: TableSet, aggregate: bool = True, path: str | None = None) -> Run:
+def run_checks(
+    tables: TableSet,
+    aggregate: bool = True,
+    path: str | None = None,
+    started: datetime | None = None,
+) -> Run:
     """All checks, with the fact table read once into a stored aggregate first."""
-    spark, started = tables.fact.sparkSession, datetime.now(UTC)
+    spark, started = tables.fact.sparkSession, started or datetime.now(UTC)
     if aggregate:
         tables = preaggregated(tables)
     findings, warnings = collect_findings(tables, path)
@@ -115,7 +120,8 @@ def _metadata_row(status, summary, started, names, warnings, errors) -> tuple:
 def guarded_run(
     spark: SparkSession,
     load: Callable[[], tuple[Mapping[str, DataFrame], list[str]]],
-    **options,
+    aggregate: bool = True,
+    path: str | None = None,
 ) -> Run:
     """Load and run; a failure before the checks yields a FAIL run without sections."""
     started = datetime.now(UTC)
@@ -124,16 +130,16 @@ def guarded_run(
         found, notes = load()
         names = list(found)
         tables = TableSet.classify(found, notes)
+        if aggregate:
+            tables = preaggregated(tables)
     except Exception as e:
         log.error("set-up failed: %s", e)
-        known = isinstance(e, LookupError)
-        text = str(e) if known else f"Fatal setup error: {e}"
-        summary = text if known else "Fatal setup error before checks could run."
+        if isinstance(e, MissingFact):
+            text = summary = str(e)
+        else:
+            text, summary = f"Fatal setup error: {e}", "Fatal setup error before checks could run."
         row = _metadata_row("FAIL", summary, started, names, [], [text])
         empty = local_rows(spark, [], FINDING)
-        return Run(
-            empty,
-            section_rollup(empty).where(F.lit(False)),
-            local_rows(spark, [row], METADATA),
-        )
-    return run_checks(tables, **options)
+        none = section_rollup(empty).where(F.lit(False))
+        return Run(empty, none, local_rows(spark, [row], METADATA))
+    return run_checks(tables, aggregate=False, path=path, started=started)

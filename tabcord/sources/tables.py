@@ -21,6 +21,10 @@ log = logging.getLogger(__name__)
 N_ROWS = "n_rows"
 
 
+class MissingFact(LookupError):
+    """There is no fact table, so nothing can be checked."""
+
+
 @dataclass(frozen=True)
 class TableSet:
     """The tables of a run by role; everything but fact and mapping is a reference."""
@@ -33,7 +37,7 @@ class TableSet:
     @classmethod
     def classify(cls, tables: Mapping[str, DataFrame], notes: Iterable[str] = ()) -> TableSet:
         if rp.FACT not in tables:
-            raise LookupError(f"{rp.FACT} not found — cannot run checks.")
+            raise MissingFact(f"{rp.FACT} not found — cannot run checks.")
         refs = {n: df for n, df in tables.items() if n not in (rp.FACT, rp.MAPPING)}
         return cls(tables[rp.FACT], tables.get(rp.MAPPING), refs, tuple(notes))
 

@@ -426,8 +426,7 @@ PERIODS = """
 """
 
 COMPARED = """
-  a AS (SELECT l_orderkey, l_linenumber, l_tax::DECIMAL(4,2)::DOUBLE AS l_tax, l_returnflag
-        FROM lineitem),
+  a AS (SELECT l_orderkey, l_linenumber, l_tax, l_returnflag FROM lineitem),
   b AS (SELECT l_orderkey, l_linenumber,
                CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 0.5 ELSE l_tax END AS l_tax,
                l_returnflag FROM a),

@@ -22,7 +22,6 @@ from .bindings import (
     MONEY,
     SCHEMAS,
     TABLES,
-    buyers,
     large_parts,
     money,
     order_facts,
@@ -192,8 +191,8 @@ def domain_membership(spark, sf):
     size = F.floor(F.col("bal") / 500).cast("string").alias("balance_class")
     cust = read(spark, sf, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 9000")
     supp = read(spark, sf, "supplier").where("s_acctbal > 5000")
-    ref = cust.select(F.col("c_nationkey").cast("string").alias("nation"), F.col("c_acctbal").alias("bal"))
-    fact = supp.select(F.col("s_nationkey").cast("string").alias("nation"), F.col("s_acctbal").alias("bal"))
+    ref = cust.selectExpr("cast(c_nationkey as string) as nation", "c_acctbal as bal")
+    fact = supp.selectExpr("cast(s_nationkey as string) as nation", "s_acctbal as bal")
     rows = integrity.domain_violations(
         ref.select("nation", size), fact.select("nation", size), ["nation", "balance_class"]
     )
@@ -260,15 +259,9 @@ def dataset_compare_summary(spark, sf):
 
 
 def _compared(spark, sf):
-    a = read(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.col("l_tax").cast("decimal(4,2)").alias("l_tax"), "l_returnflag"
-    )
-    changed = F.when(
-        (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7), F.lit(0.5).cast("decimal(4,2)")
-    ).otherwise(F.col("l_tax"))
-    b = a.withColumn("l_tax", changed)
-    double = F.col("l_tax").cast("double")
-    return a.withColumn("l_tax", double), b.withColumn("l_tax", double)
+    a = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", "l_returnflag")
+    returned = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
+    return a, a.withColumn("l_tax", F.when(returned, 0.5).otherwise(F.col("l_tax")))
 
 
 # --- uniqueness and dependencies -----------------------------------------------
