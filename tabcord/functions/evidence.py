@@ -38,13 +38,14 @@ def collect_top(
     """At most ``limit`` records per group as one array column ``evidence``.
 
     The rank filter becomes a map-side group limit, so a group of any size
-    sends at most ``limit`` rows per task through the shuffle.
+    sends at most ``limit`` rows per task through the shuffle; records are
+    built from the rows that are left.
     """
-    w = Window.partitionBy(*[col(c) for c in by]).orderBy(*order)
-    kept = df.select(
-        *[col(c) for c in by], record.alias("_record"), F.row_number().over(w).alias("_rank")
-    ).where(F.col("_rank") <= limit)
+    groups = [col(c) for c in by]
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    kept = df.withColumn("_rank", rank).where(F.col("_rank") <= limit)
+    kept = kept.select(*groups, "_rank", record.alias("_record"))
     ranked = F.sort_array(F.collect_list(F.struct("_rank", "_record")))
-    return kept.groupBy(*[col(c) for c in by]).agg(
+    return kept.groupBy(*groups).agg(
         F.transform(ranked, lambda x: x["_record"]).alias("evidence")
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clean, col, percent, require_same_kind
 
-RESERVED = {"n_left", "n_right", "measure", "right_measure", "ref_table"}
+RESERVED = {"n_left", "n_right", "measure", "right_measure", "ref_table", "forward"}
 
 
 def _census(rows: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -138,25 +138,29 @@ def referential_integrity(tables: TableSet) -> DataFrame:
         shown = F.when(integrity.only_left(), json_record(forward)).otherwise(json_record(reverse))
         record = F.when(F.col("ref_table") == table, shown).otherwise(record)
     # stored once: every summary below reads these keys only, not the census again
+    columns = list(dict.fromkeys(k for key in keys.values() for k in key))
     loose = materialise(
         census.where(integrity.only_left() | integrity.only_right()).select(
-            F.col("ref_table").alias("table"),
-            integrity.only_left().alias("forward"),
+            "ref_table",
+            "n_left",
+            "n_right",
             "measure",
             "right_measure",
-            record.alias("record"),
+            *[col(c) for c in columns],
         ),
         "loose_keys",
     )
-    forward, reverse = F.col("forward"), ~F.col("forward")
-    counts = loose.groupBy("table").agg(
-        F.count_if(forward).alias("n_unmatched"),
-        F.sum(F.when(forward, F.col("measure"))).alias("unmatched_measure"),
-        F.count_if(reverse).alias("n_orphaned"),
-        F.sum(F.when(reverse, F.col("right_measure"))).alias("orphaned_measure"),
+    one_way = loose.withColumn("forward", integrity.only_left())
+    counts = loose.groupBy(F.col("ref_table").alias("table")).agg(
+        F.count_if(integrity.only_left()).alias("n_unmatched"),
+        F.sum(F.when(integrity.only_left(), F.col("measure"))).alias("unmatched_measure"),
+        F.count_if(integrity.only_right()).alias("n_orphaned"),
+        F.sum(F.when(integrity.only_right(), F.col("right_measure"))).alias("orphaned_measure"),
     )
-    order = [F.col("measure").desc(), F.col("right_measure").desc(), F.col("record").asc()]
-    evidence = collect_top(loose, ["table", "forward"], order, F.col("record"), rp.EVIDENCE_ROWS)
+    order = [F.col("measure").desc(), F.col("right_measure").desc(), *[col(c) for c in columns]]
+    evidence = collect_top(
+        one_way, ["ref_table", "forward"], order, record, rp.EVIDENCE_ROWS
+    ).withColumnRenamed("ref_table", "table")
     forward_top = evidence.where("forward").select(
         "table", F.slice("evidence", 1, rp.TOP_ROWS).alias("forward_top")
     )
