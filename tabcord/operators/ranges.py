@@ -128,8 +128,11 @@ def yyyymm_check(df: DataFrame, column: str, shown: int = 5) -> DataFrame:
     FAIL on any invalid value and on more than one distinct value; SKIP when
     the column holds no value at all.
     """
+    value = clean(df, column)
+    if not is_numeric(df.schema[column].dataType):
+        value = value.cast("string")
     values = (
-        df.select(clean(df, column).alias("value"))
+        df.select(value.alias("value"))
         .where(F.col("value").isNotNull())
         .groupBy("value")
         .agg(F.lit(1).alias("one"))

@@ -71,6 +71,12 @@ def test_months(frame, dicts, ddl, values, status, invalid):
     assert (got["status"], got["n_invalid"]) == (status, invalid)
 
 
+def test_a_date_is_no_month(frame, dicts):
+    df = frame("m string", ("2026-04-01",)).selectExpr("cast(m as date) as m")
+    got = dicts(rg.yyyymm_check(df, "m"))[0]
+    assert (got["status"], got["n_invalid"], got["sample"]) == ("FAIL", 1, "2026-04-01")
+
+
 def test_month_wording(frame, dicts):
     got = dicts(rg.yyyymm_check(frame("m int", (202604,), (202613,)), "m"))[0]
     assert got["detail"] == "1 value(s) not in valid YYYYMM format: [202604, 202613]"

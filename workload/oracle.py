@@ -531,9 +531,8 @@ ORACLE: dict[str, str] = {
         SELECT o_orderkey, o.custkey, status, balance, status_cust
         FROM o LEFT JOIN c ON o.custkey IS NOT DISTINCT FROM c.custkey""",
     "natural_join_outer": """
-        WITH e AS (SELECT user_id + 100 AS custkey, count(*) AS n_events FROM events GROUP BY 1),
-             c AS (SELECT c_custkey AS custkey, c_name FROM customer
-                   WHERE c_name <> 'Customer#000000120')
+        WITH e AS (SELECT user_id * 20 AS custkey, count(*) AS n_events FROM events GROUP BY 1),
+             c AS (SELECT c_custkey AS custkey, c_name FROM customer)
         SELECT coalesce(e.custkey, c.custkey) AS custkey, n_events, c_name
         FROM e FULL JOIN c ON e.custkey = c.custkey""",
     "dataset_compare": f"""

@@ -237,11 +237,10 @@ def natural_join_outer(spark, sf):
     """Events per user against customers, keeping both sides, safe under hot keys."""
     events = (
         read(spark, sf, "events")
-        .groupBy((F.col("user_id") + 100).alias("custkey"))
+        .groupBy((F.col("user_id") * 20).alias("custkey"))
         .agg(F.count(F.lit(1)).alias("n_events"))
     )
     customers = read(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), "c_name")
-    customers = customers.where(F.col("c_name") != "Customer#000000120")
     return shaping.natural_join(events, customers, "outer", split_hot_keys=True)
 
 
