@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabcord.functions.durable import materialise, new_path
@@ -19,9 +19,9 @@ from tabcord.plans import roles, run
 from tabcord.sources import tables as src
 
 from .bindings import (
-    MONEY,
     SCHEMAS,
     TABLES,
+    cents,
     large_parts,
     money,
     order_facts,
@@ -46,6 +46,11 @@ def as_double(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("double") for n in names})
 
 
+def units(name: str) -> Column:
+    """Cents as an amount."""
+    return F.col(name) / F.lit(100.0)
+
+
 # --- sources -----------------------------------------------------------------
 
 
@@ -87,7 +92,7 @@ def csv_tables(spark, sf):
 def preaggregate(spark, sf):
     """Group the fact by the agreed keys, sum the measure."""
     keys = ["seg", "nat", "brand", "ptype"]
-    return as_double(src.preaggregate(sales(spark, sf), keys, "price"), "price")
+    return src.preaggregate(sales(spark, sf), keys, "price").withColumn("price", units("price"))
 
 
 @query
@@ -158,7 +163,7 @@ def reverse_ri_measure(spark, sf):
 def ri_status(spark, sf):
     """Both directions for three reference tables, one row each."""
     items, orders = read(spark, sf, "lineitem"), read(spark, sf, "orders")
-    price = money("l_extendedprice").alias("price")
+    price = cents("l_extendedprice").alias("price")
     cases = {
         "parts_by_type": (part_sales(spark, sf), large_parts(spark, sf), BRAND_TYPE),
         "orders": (
@@ -172,11 +177,12 @@ def ri_status(spark, sf):
             ["k"],
         ),
     }
+    amount = F.col("unmatched_measure").cast("double")
     parts = [
         integrity.integrity_summary(fact, ref, keys, "price").select(
             F.lit(name).alias("table_name"),
             "n_unmatched",
-            F.col("unmatched_measure").cast("double").alias("unmatched_measure"),
+            (amount if name == "parts_by_type" else amount / 100).alias("unmatched_measure"),
             "n_orphaned",
             "status",
         )
@@ -448,8 +454,8 @@ def _ratio_items(spark, sf):
     return read(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("Segment"),
         F.col("l_orderkey"),
-        F.col("l_discount").cast("decimal(4,2)").alias("ULR_Attr"),
-        money("l_extendedprice").alias("Ult_Premium"),
+        F.col("l_discount").alias("ULR_Attr"),
+        cents("l_extendedprice").alias("Ult_Premium"),
     )
 
 
@@ -461,8 +467,8 @@ def weighted_ratio(spark, sf):
     out = aggregate.mixed_aggregate(items, plan)
     return out.select(
         "Segment",
-        F.round(F.col("ULR_Attr").cast("double"), 9).alias("ULR_Attr"),
-        F.col("Ult_Premium").cast("double").alias("Ult_Premium"),
+        F.round("ULR_Attr", 9).alias("ULR_Attr"),
+        units("Ult_Premium").alias("Ult_Premium"),
     )
 
 
@@ -470,30 +476,31 @@ def weighted_ratio(spark, sf):
 def mixed_aggregate(spark, sf):
     """Sums, means, a kept value and derived ratios in one group-by."""
     items = read(spark, sf, "lineitem")
-    qty = F.col("l_quantity").cast(MONEY)
     order = F.col("l_orderkey") * 8 + F.col("l_linenumber")  # equal numbers keep equal values
+    price, quantity = cents("l_extendedprice"), cents("l_quantity")
     t = items.select(
         F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("Segment"),
         F.col("l_linestatus").alias("Status"),
         F.col("l_linenumber").cast("long").alias("DevM"),
         order.alias("pos"),
-        money("l_extendedprice").alias("Ult_Premium"),
-        money("l_extendedprice").alias("Incd_OL_Attr"),
-        qty.alias("Ult_OL_Attr_IncdCL"),
-        (qty * 0).cast(MONEY).alias("Ult_OL_Large_IncdCL"),
-        qty.alias("Incd_OL_Large"),
-        F.col("l_tax").cast("decimal(4,2)").alias("OLFactor_Premium"),
-        F.col("l_tax").cast("decimal(4,2)").alias("OLFactor_PY_Premium"),
-        F.col("l_discount").cast("decimal(4,2)").alias("DevPct_Attr"),
+        price.alias("Ult_Premium"),
+        price.alias("Incd_OL_Attr"),
+        quantity.alias("Ult_OL_Attr_IncdCL"),
+        (quantity * 0).alias("Ult_OL_Large_IncdCL"),
+        quantity.alias("Incd_OL_Large"),
+        F.col("l_tax").alias("OLFactor_Premium"),
+        F.col("l_tax").alias("OLFactor_PY_Premium"),
+        F.col("l_discount").alias("DevPct_Attr"),
     )
     plan = aggregate.plan_aggregation(t.schema, ["Segment", "Status"])
     out = aggregate.mixed_aggregate(t, plan, order_col="pos")
-    doubles = [c for c in out.columns if c not in ("Segment", "Status", "DevM")]
+    ratios = [c for c in out.columns if c.startswith(("OLFactor", "DevPct"))]
     return out.select(
         "Segment",
         "Status",
         "DevM",
-        *[F.round(F.col(c).cast("double"), 6).alias(c) for c in doubles],
+        *[units(c).alias(c) for c in plan.sums],
+        *[F.round(c, 6).alias(c) for c in ratios],
     )
 
 
@@ -621,7 +628,7 @@ def consistency_run(spark, sf):
         F.array_join("key_cols", ", ").alias("key_cols"),
         "status",
         "n_bad",
-        "measure_bad",
+        units("measure_bad").alias("measure_bad"),
         F.bround("pct", 1).alias("pct"),
     )
 
