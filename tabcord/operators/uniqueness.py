@@ -84,8 +84,10 @@ def parent_violations(
         *[F.struct(F.lit(k).alias("name"), col(k).cast("string").alias("value")) for k in key_cols]
     )
     per_key = (
-        combos.select(F.explode(key_rows).alias("key"), *[col(c) for c in found])
-        .select("key.name", "key.value", *[col(c).alias(f"c{i}") for i, c in enumerate(found)])
+        combos.select(
+            F.explode(key_rows).alias("key"), *[col(c).alias(f"c{i}") for i, c in enumerate(found)]
+        )
+        .select("key.name", "key.value", *[f"c{i}" for i in range(len(found))])
         .groupBy("name", "value")
         .agg(*[(F.min(f"c{i}") != F.max(f"c{i}")).alias(f"bad{i}") for i in range(len(found))])
     )

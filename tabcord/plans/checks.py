@@ -12,11 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, local_rows, percent
+from ..functions.columns import col, local_rows, percent, require_same_kind
 from ..functions.durable import materialise
 from ..functions.evidence import collect_top, json_record, row_json
 from ..operators import coverage, integrity, ranges, uniqueness
-from ..sources.tables import N_ROWS, TableSet
+from ..sources.tables import TableSet
 from . import roles
 from . import rulepack as rp
 from .findings import FINDING, as_findings, metrics, stated
@@ -56,6 +56,18 @@ def _zero(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
+def _numbered(columns: list[str]) -> dict[str, str]:
+    """Neutral names for data columns, so that none can clash with a result column."""
+    return {c: f"key{i}" for i, c in enumerate(dict.fromkeys(columns))}
+
+
+def _renamed(df: DataFrame, short: dict[str, str], *others: str | None) -> DataFrame:
+    return df.select(
+        *[col(c).alias(n) for c, n in short.items() if c in df.columns],
+        *[col(c) for c in others if c],
+    )
+
+
 def _pass_fail(n_bad: Column) -> Column:
     return F.when(n_bad > 0, "FAIL").otherwise("PASS")
 
@@ -120,16 +132,21 @@ def referential_integrity(tables: TableSet) -> DataFrame:
         else None
     )
     total = fact.agg(F.sum(measure)).scalar() if measure else F.lit(None)
+    for table, key in keys.items():
+        require_same_kind(fact, tables.refs[table], key)
+    short = _numbered([k for key in keys.values() for k in key])
+    own = {rp.FORECAST: ref_measure}
     census = integrity.key_census_many(
-        fact,
-        {t: tables.refs[t] for t in keys},
-        keys,
+        _renamed(fact, short, measure),
+        {t: _renamed(tables.refs[t], short, own.get(t)) for t in keys},
+        {t: [short[k] for k in key] for t, key in keys.items()},
         measure,
         (rp.FORECAST, ref_measure) if ref_measure else None,
     )
     record = F.lit(None).cast("string")
     for table, key in keys.items():
-        forward, reverse = [col(k) for k in key], [col(k) for k in key]
+        forward = [col(short[k]).alias(k) for k in key]
+        reverse = list(forward)
         if measure:
             pct = F.bround(percent(F.col("measure"), total), 1)
             forward += [F.col("measure").alias(rp.MEASURE), pct.alias(f"{rp.MEASURE}_%")]
@@ -138,7 +155,6 @@ def referential_integrity(tables: TableSet) -> DataFrame:
         shown = F.when(integrity.only_left(), json_record(forward)).otherwise(json_record(reverse))
         record = F.when(F.col("ref_table") == table, shown).otherwise(record)
     # stored once: every summary below reads these keys only, not the census again
-    columns = list(dict.fromkeys(k for key in keys.values() for k in key))
     loose = materialise(
         census.where(integrity.only_left() | integrity.only_right()).select(
             "ref_table",
@@ -146,7 +162,7 @@ def referential_integrity(tables: TableSet) -> DataFrame:
             "n_right",
             "measure",
             "right_measure",
-            *[col(c) for c in columns],
+            *short.values(),
         ),
         "loose_keys",
     )
@@ -157,7 +173,7 @@ def referential_integrity(tables: TableSet) -> DataFrame:
         F.count_if(integrity.only_right()).alias("n_orphaned"),
         F.sum(F.when(integrity.only_right(), F.col("right_measure"))).alias("orphaned_measure"),
     )
-    order = [F.col("measure").desc(), F.col("right_measure").desc(), *[col(c) for c in columns]]
+    order = [F.col("measure").desc(), F.col("right_measure").desc(), *short.values()]
     evidence = collect_top(
         one_way, ["ref_table", "forward"], order, record, rp.EVIDENCE_ROWS
     ).withColumnRenamed("ref_table", "table")
@@ -213,17 +229,17 @@ def _duplicates(
     """Per table: number of duplicated combinations, rows covered, evidence."""
     parts = []
     for table, key in keys.items():
-        d = uniqueness.duplicate_keys(frames[table], key)
-        parts.append(d.select(F.lit(table).alias("table"), "n_rows", row_json(d, key).alias("record")))
+        short = _numbered(key)
+        d = uniqueness.duplicate_keys(_renamed(frames[table], short), list(short.values()))
+        record = json_record([col(n).alias(c) for c, n in short.items()])
+        parts.append(d.select(F.lit(table).alias("table"), "n_rows", record.alias("record")))
     dups = union(parts)
     counts = dups.groupBy("table").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_rows").alias("n_rows")
     )
     order = [F.col("n_rows").desc(), F.col("record").asc()]
     top = collect_top(dups, ["table"], order, F.col("record"), rp.EVIDENCE_ROWS)
-    return (
-        _named(tables, keys).join(counts, "table", "left").join(top, "table", "left")
-    )
+    return _named(tables, keys).join(counts, "table", "left").join(top, "table", "left")
 
 
 def row_uniqueness(tables: TableSet) -> DataFrame:
@@ -504,14 +520,21 @@ def key_coverage(tables: TableSet) -> DataFrame:
     ids = roles.identifier_cols(
         tables.mapping.schema if tables.mapping is not None else None, fact.schema
     )
-    n_rows = N_ROWS if N_ROWS in fact.columns else None
-    rows = coverage.unmapped_share(fact, columns, rp.MEASURE, n_rows)
+    rows = coverage.unmapped_share(fact, columns, rp.MEASURE, tables.rows)
     if ids:
-        groups = coverage.unmapped_breakdown(fact, columns, ids, rp.MEASURE)
-        named = groups.withColumnRenamed("pct", f"{rp.MEASURE}_%")
-        shown = [c for c in named.columns if c != "column"]
-        order = [col(rp.MEASURE).desc(), *[col(c).asc() for c in ids]]
-        top = collect_top(named, ["column"], order, row_json(named, shown), rp.EVIDENCE_ROWS)
+        short = _numbered(ids)
+        groups = coverage.unmapped_breakdown(
+            _renamed(fact, short, rp.MEASURE, *columns), columns, list(short.values()), rp.MEASURE
+        )
+        record = json_record(
+            [
+                *[col(n).alias(c) for c, n in short.items()],
+                col(rp.MEASURE),
+                F.col("pct").alias(f"{rp.MEASURE}_%"),
+            ]
+        )
+        order = [col(rp.MEASURE).desc(), *short.values()]
+        top = collect_top(groups, ["column"], order, record, rp.EVIDENCE_ROWS)
         rows = rows.join(top, "column", "left")
     else:
         rows = rows.withColumn("evidence", F.lit(None).cast("array<string>"))

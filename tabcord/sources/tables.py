@@ -18,8 +18,6 @@ from ..plans import rulepack as rp
 
 log = logging.getLogger(__name__)
 
-N_ROWS = "n_rows"
-
 
 class MissingFact(LookupError):
     """There is no fact table, so nothing can be checked."""
@@ -27,12 +25,16 @@ class MissingFact(LookupError):
 
 @dataclass(frozen=True)
 class TableSet:
-    """The tables of a run by role; everything but fact and mapping is a reference."""
+    """The tables of a run by role; everything but fact and mapping is a reference.
+
+    ``rows`` names the row-count column of a pre-aggregated fact.
+    """
 
     fact: DataFrame
     mapping: DataFrame | None = None
     refs: dict[str, DataFrame] = field(default_factory=dict)
     notes: tuple[str, ...] = ()
+    rows: str | None = None
 
     @classmethod
     def classify(cls, tables: Mapping[str, DataFrame], notes: Iterable[str] = ()) -> TableSet:
@@ -97,12 +99,12 @@ def load_csv_tables(
 
 
 def preaggregate(
-    fact: DataFrame, keys: Sequence[str], measure: str = rp.MEASURE, with_rows: bool = False
+    fact: DataFrame, keys: Sequence[str], measure: str = rp.MEASURE, rows_as: str | None = None
 ) -> DataFrame:
     """Sum the measure per key combination, optionally with the number of rows."""
-    aggs = [F.sum(clean(fact, measure)).alias(measure)] if measure in fact.columns else []
-    if with_rows:
-        aggs.append(F.count(F.lit(1)).alias(N_ROWS))
+    aggs = [F.sum(col(measure)).alias(measure)] if measure in fact.columns else []
+    if rows_as:
+        aggs.append(F.count(F.lit(1)).alias(rows_as))
     rows = fact.select(
         *[clean(fact, k).alias(k) for k in keys],
         *([clean(fact, measure).alias(measure)] if measure in fact.columns else []),
@@ -120,5 +122,8 @@ def preaggregated(tables: TableSet, path: str | None = None) -> TableSet:
     if tables.mapping is not None:
         others.append(tables.mapping.schema)
     keys = roles.preaggregation_keys(tables.fact.schema, others)
-    small = materialise(preaggregate(tables.fact, keys, with_rows=True), rp.FACT, path)
-    return TableSet(small, tables.mapping, tables.refs, tables.notes)
+    rows = "n_rows"
+    while rows in tables.fact.columns:
+        rows += "_"
+    small = materialise(preaggregate(tables.fact, keys, rows_as=rows), rp.FACT, path)
+    return TableSet(small, tables.mapping, tables.refs, tables.notes, rows)

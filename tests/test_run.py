@@ -246,3 +246,24 @@ def test_forecast_and_minimum_load_rules(frame):
     assert [json.loads(e) for e in cover["evidence"]] == [
         {"Region": "S", "Premium": 30.0, "Premium_%": 75.0}
     ]
+
+
+def test_data_columns_may_be_named_like_result_columns(frame):
+    ddl = "n_rows string, measure string, column string, key string, `a.b` string"
+    names = ["n_rows", "measure", "column", "key", "a.b"]
+    fact = frame(
+        f"{ddl}, Key_Modelling string, Key_A string, Premium double",
+        ("r", "m", "c", "k", "d", None, "A", 5.0),
+        ("r", "m", "c", "k2", "d", "M", "A", 5.0),
+    )
+    ref = frame(f"{ddl}, Key_A string", *[("r", "m", "c", "z", "d", "A")] * 2)
+    tables = {"tbl_DetailedData": fact, "tbl_Key_Mapping": ref, "tbl_Odd": ref}
+    findings, warnings = run.collect_findings(TableSet.classify(tables))
+    assert warnings == []
+    got = {r["check"]: r.asDict() for r in findings.where("table = 'tbl_Odd'").collect()}
+    assert [got[c]["n_bad"] for c in ("forward_ri", "reverse_ri", "row_uniqueness")] == [2, 1, 1]
+    assert list(json.loads(got["forward_ri"]["evidence"][0]))[:5] == names
+    assert json.loads(got["row_uniqueness"]["evidence"][0])["key"] == "z"
+    assert json.loads(got["parent_columns"]["evidence"][0])["column"] == "key"
+    cover = findings.where("check = 'key_coverage'").first()
+    assert json.loads(cover["evidence"][0])["a.b"] == "d"

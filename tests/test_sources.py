@@ -81,7 +81,7 @@ def test_preaggregation_keys_and_schema():
 
 def test_preaggregate(frame, dicts):
     df = frame("k string, Premium double, x int", ("a", 1.0, 1), ("a", 2.0, 2), (None, float("nan"), 3))
-    got = {r["k"]: (r["Premium"], r["n_rows"]) for r in dicts(src.preaggregate(df, ["k"], with_rows=True))}
+    got = {r["k"]: (r["Premium"], r["n_rows"]) for r in dicts(src.preaggregate(df, ["k"], rows_as="n_rows"))}
     assert got == {"a": (3.0, 2), None: (None, 1)}
     assert src.preaggregate(df.drop("Premium"), ["k"]).columns == ["k"]
 
@@ -118,6 +118,17 @@ def test_materialise_replaces_and_survives(spark, frame, dicts):
     assert path.startswith(named) if named else "tabcord" in path
 
 
+def test_preaggregated_rows_get_a_free_name(frame):
+    fact = frame("n_rows string, Premium double", ("a", 1.0), ("a", 2.0))
+    t = src.TableSet.classify({"tbl_DetailedData": fact, "tbl_X": frame("n_rows string")})
+    got = src.preaggregated(t)
+    assert got.rows == "n_rows_" and got.fact.first().asDict() == {
+        "n_rows": "a",
+        "Premium": 3.0,
+        "n_rows_": 2,
+    }
+
+
 def test_classify(frame):
     d = {n: frame("a int") for n in ("tbl_DetailedData", "tbl_Key_Mapping", "tbl_Trend")}
     t = src.TableSet.classify(d)
