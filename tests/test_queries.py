@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from workload.bindings import SCHEMAS, TABLES
+from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = list(entry.queries())
+NAMES = list(QUERIES)
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="shared tables not present")
 
 FORBIDDEN = (
@@ -40,7 +41,7 @@ def plan_of(df):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(NAMES)
+    assert set(entry.oracle_sql()) >= set(NAMES) <= set(entry.queries())
 
 
 @needs_data
