@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabcord.functions.durable import materialise  # noqa: F401  (used by the operators)
 
@@ -21,7 +22,9 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def by_batch(
-    df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str
+    df: DataFrame,
+    step: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None],
+    schema: str | T.StructType,
 ) -> DataFrame:
     """Apply a function from Arrow batch to Arrow batch in every task."""
 
@@ -40,5 +43,10 @@ def whole_row(df: DataFrame, **named: Column) -> DataFrame:
     return df.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in named.items()))
 
 
+def with_row(df: DataFrame, columns: str) -> T.StructType:
+    """The schema of a struct ``row`` of the frame's columns and further columns."""
+    return T.StructType([T.StructField("row", df.schema), *T.StructType.fromDDL(columns).fields])
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,11 +1,104 @@
-"""The operators bound to the shared tables, one query each."""
+"""The operators bound to the shared tables, one query each, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabcord.functions.durable import materialise, new_path
+
+from . import (
+    bpe,
+    cotraining,
+    decontaminate,
+    fixity,
+    forest,
+    language,
+    pseudonyms,
+    sharding,
+    simhash,
+    token_files,
+)
 from .frames import table
-from . import simhash
+
+#: Key of the registered query; a real run passes its own, kept secret.
+DEMO_KEY = b"tabcord demonstration key"
+
+#: Replica damage of the fixity query, by the first two digits of the MD5 of the page id.
+ALTERED = ("00", "01", "02", "03")
+SHORTENED = ("04", "05", "06", "07")
+LOST = ("08", "09", "0a", "0b")
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer file lies; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_decontaminate(spark, sf_dir):
+    """Documents that hold passages of the benchmark, and which."""
+    found = decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select("doc_id", "n_items", "item_ids", "first_word", "end_word")
+
+
+def op2_token_files(spark, sf_dir):
+    """Token ids written as Parquet list columns, and digests of what is read back."""
+    target = new_path(spark, "tokens")
+    token_files.write_tokens(
+        table(spark, sf_dir, "documents"), target, vocabulary("word_bpe_49k.json")
+    )
+    return token_files.digests(spark, target)
+
+
+def op3_bpe(spark, sf_dir):
+    """Byte-level BPE ids of every document, and their decoded text."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op4_cotraining(spark, sf_dir):
+    """Quality of every document from two co-trained views."""
+    found = cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("accepted", "kept")
+
+
+def op5_fixity(spark, sf_dir):
+    """State of every WARC record in a replica with known damage."""
+    records = fixity.archive(table(spark, sf_dir, "pages"))
+    index = materialise(fixity.manifest(records), "manifest")
+    mark = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("null"))), 1, 2)
+    record = F.col("record")
+    damaged = (
+        F.when(mark.isin(*ALTERED), F.concat(F.lit("w"), F.substr(record, F.lit(2))))
+        .when(mark.isin(*SHORTENED), F.substr(record, F.lit(1), F.length(record) - 8))
+        .otherwise(record)
+    )
+    replica = materialise(
+        fixity.place_records(records, index)
+        .where(~mark.isin(*LOST))
+        .withColumn("record", damaged),
+        "replica",
+    )
+    return fixity.audit(index, fixity.stored_manifest(replica))
+
+
+def op6_shards(spark, sf_dir):
+    """Shard of every document in a tree of 24 shards, and with one more."""
+    docs = table(spark, sf_dir, "documents")
+    return sharding.assign(docs, sharding.layout(24), sharding.layout(25))
+
+
+def op7_pseudonyms(spark, sf_dir):
+    """Every document with pseudonyms for the personal data in its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, DEMO_KEY).select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("new_text").alias("text"),
+        F.size("spans").cast("long").alias("n_replaced"),
+        F.col("spans.kind").alias("kinds"),
+    )
 
 
 def op8_simhash(spark, sf_dir):
@@ -13,5 +106,65 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_simhash,)}
-ORACLE: dict[str, str] = {}
+def op9_language(spark, sf_dir):
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
+def op10_rules(spark, sf_dir):
+    """Rule statistics of every document and the isolation forest's verdict."""
+    return forest.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op2_token_files,
+        op3_bpe,
+        op4_cotraining,
+        op5_fixity,
+        op6_shards,
+        op7_pseudonyms,
+        op8_simhash,
+        op9_language,
+        op10_rules,
+    )
+}
+
+
+def _in(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+ORACLE = {
+    "op5_fixity": f"""
+WITH n AS (
+  SELECT greatest(1, (count(*) + 2047) // 2048) AS files FROM pages
+), r AS (
+  SELECT page_id,
+         substr(md5(coalesce(CAST(page_id AS VARCHAR), 'null')), 1, 2) AS mark,
+         CAST(CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), 'null') || ' '
+              || coalesce(url, '')), 1, 8) AS BIGINT) % files AS INTEGER) AS warc_file,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+           || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'null') || '>'
+           || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+           || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10)
+           || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10)
+           || chr(13) || chr(10) AS record
+  FROM pages, n
+), d AS (
+  SELECT page_id, mark, warc_file, CAST(strlen(record) AS BIGINT) AS length,
+         sha256(record) AS digest
+  FROM r
+)
+SELECT page_id, warc_file,
+       CAST(coalesce(sum(length) OVER (PARTITION BY warc_file ORDER BY page_id, digest
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS warc_offset,
+       length, digest,
+       CASE WHEN mark IN {_in(ALTERED + SHORTENED)} THEN 'corrupt'
+            WHEN mark IN {_in(LOST)} THEN 'missing' ELSE 'ok' END AS status
+FROM d
+""",
+}

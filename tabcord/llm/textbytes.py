@@ -25,6 +25,9 @@ NON_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
 _RANDOM = np.random.default_rng(0x5EED)
 _BYTE_CODE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The same codes with A-Z as a-z.
+_FOLDED_CODE = _BYTE_CODE.copy()
+_FOLDED_CODE[65:91] = _BYTE_CODE[97:123]
 _PLACE_CODE = _RANDOM.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -50,7 +53,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a block: 64-bit ``code``, ``text`` index, byte ``start`` and ``end`` in ``buffer``."""
 
-    def __init__(self, texts: list[bytes], word_bytes: np.ndarray):
+    def __init__(self, texts: list[bytes], word_bytes: np.ndarray, fold: bool = False):
         self.buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text_start = np.concatenate([[0], np.cumsum(sizes)])
@@ -69,9 +72,18 @@ class Words:
         lead = np.zeros(len(self.buffer), np.int64)
         lead[self.start] = self.start
         place -= np.maximum.accumulate(lead)
-        values = _BYTE_CODE[self.buffer] * _PLACE_CODE[place & 4095]
+        values = (_FOLDED_CODE if fold else _BYTE_CODE)[self.buffer] * _PLACE_CODE[place & 4095]
         values[~inside] = 0
         self.code = mix(np.add.reduceat(values, self.start))
+        self._values, self._place = values, place
+
+    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, code) of the first ``size`` bytes of every word that is longer."""
+        long = np.flatnonzero(self.end - self.start > size)
+        if not len(long):
+            return self.text[long], np.empty(0, np.uint64)
+        head = np.where(self._place < size, self._values, np.uint64(0))
+        return self.text[long], mix(np.add.reduceat(head, self.start)[long] + np.uint64(size))
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
