@@ -19,6 +19,8 @@ text get equal results.  Empty tables give no match.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,8 +56,17 @@ def seeds(words: Words, offsets: list[int], salt: int) -> tuple[np.ndarray, np.n
     return first, mix(total[first])
 
 
+_MARK = re.compile(r"[^\x00-\x7f\w]")
+
+
 def lowered(found: list[str]) -> list[bytes]:
-    return [t.lower().encode("utf-8", "replace") for t in found]
+    """Lower-cased texts in which marks beyond ASCII are spaces."""
+    out = []
+    for text in found:
+        if not text.isascii():
+            text = _MARK.sub(" ", text)
+        out.append(text.lower().encode("utf-8", "replace"))
+    return out
 
 
 def item_masks(lengths: list[int], min_words: int) -> list[list[int]]:
