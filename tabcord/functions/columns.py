@@ -88,6 +88,22 @@ def require_same_kind(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
             )
 
 
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type in which values of two column types are compared."""
+    if a == b or not (isinstance(a, T.NumericType) and isinstance(b, T.NumericType)):
+        return b if isinstance(a, T.NullType) else a
+    if isinstance(a, T.FractionalType) and isinstance(b, T.FractionalType):
+        if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
+            return T.DecimalType(38, max(a.scale, b.scale))
+        return T.DoubleType()
+    for x in (a, b):
+        if isinstance(x, T.DecimalType):
+            return T.DecimalType(38, x.scale)
+        if isinstance(x, T.FractionalType):
+            return T.DoubleType()
+    return T.LongType()
+
+
 def aggregate_to_long(df: DataFrame, rows: Sequence[Column]) -> DataFrame:
     """Evaluate one struct of aggregates per column in a single pass, one row each.
 

@@ -2,26 +2,23 @@
 
 Intermediates are written as Parquet under the shared folder named by
 ``spark.checkpoint.dir``: later reads prune columns, see fresh statistics, and
-never depend on blocks held by a single machine.
+never depend on blocks held by a single machine.  A session that does not name
+one uses :data:`DEFAULT`, which suits a single machine only.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+DEFAULT = "/tmp/checkpoints"
+
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediates: the session's, or a test one if unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/") + "/tabcord"
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
-        raise RuntimeError(f"set spark.checkpoint.dir to a shared folder (master is {master})")
-    return tempfile.gettempdir() + "/tabcord"
+    """Shared folder for intermediates."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT
+    return named.rstrip("/") + "/tabcord"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -39,3 +36,9 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     target = path or new_path(spark, name)
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediates, wherever Spark's file systems keep it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

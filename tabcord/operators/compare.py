@@ -6,18 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import clean, col
+from ..functions.columns import col
 
 
-def canonical(df: DataFrame, float_digits: int = 10) -> DataFrame:
-    """Columns in name order, floats rounded, NaN as null."""
+def canonical_value(value: Column, kind: T.DataType, float_digits: int = 10) -> Column:
+    """Floats rounded and NaN as null at every depth; maps as entries in key order."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.bround(F.when(~F.isnan(value), value).cast("double"), float_digits)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: canonical_value(x, kind.elementType, float_digits))
+    if isinstance(kind, T.StructType):
+        parts = sorted(kind.fields, key=lambda f: f.name)
+        cells = [canonical_value(value[f.name], f.dataType, float_digits).alias(f.name) for f in parts]
+        return F.when(value.isNotNull(), F.struct(*cells))
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(
+            canonical_value(e["key"], kind.keyType, float_digits).alias("key"),
+            canonical_value(e["value"], kind.valueType, float_digits).alias("value"),
+        )
+        return F.array_sort(F.transform(F.map_entries(value), entry))
+    return value
 
-    def cell(f: T.StructField) -> Column:
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            return F.bround(clean(df, f.name).cast("double"), float_digits).alias(f.name)
-        return col(f.name)
 
-    return df.select(*[cell(f) for f in sorted(df.schema.fields, key=lambda f: f.name)])
+def canonical(df: DataFrame, float_digits: int = 10) -> DataFrame:
+    """Columns in name order, every value in its canonical form."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    return df.select(
+        *[canonical_value(col(f.name), f.dataType, float_digits).alias(f.name) for f in fields]
+    )
 
 
 def diff(left: DataFrame, right: DataFrame, float_digits: int = 10) -> DataFrame:

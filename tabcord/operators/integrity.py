@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean, col, percent, require_same_kind
+from ..functions.columns import clean, col, common_type, percent, require_same_kind
 
 RESERVED = {"n_left", "n_right", "measure", "right_measure", "ref_table", "forward"}
 
@@ -227,12 +227,14 @@ def orphaned_measure(
 def domain_violations(ref: DataFrame, fact: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Non-null values of ``ref`` columns that the same ``fact`` column never holds.
 
-    All columns are checked in one pass over each table, as (column, value) rows.
+    All columns are checked in one pass over each table, as (column, value)
+    rows; numbers of two types are compared as numbers of their common type.
     """
     require_same_kind(ref, fact, columns)
+    kinds = {c: common_type(ref.schema[c].dataType, fact.schema[c].dataType) for c in columns}
 
     def values(df: DataFrame, in_fact: bool) -> DataFrame:
-        cells = df.select(*[clean(df, c).cast("string").alias(c) for c in columns])
+        cells = df.select(*[clean(df, c).cast(kinds[c]).cast("string").alias(c) for c in columns])
         long = cells.unpivot([], [col(c) for c in columns], "column", "value")
         return long.where(F.col("value").isNotNull()).withColumn("in_fact", F.lit(in_fact))
 

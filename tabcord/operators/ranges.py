@@ -122,29 +122,39 @@ def is_yyyymm(value: Column) -> Column:
     return F.coalesce(text.rlike(r"^\d{6}$") & month.between(1, 12), F.lit(False))
 
 
-def yyyymm_check(df: DataFrame, column: str, shown: int = 5) -> DataFrame:
-    """One row: distinct and invalid months, the smallest few, the status.
-
-    FAIL on any invalid value and on more than one distinct value; SKIP when
-    the column holds no value at all.
-    """
+def month_values(df: DataFrame, column: str) -> DataFrame:
+    """(value, valid): the distinct values of a month column."""
     value = clean(df, column)
     if not is_numeric(df.schema[column].dataType):
         value = value.cast("string")
-    values = (
+    return (
         df.select(value.alias("value"))
         .where(F.col("value").isNotNull())
         .groupBy("value")
         .agg(F.lit(1).alias("one"))
         .select("value", is_yyyymm(F.col("value")).alias("valid"))
     )
+
+
+def yyyymm_check(df: DataFrame, column: str, shown: int = 5) -> DataFrame:
+    """One row: distinct and invalid months, a few of them, the status.
+
+    FAIL on any invalid value and on more than one distinct value; SKIP when
+    the column holds no value at all.  ``values`` and ``sample`` list the first
+    ``shown`` values, the invalid ones before the others; all of them are in
+    :func:`month_values`.
+    """
+    return months_summary(month_values(df, column), column, shown)
+
+
+def months_summary(values: DataFrame, column: str, shown: int = 5) -> DataFrame:
+    """The row of :func:`yyyymm_check` from the distinct values."""
     text = F.col("value").cast("string")
     first = (
-        values.select("value")
-        .orderBy("value")
+        values.orderBy("valid", "value")
         .limit(shown)
-        .agg(F.sort_array(F.collect_list(F.struct("value", text.alias("text")))).alias("rows"))
-        .select(F.array_join(F.transform("rows", lambda r: r["text"]), ", "))
+        .agg(F.sort_array(F.collect_list(F.struct("valid", "value", text.alias("text")))).alias("r"))
+        .select(F.transform("r", lambda r: r["text"]))
         .scalar()
     )
     n, bad = F.col("n_distinct"), F.col("n_invalid")
@@ -152,13 +162,15 @@ def yyyymm_check(df: DataFrame, column: str, shown: int = 5) -> DataFrame:
         values.agg(
             F.count(F.lit(1)).alias("n_distinct"), F.count_if(~F.col("valid")).alias("n_invalid")
         )
-        .withColumn("sample", first)
+        .withColumn("values", first)
+        .withColumn("sample", F.array_join("values", ", "))
         .select(
             "n_distinct",
             "n_invalid",
             F.when(n == 0, "SKIP").when((bad > 0) | (n > 1), "FAIL").otherwise("PASS").alias(
                 "status"
             ),
+            "values",
             "sample",
             F.when(n == 0, "No values.")
             .when(bad > 0, F.format_string(MONTH_INVALID_DETAIL, bad, F.col("sample")))
@@ -198,14 +210,15 @@ def sequence_check(
             F.bool_or(~F.col("m.held")).alias("follows"),
         )
     )
-    # both readers of the marks use the same columns, so their shuffle is shared
+    # where a run of held positions begins, and the hole behind it; few rows per key
+    edges = marks.where(F.col("held") != F.col("follows")).select("key", "held", "pos")
+    exact = F.col("pos").cast("decimal(38,0)")
     spans = (
-        marks.where("held and follows is not null")
-        .groupBy("key")
+        edges.groupBy("key")
         .agg(
-            F.min("pos").alias("first"),
-            F.max("pos").alias("last"),
-            F.count(F.lit(1)).alias("n_held"),
+            F.min(F.when(F.col("held"), F.col("pos"))).alias("first"),
+            (F.max(F.when(~F.col("held"), F.col("pos"))) - 1).alias("last"),
+            F.sum(F.when(F.col("held"), -exact).otherwise(exact)).cast("long").alias("n_held"),
         )
         .withColumn("n_gaps", F.col("last") - F.col("first") + 1 - F.col("n_held"))
         .where((F.col("first") != start) | (F.col("n_gaps") > 0) | (F.col("last") < min_last))
@@ -223,9 +236,8 @@ def sequence_check(
         ),
     )
     holes = range(1, shown + 1)
-    edges = (
-        marks.where(F.col("held") != F.col("follows"))
-        .select("key", "held", "pos", F.row_number().over(in_order).alias("nth"))
+    listing = (
+        edges.select("key", "held", "pos", F.row_number().over(in_order).alias("nth"))
         .where(F.col("nth") <= shown + 1)
         .groupBy(F.col("key").alias("gap_key"))
         .agg(
@@ -257,7 +269,7 @@ def sequence_check(
             F.format_string(SHORT_REASON.format(pos=pos, min_last=min_last), "last"),
         ),
     )
-    return spans.join(edges, F.col("key").eqNullSafe(F.col("gap_key")), "left").select(
+    return spans.join(listing, F.col("key").eqNullSafe(F.col("gap_key")), "left").select(
         F.col("key").alias(key),
         "first",
         "last",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ def natural_join(
     how: str = "left",
     keys: Sequence[str] | None = None,
     suffix: str = "",
-    split_hot_keys: bool = False,
+    split_hot_keys: bool | None = None,
 ) -> DataFrame:
     """Join on the shared (or given) columns; null keys match null keys.
 
@@ -32,10 +33,15 @@ def natural_join(
 
     Spark broadcasts a side only after checking its size, and adaptive
     execution splits a hot key of an inner join on both sides but of an outer
-    join only on the preserved side.  ``split_hot_keys`` therefore expresses an
-    outer join as the inner join plus the rows without a partner, whose own
-    lookup side is reduced to distinct keys: then every part can be split.
+    join only on the preserved side, never of a full one.  With
+    ``split_hot_keys`` an outer join is expressed as the inner join plus the
+    rows without a partner, whose own lookup side is reduced to distinct keys:
+    then every part can be split.  Right and full joins do so unless told not
+    to; a left join keeps its preserved side as it is and needs it only where
+    the right side has the hot key.
     """
+    if split_hot_keys is None:
+        split_hot_keys = how in ("right", "outer")
     if how not in HOWS:
         raise ValueError(f"how must be one of {HOWS}, not {how!r}")
     keys = list(keys) if keys else [c for c in right.columns if c in left.columns]
@@ -130,10 +136,10 @@ def placeholder_report(
 
 
 def not_in_use_row(df: DataFrame) -> DataFrame:
-    """One placeholder row with the columns of ``df``."""
+    """One placeholder row with the columns and types of ``df``; other than text keys are null."""
 
     def cell(f: T.StructField) -> Column:
-        if "Key_" in f.name:
+        if "Key_" in f.name and isinstance(f.dataType, T.StringType):
             return F.lit(PLACEHOLDER_KEY)
         if f.name == "Comments":
             return F.lit("")
@@ -144,44 +150,76 @@ def not_in_use_row(df: DataFrame) -> DataFrame:
 
 def fill_empty_tables(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Every empty table replaced by its placeholder row, the others unchanged."""
-    return {n: not_in_use_row(df) if df.isEmpty() else df for n, df in tables.items()}
+    # one job finds the tables that hold a row
+    heads = [df.limit(1).select(F.lit(n).alias("name")) for n, df in tables.items()]
+    held = {r["name"] for r in reduce(DataFrame.unionAll, heads).collect()} if heads else set()
+    return {n: df if n in held else not_in_use_row(df) for n, df in tables.items()}
+
+
+def _ends(text: Column) -> Column:
+    """First and last year of a range; null unless both are years from 1 to 9999."""
+    ends = F.transform(F.split(F.trim(text), "-"), lambda t: F.trim(t).try_cast("int"))
+    year = F.forall(ends, lambda y: F.coalesce(y.between(1, 9999), F.lit(False)))
+    return F.when((F.size(ends) <= 2) & year, ends)
 
 
 def year_range(text: Column) -> Column:
-    """``"2018-2022"`` or ``"2018"`` as an ascending array of years (empty if reversed)."""
-    ends = F.transform(F.split(F.trim(text), "-"), lambda t: F.trim(t).cast("int"))
+    """``"2018-2022"`` or ``"2018"`` as an ascending array of years.
+
+    A reversed range and a text that is no range have none.
+    """
+    ends = _ends(text)
     first, last = F.element_at(ends, 1), F.element_at(ends, -1)
     return F.when(first <= last, F.sequence(first, last)).otherwise(
         F.array().cast("array<int>")
     )
 
 
+def _problem(text: Column) -> Column:
+    ends = _ends(text)
+    return F.when(ends.isNull(), "malformed").when(
+        F.element_at(ends, 1) > F.element_at(ends, -1), "reversed"
+    )
+
+
 def expand_periods(df: DataFrame, column: str) -> DataFrame:
-    """Add ``include_years`` and ``exclude_years`` of strings like ``a-b ex c-d``.
+    """Add ``include_years``, ``exclude_years`` and ``problem`` of strings like ``a-b ex c-d``.
 
     The excluded years stay in the included ones, as two separate lists.
+    ``problem`` is null, or says that a part is missing, malformed or reversed;
+    such a part has no years.
     """
     parts = F.split(col(column), "ex")
     excluded = F.when(F.size(parts) > 1, year_range(F.get(parts, 1)))
+    other = F.when(F.size(parts) > 1, _problem(F.get(parts, 1)))
+    problem = F.when(col(column).isNull(), "missing").otherwise(
+        F.coalesce(_problem(F.get(parts, 0)), other)
+    )
     return df.withColumns(
         {
             "include_years": year_range(F.get(parts, 0)),
             "exclude_years": F.coalesce(excluded, F.array().cast("array<int>")),
+            "problem": problem,
         }
     )
 
 
 def period_years(df: DataFrame, column: str) -> DataFrame:
-    """One row per included year, with ``year`` and whether it is ``excluded``."""
+    """One row per included year, with ``year``, whether it is ``excluded``, and ``problem``.
+
+    A period without years keeps one row, whose year is null.
+    """
     lists = expand_periods(df, column)
     return lists.select(
         *[col(c) for c in df.columns],
-        F.explode("include_years").alias("year"),
+        F.explode_outer("include_years").alias("year"),
         "exclude_years",
+        "problem",
     ).select(
         *[col(c) for c in df.columns],
         "year",
-        F.array_contains("exclude_years", F.col("year")).alias("excluded"),
+        F.coalesce(F.array_contains("exclude_years", F.col("year")), F.lit(False)).alias("excluded"),
+        "problem",
     )
 
 

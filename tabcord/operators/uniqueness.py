@@ -66,25 +66,26 @@ def parent_violations(
 
     A candidate is a *parent* of a key column when each key value has at most
     one distinct non-null candidate value.  Candidates that the table lacks are
-    skipped.  The table is reduced to its distinct combinations first (a hash
-    aggregate); all key columns then share one shuffle, and a key value breaks
-    the rule exactly when its smallest and largest candidate values differ.
+    skipped.  All key columns share one grouping by (key column, value), which
+    combines on the map side: at most one row per key value and task is
+    shuffled.  A key value breaks the rule exactly when its smallest and
+    largest candidate values differ.  A table without rows breaks no rule.
     """
     found = [c for c in candidates if c in df.columns]
-    if not found or not key_cols:
+    pairs = [(k, c) for k in key_cols for c in found if k != c]
+    if not pairs:
         return local_rows(
             df.sparkSession,
             [],
             "key_col string, column string, n_bad_keys bigint, is_parent boolean",
         )
     used = list(dict.fromkeys([*key_cols, *found]))
-    combos = df.select(*[clean(df, c).alias(c) for c in used]).distinct()
-
+    rows = df.select(*[clean(df, c).alias(c) for c in used])
     key_rows = F.array(
         *[F.struct(F.lit(k).alias("name"), col(k).cast("string").alias("value")) for k in key_cols]
     )
     per_key = (
-        combos.select(
+        rows.select(
             F.explode(key_rows).alias("key"), *[col(c).alias(f"c{i}") for i, c in enumerate(found)]
         )
         .select("key.name", "key.value", *[f"c{i}" for i in range(len(found))])
@@ -94,16 +95,18 @@ def parent_violations(
     counts = per_key.groupBy("name").agg(
         *[F.count_if(F.col(f"bad{i}")).alias(f"n{i}") for i in range(len(found))]
     )
-    pairs = F.array(
+    counted = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_bad_keys"))
+            F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"))
             for i, c in enumerate(found)
         ]
     )
+    bad = counts.select(F.col("name").alias("key_col"), F.inline(counted))
+    n = F.coalesce("n", F.lit(0))
     return (
-        counts.select(F.col("name").alias("key_col"), F.inline(pairs))
-        .where(F.col("key_col") != F.col("column"))
-        .withColumn("is_parent", F.col("n_bad_keys") == 0)
+        local_rows(df.sparkSession, pairs, "key_col string, column string")
+        .join(bad, ["key_col", "column"], "left")
+        .select("key_col", "column", n.alias("n_bad_keys"), (n == 0).alias("is_parent"))
     )
 
 

@@ -1,7 +1,8 @@
 """The consistency checks: operators bound to the rule pack, as findings.
 
 Each function returns one findings DataFrame that covers all tables, so the
-work is shared between the reference tables of a run.
+work is shared between the reference tables of a run.  The rows behind the
+findings go to the report in full; a finding itself shows a few of them.
 """
 
 from __future__ import annotations
@@ -12,14 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, local_rows, percent, require_same_kind
-from ..functions.durable import materialise
+from ..functions.columns import KeyTypeClash, col, local_rows, percent, require_same_kind
+from ..functions.columns import clean
 from ..functions.evidence import collect_top, json_record, row_json
 from ..operators import coverage, integrity, ranges, uniqueness
 from ..sources.tables import TableSet
-from . import roles
-from . import rulepack as rp
+from ..rules import roles
+from ..rules import rulepack as rp
 from .findings import FINDING, as_findings, metrics, stated
+from .report import Report
 
 # Wording of the results.
 NO_JOIN_KEY = "No common non-numeric columns with DetailedData"
@@ -27,6 +29,7 @@ NO_UNIQUE_KEY = "No join key columns identified"
 NO_MAPPING = "tbl_Key_Mapping not loaded"
 NO_MAPPING_COLS = "No non-Key_* columns in tbl_Key_Mapping"
 ALL_PASSED = "All checks passed."
+FAILED = "Check failed"
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -72,18 +75,21 @@ def _pass_fail(n_bad: Column) -> Column:
     return F.when(n_bad > 0, "FAIL").otherwise("PASS")
 
 
-def key_registration(tables: TableSet) -> DataFrame:
-    """Check 1: every key column of a reference is a fact and a mapping column."""
-    known = {rp.FACT: tables.fact, **tables.refs}
+def key_registration(tables: TableSet, report: Report | None = None) -> DataFrame:
+    """Check 1: every key column of a reference is a fact and a mapping column.
+
+    The fact counts with the columns it was loaded with, aggregated or not.
+    """
+    known = {rp.FACT: tables.registered(), **{t: df.columns for t, df in tables.refs.items()}}
     targets = [rp.FACT]
     if tables.mapping is not None:
-        known[rp.MAPPING] = tables.mapping
+        known[rp.MAPPING] = tables.mapping.columns
         targets.append(rp.MAPPING)
     if not tables.refs:
         return _nothing(tables)
     catalog = local_rows(
         _spark(tables),
-        [(t, c) for t, df in known.items() for c in df.columns],
+        [(t, c) for t, columns in known.items() for c in columns],
         "table string, column string",
     )
     missing = integrity.key_registration(catalog, targets, rp.KEY_PREFIX, (rp.EXEMPT_KEY,))
@@ -110,9 +116,13 @@ def key_registration(tables: TableSet) -> DataFrame:
     )
 
 
-def referential_integrity(tables: TableSet) -> DataFrame:
-    """Checks 2 and 3: fact keys without a reference row, reference keys without facts."""
-    fact = tables.fact
+def referential_integrity(tables: TableSet, report: Report | None = None) -> DataFrame:
+    """Checks 2 and 3: fact keys without a reference row, reference keys without facts.
+
+    A table whose key columns have another kind of type than the fact's is
+    left out with a warning; the others are checked.
+    """
+    fact, report = tables.fact, report or Report(_spark(tables))
     measure = rp.MEASURE if rp.MEASURE in fact.columns else None
     keys = {t: roles.join_key(df.schema, fact.schema) for t, df in tables.refs.items()}
     without = [
@@ -121,7 +131,25 @@ def referential_integrity(tables: TableSet) -> DataFrame:
         if not k
         for c in ("forward_ri", "reverse_ri")
     ]
-    keys = {t: k for t, k in keys.items() if k}
+    clashing = {}
+    for t, k in keys.items():
+        try:
+            require_same_kind(fact, tables.refs[t], k)
+        except KeyTypeClash as e:
+            clashing[t] = f"Checks 2-3 degraded: {e}"
+    without += [
+        {
+            "section": "checks2_5",
+            "check": c,
+            "table": t,
+            "status": "SKIP",
+            "detail": FAILED,
+            "warning": text,
+        }
+        for t, text in clashing.items()
+        for c in ("forward_ri", "reverse_ri")
+    ]
+    keys = {t: k for t, k in keys.items() if k and t not in clashing}
     parts = _static(tables, without)
     if not keys:
         return union(parts) if parts else _nothing(tables)
@@ -131,9 +159,7 @@ def referential_integrity(tables: TableSet) -> DataFrame:
         if rp.FORECAST in keys
         else None
     )
-    total = fact.agg(F.sum(measure)).scalar() if measure else F.lit(None)
-    for table, key in keys.items():
-        require_same_kind(fact, tables.refs[table], key)
+    total = fact.agg(F.sum(clean(fact, measure))).scalar() if measure else F.lit(None)
     short = _numbered([k for key in keys.values() for k in key])
     own = {rp.FORECAST: ref_measure}
     census = integrity.key_census_many(
@@ -155,7 +181,7 @@ def referential_integrity(tables: TableSet) -> DataFrame:
         shown = F.when(integrity.only_left(), json_record(forward)).otherwise(json_record(reverse))
         record = F.when(F.col("ref_table") == table, shown).otherwise(record)
     # stored once: every summary below reads these keys only, not the census again
-    loose = materialise(
+    loose = report.stash(
         census.where(integrity.only_left() | integrity.only_right()).select(
             "ref_table",
             "n_left",
@@ -167,6 +193,20 @@ def referential_integrity(tables: TableSet) -> DataFrame:
         "loose_keys",
     )
     one_way = loose.withColumn("forward", integrity.only_left())
+    has_value = F.lit(bool(measure)) & F.col("forward")
+    has_value = has_value | (
+        ~F.col("forward") & (F.col("ref_table") == (rp.FORECAST if ref_measure else ""))
+    )
+    value = F.when(F.col("forward"), F.col("measure")).otherwise(F.col("right_measure"))
+    report.keep(
+        one_way,
+        F.when(F.col("forward"), "forward_ri").otherwise("reverse_ri"),
+        table="ref_table",
+        record=record,
+        n_rows=F.col("n_left") + F.col("n_right"),
+        measure=F.when(has_value, value),
+        pct=F.when(F.col("forward"), percent(F.col("measure"), total)) if measure else F.lit(None),
+    )
     counts = loose.groupBy(F.col("ref_table").alias("table")).agg(
         F.count_if(integrity.only_left()).alias("n_unmatched"),
         F.sum(F.when(integrity.only_left(), F.col("measure"))).alias("unmatched_measure"),
@@ -175,13 +215,17 @@ def referential_integrity(tables: TableSet) -> DataFrame:
     )
     order = [F.col("measure").desc(), F.col("right_measure").desc(), *short.values()]
     evidence = collect_top(
-        one_way, ["ref_table", "forward"], order, record, rp.EVIDENCE_ROWS
+        one_way,
+        ["ref_table", "forward"],
+        order,
+        record,
+        max(report.evidence_rows, report.top_rows),
     ).withColumnRenamed("ref_table", "table")
     forward_top = evidence.where("forward").select(
-        "table", F.slice("evidence", 1, rp.TOP_ROWS).alias("forward_top")
+        "table", F.slice("evidence", 1, report.top_rows).alias("forward_top")
     )
     reverse_top = evidence.where("not forward").select(
-        "table", F.col("evidence").alias("reverse_top")
+        "table", F.slice("evidence", 1, report.evidence_rows).alias("reverse_top")
     )
     rows = (
         _named(tables, keys)
@@ -224,7 +268,11 @@ def referential_integrity(tables: TableSet) -> DataFrame:
 
 
 def _duplicates(
-    tables: TableSet, frames: dict[str, DataFrame], keys: dict[str, list[str]]
+    tables: TableSet,
+    report: Report,
+    check: str,
+    frames: dict[str, DataFrame],
+    keys: dict[str, list[str]],
 ) -> DataFrame:
     """Per table: number of duplicated combinations, rows covered, evidence."""
     parts = []
@@ -233,17 +281,18 @@ def _duplicates(
         d = uniqueness.duplicate_keys(_renamed(frames[table], short), list(short.values()))
         record = json_record([col(n).alias(c) for c, n in short.items()])
         parts.append(d.select(F.lit(table).alias("table"), "n_rows", record.alias("record")))
-    dups = union(parts)
+    dups = report.keep(union(parts), check, table="table", record="record", n_rows="n_rows")
     counts = dups.groupBy("table").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_rows").alias("n_rows")
     )
     order = [F.col("n_rows").desc(), F.col("record").asc()]
-    top = collect_top(dups, ["table"], order, F.col("record"), rp.EVIDENCE_ROWS)
+    top = collect_top(dups, ["table"], order, F.col("record"), report.evidence_rows)
     return _named(tables, keys).join(counts, "table", "left").join(top, "table", "left")
 
 
-def row_uniqueness(tables: TableSet) -> DataFrame:
+def row_uniqueness(tables: TableSet, report: Report | None = None) -> DataFrame:
     """Check 4: the uniqueness key occurs once per reference table."""
+    report = report or Report(_spark(tables))
     fact = tables.fact.schema
     keys = {t: roles.uniqueness_key(t, df.schema, fact) for t, df in tables.refs.items()}
     parts = _static(
@@ -265,7 +314,7 @@ def row_uniqueness(tables: TableSet) -> DataFrame:
         n = _zero("n")
         parts.append(
             as_findings(
-                _duplicates(tables, tables.refs, keys),
+                _duplicates(tables, report, "row_uniqueness", tables.refs, keys),
                 "checks2_5",
                 "row_uniqueness",
                 table="table",
@@ -282,9 +331,10 @@ def row_uniqueness(tables: TableSet) -> DataFrame:
     return union(parts) if parts else _nothing(tables)
 
 
-def parent_columns(tables: TableSet) -> DataFrame:
+def parent_columns(tables: TableSet, report: Report | None = None) -> DataFrame:
     """Check 5: context columns are parents of the key columns; known values only."""
     fact, spark = tables.fact, _spark(tables)
+    report = report or Report(spark)
     wanted: list[tuple[str, str, str, str]] = []  # table, table examined, key column, column
     domain: list[str] = []
     for table, ref in tables.refs.items():
@@ -349,11 +399,16 @@ def parent_columns(tables: TableSet) -> DataFrame:
         )
     )
     if domain:
-        bad_values = integrity.domain_violations(tables.refs[rp.MIN_LOAD], fact, domain)
-        counts = bad_values.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-        top = collect_top(
-            bad_values, ["column"], [F.col("value").asc()], F.col("value"), rp.EVIDENCE_ROWS
+        bad_values = report.keep(
+            integrity.domain_violations(tables.refs[rp.MIN_LOAD], fact, domain),
+            "domain_membership",
+            table=F.lit(rp.MIN_LOAD),
+            column="column",
+            record="value",
         )
+        counts = bad_values.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+        value = F.col("record")
+        top = collect_top(bad_values, ["column"], [value.asc()], value, report.evidence_rows)
         cols = local_rows(spark, [(c,) for c in domain], "column string")
         rows = cols.join(counts, "column", "left").join(top, "column", "left")
         parts.append(
@@ -371,8 +426,9 @@ def parent_columns(tables: TableSet) -> DataFrame:
     return union(parts)
 
 
-def mapping_uniqueness(tables: TableSet) -> DataFrame:
+def mapping_uniqueness(tables: TableSet, report: Report | None = None) -> DataFrame:
     """Check 6: the columns other than keys occur once in the mapping table."""
+    report = report or Report(_spark(tables))
     reason = None
     if tables.mapping is None:
         reason = NO_MAPPING
@@ -388,7 +444,9 @@ def mapping_uniqueness(tables: TableSet) -> DataFrame:
             "detail": reason,
         }
         return stated(_spark(tables), [row])
-    rows = _duplicates(tables, {rp.MAPPING: tables.mapping}, {rp.MAPPING: key})
+    rows = _duplicates(
+        tables, report, "mapping_uniqueness", {rp.MAPPING: tables.mapping}, {rp.MAPPING: key}
+    )
     n = _zero("n")
     return as_findings(
         rows,
@@ -406,9 +464,10 @@ def mapping_uniqueness(tables: TableSet) -> DataFrame:
     )
 
 
-def value_ranges(tables: TableSet) -> DataFrame:
+def value_ranges(tables: TableSet, report: Report | None = None) -> DataFrame:
     """Check 7: rates, trends, development, month, sequences, minimum loads."""
     refs, parts = tables.refs, []
+    report = report or Report(_spark(tables))
 
     for table, name in [*[(t, rp.RATE) for t in rp.RATE_TABLES], (rp.TREND, rp.TREND_VALUE)]:
         if table in refs and name in refs[table].columns:
@@ -448,9 +507,17 @@ def value_ranges(tables: TableSet) -> DataFrame:
                 )
             )
     if rp.MONTH in tables.fact.columns:
+        months = report.stash(ranges.month_values(tables.fact, rp.MONTH), "months")
+        report.keep(
+            months.where("not valid"),
+            "yyyymm",
+            table=F.lit(rp.FACT),
+            column=F.lit(rp.MONTH),
+            record=F.col("value").cast("string"),
+        )
         parts.append(
             as_findings(
-                ranges.yyyymm_check(tables.fact, rp.MONTH),
+                ranges.months_summary(months, rp.MONTH),
                 "check7",
                 "yyyymm",
                 table=F.lit(rp.FACT),
@@ -459,14 +526,14 @@ def value_ranges(tables: TableSet) -> DataFrame:
                 n_bad="n_invalid",
                 metrics=metrics(n_distinct=F.col("n_distinct")),
                 detail="detail",
-                evidence=F.split("sample", ", "),
+                evidence="values",
             )
         )
     for table in rp.PATTERN_TABLES:
         if table in refs and rp.DEVELOPMENT in refs[table].columns:
             key = roles.pattern_key(refs[table].schema)
             if key:
-                parts.append(_sequence_finding(table, refs[table], key))
+                parts.append(_sequence_finding(table, refs[table], key, report))
     if rp.MIN_LOAD in refs:
         columns = roles.with_prefix(refs[rp.MIN_LOAD].schema, rp.MIN_LOAD_PREFIX)
         if columns:
@@ -487,16 +554,26 @@ def value_ranges(tables: TableSet) -> DataFrame:
     return union(parts) if parts else _nothing(tables)
 
 
-def _sequence_finding(table: str, ref: DataFrame, key: str) -> DataFrame:
+def _sequence_finding(table: str, ref: DataFrame, key: str, report: Report) -> DataFrame:
     failing = ranges.sequence_check(ref, key, rp.DEVELOPMENT, **rp.SEQUENCE_LIMITS)
     record = row_json(failing, [key, "first", "last", "reasons"])
-    rows = failing.select(F.lit(1).alias("all"), record.alias("record"))
-    top = collect_top(rows, ["all"], [F.col("record").asc()], F.col("record"), rp.EVIDENCE_ROWS)
+    stored = report.keep(
+        failing,
+        "sequence",
+        table=F.lit(table),
+        column=F.lit(rp.DEVELOPMENT),
+        record=record,
+        n_rows="n_gaps",
+    )
+    top = (
+        stored.select("record")
+        .orderBy("record")
+        .limit(report.evidence_rows)
+        .agg(F.sort_array(F.collect_list("record")).alias("evidence"))
+    )
     n = F.col("n")
     return as_findings(
-        failing.agg(F.count(F.lit(1)).alias("n")).withColumn(
-            "evidence", top.select("evidence").scalar()
-        ),
+        stored.agg(F.count(F.lit(1)).alias("n")).withColumn("evidence", top.scalar()),
         "check7",
         "sequence",
         table=F.lit(table),
@@ -511,9 +588,9 @@ def _sequence_finding(table: str, ref: DataFrame, key: str) -> DataFrame:
     )
 
 
-def key_coverage(tables: TableSet) -> DataFrame:
+def key_coverage(tables: TableSet, report: Report | None = None) -> DataFrame:
     """Check 8: measure on rows whose modelling key is null or blank."""
-    fact = tables.fact
+    fact, report = tables.fact, report or Report(_spark(tables))
     columns = sorted(roles.with_prefix(fact.schema, rp.MODELLING_PREFIX))
     if rp.MEASURE not in fact.columns or not columns:
         return _nothing(tables)
@@ -533,8 +610,11 @@ def key_coverage(tables: TableSet) -> DataFrame:
                 F.col("pct").alias(f"{rp.MEASURE}_%"),
             ]
         )
-        order = [col(rp.MEASURE).desc(), *short.values()]
-        top = collect_top(groups, ["column"], order, record, rp.EVIDENCE_ROWS)
+        stored = report.keep(
+            groups, "key_coverage", column="column", record=record, measure=rp.MEASURE, pct="pct"
+        )
+        order = [F.col("measure").desc(), F.col("record").asc()]
+        top = collect_top(stored, ["column"], order, F.col("record"), report.evidence_rows)
         rows = rows.join(top, "column", "left")
     else:
         rows = rows.withColumn("evidence", F.lit(None).cast("array<string>"))
@@ -562,7 +642,7 @@ def key_coverage(tables: TableSet) -> DataFrame:
 
 
 # check label -> (section, check names it reports per reference table when degraded, function)
-CHECKS: dict[str, tuple[str, tuple[str, ...], Callable[[TableSet], DataFrame]]] = {
+CHECKS: dict[str, tuple[str, tuple[str, ...], Callable[[TableSet, Report], DataFrame]]] = {
     "Check 1": ("check1", ("key_registration",), key_registration),
     "Checks 2-3": ("checks2_5", ("forward_ri", "reverse_ri"), referential_integrity),
     "Check 4": ("checks2_5", ("row_uniqueness",), row_uniqueness),

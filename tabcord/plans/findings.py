@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, local_rows
-from . import rulepack as rp
+from ..rules import rulepack as rp
 
 FINDING = T.StructType(
     [
@@ -95,6 +95,53 @@ def table_rollup(findings: DataFrame) -> DataFrame:
     ).groupBy("section", "check", "table", "column").agg(worst(F.col("status")).alias("status"))
 
 
+# Labels of the records by section or check.
+RECORD_LABELS = {
+    "check1": "Key column registration",
+    "checks2_5": "RI / Uniqueness / Parent columns",
+    "check6": "Non-Key_* uniqueness",
+    "check7": "Value range",
+    "check8": "Key_Modelling coverage",
+}
+ALL_PASSED = "All checks passed."
+
+
+def check_records(findings: DataFrame) -> DataFrame:
+    """One row per check as reported: id, label, table, column, status and summary.
+
+    The checks of a reference table are combined; their summary joins the
+    sentences of those that found something.
+    """
+    per_table = F.col("section") == "checks2_5"
+    place = F.array_position(
+        F.array(*map(F.lit, ("forward_ri", "reverse_ri", "row_uniqueness", "parent_columns"))),
+        F.col("check"),
+    )
+    told = (F.col("n_bad") > 0) & (place > 0) & F.col("detail").isNotNull()
+    sentence = F.when(~per_table | told, F.struct(place.alias("place"), "detail"))
+    target = F.concat_ws(" / ", "table", F.when(~per_table, F.col("column")))
+    spot = F.concat_ws(".", "section", "table", F.when(~per_table, F.col("column")))
+    label = F.create_map(*[F.lit(x) for pair in RECORD_LABELS.items() for x in pair])
+    rows = findings.where(F.col("check") != DEGRADED).select(
+        "section",
+        F.when(~per_table, F.col("check")).alias("check"),
+        F.concat_ws(" — ", label[F.col("section")], target).alias("label"),
+        spot.alias("check_id"),
+        "table",
+        F.when(~per_table, F.col("column")).alias("column"),
+        "status",
+        sentence.alias("sentence"),
+    )
+    # a handful of sentences per record
+    joined = F.array_join(
+        F.transform(F.sort_array(F.collect_list("sentence")), lambda s: s["detail"]), "; "
+    )
+    return rows.groupBy("section", "check", "check_id", "label", "table", "column").agg(
+        worst(F.col("status")).alias("status"),
+        F.when(joined == "", F.lit(ALL_PASSED)).otherwise(joined).alias("summary"),
+    )
+
+
 def summary_text(unit: Column) -> Column:
     """``N unit: a FAIL, b WARNING, c PASS.`` over the counts of a rollup."""
     counts = F.concat_ws(

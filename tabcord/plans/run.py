@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping
+import time
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 from datetime import UTC, datetime
 
 from pyspark import inheritable_thread_target
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import local_rows
 from ..functions.durable import materialise
 from ..sources.tables import MissingFact, TableSet, preaggregated
-from . import rulepack as rp
-from .checks import CHECKS, union
-from .findings import DEGRADED, FINDING, run_rollup, section_rollup, stated
+from ..rules import rulepack as rp
+from .checks import CHECKS, FAILED, union
+from .findings import DEGRADED, FINDING, check_records, run_rollup, section_rollup, stated
+from .report import Report
 
 log = logging.getLogger(__name__)
 
@@ -30,55 +32,112 @@ METADATA = (
 
 @dataclass(frozen=True)
 class Run:
-    """Findings, one row per section, and one row about the run itself."""
+    """Everything a run found: findings, sections, records per check, full rows, times.
+
+    ``details`` holds every row behind the findings (unmatched and orphaned
+    keys, duplicates, invalid values, failing sequences, unmapped groups);
+    findings show a few of them as evidence.  ``records`` has one row per check
+    as reported, table checks combined per table.  ``timings`` has the
+    milliseconds of each check.
+    """
 
     findings: DataFrame
     sections: DataFrame
     metadata: DataFrame
+    details: DataFrame
+    records: DataFrame
+    timings: DataFrame
 
     def write(self, path: str, fmt: str = "parquet") -> None:
-        """Write the three tables below ``path`` as Parquet or JSON."""
-        for name in ("findings", "sections", "metadata"):
-            getattr(self, name).write.mode("overwrite").format(fmt).save(f"{path}/{name}")
+        """Write the tables below ``path`` as Parquet or JSON."""
+        for f in fields(self):
+            getattr(self, f.name).write.mode("overwrite").format(fmt).save(f"{path}/{f.name}")
+
+
+TIMING = "label string, ms bigint"
 
 
 def _degraded(spark: SparkSession, label: str, warning: str, tables: TableSet) -> DataFrame:
     """Safe SKIP findings in place of a check that could not run."""
     section, names, _ = CHECKS[label]
-    base = {"section": section, "status": "SKIP", "detail": "Check failed", "warning": warning}
+    base = {"section": section, "status": "SKIP", "detail": FAILED, "warning": warning}
     rows = [{**base, "check": c, "table": t} for c in names for t in sorted(tables.refs)]
     if section == "check6":
         rows = [{**base, "check": "mapping_uniqueness", "table": rp.MAPPING}]
     return stated(spark, rows or [{**base, "check": DEGRADED}])
 
 
-def collect_findings(tables: TableSet, path: str | None = None) -> tuple[DataFrame, list[str]]:
+def collect_findings(
+    tables: TableSet, path: str | None = None, report: Report | None = None
+) -> tuple[DataFrame, list[str]]:
+    """The findings of all checks, and the warnings of those that could not run."""
+    report = report or Report(tables.fact.sparkSession, path or "")
+    findings, warnings, _ = timed_findings(tables, report)
+    return findings, warnings
+
+
+def timed_findings(
+    tables: TableSet, report: Report, labels: Sequence[str] = tuple(CHECKS)
+) -> tuple[DataFrame, list[str], list[tuple[str, int]]]:
     """Run each check on its own; a failing one becomes a warning, the rest go on.
 
     A check is lazy until its findings are written, so the guard encloses the
-    write.  Findings are bounded by the schemas, with evidence of 20 rows each.
+    write.  Findings are bounded by the schemas and the evidence they show.
     The checks are independent Spark jobs, submitted together so that small
     stages of one fill the executors another leaves idle.
     """
     spark = tables.fact.sparkSession
 
-    def guarded(number: int, label: str) -> tuple[DataFrame, str | None]:
+    def guarded(label: str) -> tuple[DataFrame, list[str], tuple[str, int]]:
+        started = time.perf_counter()
         try:
-            target = f"{path}/check_{number}" if path else None
-            rows = CHECKS[label][2](tables).repartition(1)  # a few rows: one small file
-            return materialise(rows, f"check_{number}", target), None
+            rows = CHECKS[label][2](tables, report).repartition(1)  # a few rows: one small file
+            place = f"{report.folder}/findings/{label.replace(' ', '_')}"
+            part = materialise(rows, "findings", place)
+            noted = part.where("warning IS NOT NULL").select("warning").distinct().collect()
+            warnings = sorted(r["warning"] for r in noted)  # at most one per table
         except Exception as e:
             log.warning("%s failed: %s", label, e)
             text = f"{label} degraded: {str(e).splitlines()[0] if str(e) else repr(e)}"
-            return _degraded(spark, label, text, tables), text
+            part, warnings = _degraded(spark, label, text, tables), [text]
+        ms = int((time.perf_counter() - started) * 1000)
+        log.info("%s: %d ms", label, ms)
+        return part, warnings, (label, ms)
 
-    with ThreadPoolExecutor(len(CHECKS)) as pool:
-        jobs = [
-            pool.submit(inheritable_thread_target(spark)(guarded), i, label)
-            for i, label in enumerate(CHECKS)
-        ]
+    with ThreadPoolExecutor(len(labels)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(guarded), label) for label in labels]
         done = [job.result() for job in jobs]
-    return union([part for part, _ in done]), [text for _, text in done if text]
+    return union([d[0] for d in done]), [w for d in done for w in d[1]], [d[2] for d in done]
+
+
+def prepared(
+    tables: TableSet, report: Report, aggregate: bool, exact: str | None, store: bool
+) -> TableSet:
+    """The tables as the checks read them, each computed once.
+
+    The fact is stored summed over the columns that a check needs.  References
+    and the mapping are stored as they are, since several checks read each of
+    them and they may be derived; ``store=False`` spares that for plain files.
+    """
+    spark = tables.fact.sparkSession
+    scratch = f"{report.folder}/scratch/tables"
+    jobs = {}
+    with ThreadPoolExecutor(8) as pool:
+        submit = lambda f, *a: pool.submit(inheritable_thread_target(spark)(f), *a)
+        if aggregate:
+            jobs[rp.FACT] = submit(preaggregated, tables, f"{scratch}/{rp.FACT}", exact)
+        if store:
+            for name, df in {**tables.refs, rp.MAPPING: tables.mapping}.items():
+                if df is not None:
+                    jobs[name] = submit(materialise, df, name, f"{scratch}/{name}")
+        done = {name: job.result() for name, job in jobs.items()}
+    if aggregate:
+        tables = done.pop(rp.FACT)
+    return replace(
+        tables,
+        mapping=done.get(rp.MAPPING, tables.mapping),
+        refs={name: done.get(name, df) for name, df in tables.refs.items()},
+    )
 
 
 def run_checks(
@@ -86,20 +145,45 @@ def run_checks(
     aggregate: bool = True,
     path: str | None = None,
     started: datetime | None = None,
+    evidence_rows: int = rp.EVIDENCE_ROWS,
+    exact: str | None = None,
+    store_references: bool = True,
+    checks: Sequence[str] = tuple(CHECKS),
 ) -> Run:
-    """All checks, with the fact table read once into a stored aggregate first."""
+    """All checks (or those named), each table read once.
+
+    Findings and details stay below ``path``; intermediates are removed at the
+    end and on failure.  ``evidence_rows`` limits what a finding shows, never
+    the details.  ``exact`` names a decimal type in which the measure is
+    summed, so that results do not depend on the order of rows.
+    """
     spark, started = tables.fact.sparkSession, started or datetime.now(UTC)
-    if aggregate:
-        tables = preaggregated(tables)
-    findings, warnings = collect_findings(tables, path)
+    report = Report(spark, path or "", evidence_rows)
+    try:
+        ready = prepared(tables, report, aggregate, exact, store_references)
+        return _checked(ready, report, started, checks)
+    finally:
+        report.clear()
+
+
+def _checked(tables: TableSet, report: Report, started: datetime, checks: Sequence[str]) -> Run:
+    spark = tables.fact.sparkSession
+    findings, warnings, times = timed_findings(tables, report, checks)
     warnings = [*tables.notes, *warnings]
-    sections = materialise(section_rollup(findings), "sections")
+    sections = materialise(section_rollup(findings), "", f"{report.folder}/sections")
     status = run_rollup(sections, len(warnings)).first()["status"]
     n = len(tables.names())
     row = _metadata_row(
         status, f"Overall: {status} — {n} table(s) loaded.", started, tables.names(), warnings, []
     )
-    return Run(findings, sections, local_rows(spark, [row], METADATA))
+    return Run(
+        findings,
+        sections,
+        local_rows(spark, [row], METADATA),
+        report.details(),
+        check_records(findings),
+        local_rows(spark, times, TIMING),
+    )
 
 
 def _metadata_row(status, summary, started, names, warnings, errors) -> tuple:
@@ -127,20 +211,29 @@ def guarded_run(
     """Load and run; a failure before the checks yields a FAIL run without sections."""
     started = datetime.now(UTC)
     names: list[str] = []
+    report = Report(spark, path or "")
     try:
-        found, notes = load()
-        names = list(found)
-        tables = TableSet.classify(found, notes)
-        if aggregate:
-            tables = preaggregated(tables)
-    except Exception as e:
-        log.error("set-up failed: %s", e)
-        if isinstance(e, MissingFact):
-            text = summary = str(e)
-        else:
-            text, summary = f"Fatal setup error: {e}", "Fatal setup error before checks could run."
-        row = _metadata_row("FAIL", summary, started, names, [], [text])
-        empty = local_rows(spark, [], FINDING)
-        none = section_rollup(empty).where(F.lit(False))
-        return Run(empty, none, local_rows(spark, [row], METADATA))
-    return run_checks(tables, aggregate=False, path=path, started=started)
+        try:
+            found, notes = load()
+            names = list(found)
+            tables = prepared(TableSet.classify(found, notes), report, aggregate, None, True)
+        except Exception as e:
+            log.error("set-up failed: %s", e)
+            if isinstance(e, MissingFact):
+                text = summary = str(e)
+            else:
+                text = f"Fatal setup error: {e}"
+                summary = "Fatal setup error before checks could run."
+            row = _metadata_row("FAIL", summary, started, names, [], [text])
+            empty = local_rows(spark, [], FINDING)
+            return Run(
+                empty,
+                section_rollup(empty).where(F.lit(False)),
+                local_rows(spark, [row], METADATA),
+                report.details(),
+                check_records(empty),
+                local_rows(spark, [], TIMING),
+            )
+        return _checked(tables, report, started, tuple(CHECKS))
+    finally:
+        report.clear()

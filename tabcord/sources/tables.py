@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions.columns import clean, col
 from ..functions.durable import materialise
-from ..plans import roles
-from ..plans import rulepack as rp
+from ..rules import roles
+from ..rules import rulepack as rp
 
 log = logging.getLogger(__name__)
 
@@ -27,7 +27,8 @@ class MissingFact(LookupError):
 class TableSet:
     """The tables of a run by role; everything but fact and mapping is a reference.
 
-    ``rows`` names the row-count column of a pre-aggregated fact.
+    ``rows`` names the row-count column of a pre-aggregated fact, and
+    ``fact_columns`` the columns the fact had before it was aggregated.
     """
 
     fact: DataFrame
@@ -35,6 +36,7 @@ class TableSet:
     refs: dict[str, DataFrame] = field(default_factory=dict)
     notes: tuple[str, ...] = ()
     rows: str | None = None
+    fact_columns: tuple[str, ...] | None = None
 
     @classmethod
     def classify(cls, tables: Mapping[str, DataFrame], notes: Iterable[str] = ()) -> TableSet:
@@ -43,6 +45,10 @@ class TableSet:
         refs = {n: df for n, df in tables.items() if n not in (rp.FACT, rp.MAPPING)}
         return cls(tables[rp.FACT], tables.get(rp.MAPPING), refs, tuple(notes))
 
+    def registered(self) -> list[str]:
+        """Columns of the fact as it was loaded."""
+        return list(self.fact_columns or self.fact.columns)
+
     def names(self) -> list[str]:
         return [rp.FACT, *([rp.MAPPING] if self.mapping is not None else []), *self.refs]
 
@@ -98,11 +104,47 @@ def load_csv_tables(
     return found
 
 
+def csv_tables(
+    spark: SparkSession,
+    directory: str,
+    schemas: Mapping[str, T.StructType | str],
+    prefix: str = "tbl_",
+) -> tuple[dict[str, DataFrame], list[str]]:
+    """Find the CSV tables of a folder and open them, with a note for each without a schema.
+
+    The folder is listed by Spark, so it may lie in any store; a table is a
+    file or a folder named ``<prefix>*.csv``.  Types are declared, never
+    inferred, so a table without a declared schema is reported, not guessed.
+    """
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+        name = F.regexp_extract("path", rf"/({prefix}[^/]*)\.csv(/[^/]*)?$", 1)
+        names = [r[0] for r in files.select(name).where(name != "").distinct().collect()]
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
+        names = []
+    known = {n: schemas[n] for n in sorted(names) if n in schemas}
+    notes = [f"{n}.csv has no declared schema" for n in sorted(names) if n not in schemas]
+    for note in notes:
+        log.warning(note)
+    return load_csv_tables(spark, directory, known), notes
+
+
 def preaggregate(
-    fact: DataFrame, keys: Sequence[str], measure: str = rp.MEASURE, rows_as: str | None = None
+    fact: DataFrame,
+    keys: Sequence[str],
+    measure: str = rp.MEASURE,
+    rows_as: str | None = None,
+    exact: str | None = None,
 ) -> DataFrame:
-    """Sum the measure per key combination, optionally with the number of rows."""
-    aggs = [F.sum(col(measure)).alias(measure)] if measure in fact.columns else []
+    """Sum the measure per key combination, optionally with the number of rows.
+
+    A floating measure is summed in the order in which rows arrive; ``exact``
+    names a decimal type to sum it in, so that the result never depends on it.
+    """
+    value = col(measure).cast(exact) if exact else col(measure)
+    aggs = [F.sum(value).alias(measure)] if measure in fact.columns else []
     if rows_as:
         aggs.append(F.count(F.lit(1)).alias(rows_as))
     rows = fact.select(
@@ -113,7 +155,9 @@ def preaggregate(
     return groups.agg(*aggs) if aggs else rows.distinct()
 
 
-def preaggregated(tables: TableSet, path: str | None = None) -> TableSet:
+def preaggregated(
+    tables: TableSet, path: str | None = None, exact: str | None = None
+) -> TableSet:
     """Replace the fact table by its stored aggregate, rebuilt on every call.
 
     The full fact table is read once; every later check reads the aggregate.
@@ -125,5 +169,6 @@ def preaggregated(tables: TableSet, path: str | None = None) -> TableSet:
     rows = "n_rows"
     while rows in tables.fact.columns:
         rows += "_"
-    small = materialise(preaggregate(tables.fact, keys, rows_as=rows), rp.FACT, path)
-    return TableSet(small, tables.mapping, tables.refs, tables.notes, rows)
+    sums = preaggregate(tables.fact, keys, rows_as=rows, exact=exact)
+    small = materialise(sums, rp.FACT, path)
+    return replace(tables, fact=small, rows=rows, fact_columns=tuple(tables.fact.columns))

@@ -111,6 +111,13 @@ def test_domain_violations(frame, dicts):
     assert got == [{"column": "a", "value": "z"}, {"column": "b", "value": "u"}]
 
 
+def test_domain_values_of_two_number_types_are_compared_as_numbers(spark, dicts):
+    ref = spark.sql("SELECT 1L AS a, CAST(1.5 AS DECIMAL(10,2)) AS b UNION ALL SELECT 2L, 2.5")
+    fact = spark.sql("SELECT 1.0D AS a, CAST(1.5 AS DECIMAL(12,3)) AS b")
+    got = dicts(ig.domain_violations(ref, fact, ["a", "b"]).orderBy("column"))
+    assert got == [{"column": "a", "value": "2.0"}, {"column": "b", "value": "2.500"}]
+
+
 CATALOG = "table string, column string"
 
 

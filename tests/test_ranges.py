@@ -79,7 +79,7 @@ def test_a_date_is_no_month(frame, dicts):
 
 def test_month_wording(frame, dicts):
     got = dicts(rg.yyyymm_check(frame("m int", (202604,), (202613,)), "m"))[0]
-    assert got["detail"] == "1 value(s) not in valid YYYYMM format: [202604, 202613]"
+    assert got["detail"] == "1 value(s) not in valid YYYYMM format: [202613, 202604]"
 
 
 def sequence(frame, rows, ddl="k string, p int", **kw):

@@ -248,6 +248,75 @@ def test_forecast_and_minimum_load_rules(frame):
     ]
 
 
+def test_details_hold_every_row_behind_the_findings(spark, frame):
+    many = [(f"P{i:03}", "NSW", 1.0, 202500 + i % 14, None) for i in range(60)]
+    fact = frame(
+        "Key_Policy string, State string, Premium double, AsAt_Month int, Key_Modelling string", *many
+    )
+    tables = {**small(frame), "tbl_DetailedData": fact}
+    ref = [(f"Q{i:03}", "NSW", 0.1) for i in range(50)] * 2
+    tables["tbl_RateChange"] = frame("Key_Policy string, State string, RateChange double", *ref)
+    done = run.run_checks(TableSet.classify(tables), evidence_rows=3)
+    held = {r["check"]: r["n"] for r in done.details.groupBy("check").agg(F.count("*").alias("n")).collect()}
+    bad = {r["check"]: r for r in done.findings.where("n_bad > 0").collect()}
+    for check, n in {"forward_ri": 60, "reverse_ri": 50, "row_uniqueness": 50, "yyyymm": 2}.items():
+        assert held[check] == bad[check]["n_bad"] == n
+    assert len(bad["reverse_ri"]["evidence"]) == 3
+    month = bad["yyyymm"]
+    assert month["evidence"][:2] == ["202500", "202513"] and len(month["evidence"]) == 5
+    assert month["detail"].startswith("2 value(s) not in valid YYYYMM format: [202500, 202513")
+
+
+def test_records_combine_the_checks_of_a_table(golden):
+    got = {r["check_id"]: r for r in golden.records.collect()}
+    trend = got["checks2_5.tbl_Trend"]
+    assert trend["label"] == "RI / Uniqueness / Parent columns — tbl_Trend"
+    assert (trend["status"], trend["summary"]) == (
+        "FAIL",
+        "Forward RI: 2 unmatched combination(s); Reverse RI: 2 orphaned combination(s); "
+        "Parent cols: 1 failing",
+    )
+    assert got["checks2_5.tbl_Patterns_Attr"]["summary"] == "All checks passed."
+    assert got["check7.tbl_Trend.Trend_Value"]["label"] == "Value range — tbl_Trend / Trend_Value"
+    assert "check1.tbl_RateChange" in got and "check6.tbl_Key_Mapping" in got
+    times = {r["label"]: r["ms"] for r in golden.timings.collect()}
+    assert set(times) == set(checks.CHECKS) and min(times.values()) >= 0
+
+
+def test_numeric_keys_and_missing_measures_agree_in_both_modes(frame):
+    fact = frame(
+        "Key_A bigint, State string, Premium double",
+        (1, "N", 75.0),
+        (2, "S", 25.0),
+        (2, "S", float("nan")),
+        (3, "S", None),
+    )
+    ref = frame("Key_A bigint, State string", (1, "N"))
+    tables = TableSet.classify({"tbl_DetailedData": fact, "tbl_X": ref})
+    raw, plain = (run.run_checks(tables, aggregate=a).findings for a in (True, False))
+    assert diff_summary(raw.select(*CORE), plain.select(*CORE)).first()["equal"]
+    got = {r["check"]: r for r in raw.collect()}
+    assert got["key_registration"]["status"] == "PASS"
+    assert (got["forward_ri"]["measure_bad"], got["forward_ri"]["pct"]) == (25.0, 25.0)
+
+
+def test_a_type_clash_leaves_out_its_table_only(frame):
+    clash = frame("Key_Policy date, RateChange double")
+    tables = small(frame, tbl_RateChange_Pol=clash)
+    findings, warnings = run.collect_findings(TableSet.classify(tables))
+    got = {r["table"]: r["status"] for r in findings.where("check = 'forward_ri'").collect()}
+    assert got == {"tbl_RateChange": "PASS", "tbl_RateChange_Pol": "SKIP"}
+    assert len(warnings) == 1 and warnings[0].startswith("Checks 2-3 degraded: key column")
+
+
+def test_a_run_leaves_no_intermediates(spark, frame, tmp_path):
+    run.run_checks(TableSet.classify(small(frame)), path=str(tmp_path / "run"))
+    assert sorted(p.name for p in (tmp_path / "run").iterdir()) == ["details", "findings", "sections"]
+    with pytest.raises(Exception):
+        run.run_checks(TableSet.classify(small(frame)), path=str(tmp_path / "bad"), checks=["x"])
+    assert not (tmp_path / "bad" / "scratch").exists()
+
+
 def test_data_columns_may_be_named_like_result_columns(frame):
     ddl = "n_rows string, measure string, column string, key string, `a.b` string"
     names = ["n_rows", "measure", "column", "key", "a.b"]

@@ -94,6 +94,34 @@ def test_periods(frame, dicts):
     assert suffix[1]["s"] == "2018_2022ex2020"
 
 
+def test_odd_periods_keep_their_row(frame, dicts):
+    df = frame("p string", ("2018-x",), (None,), ("2022-2020",), ("1-99999999",), ("2019 ex y",), ("",))
+    got = {r["p"]: (r["year"], r["excluded"], r["problem"]) for r in dicts(sh.period_years(df, "p"))}
+    assert got == {
+        "2018-x": (None, False, "malformed"),
+        None: (None, False, "missing"),
+        "2022-2020": (None, False, "reversed"),
+        "1-99999999": (None, False, "malformed"),
+        "2019 ex y": (2019, False, "malformed"),
+        "": (None, False, "malformed"),
+    }
+
+
+def test_placeholder_rows_keep_the_types(frame):
+    empty = frame("Key_A bigint, Key_B string, Comments string")
+    got = sh.fill_empty_tables({"e": empty})["e"]
+    assert got.dtypes == empty.dtypes and rows(got) == [(None, "Not in Use", "")]
+
+
+def test_comparison_looks_into_nested_values(spark):
+    a = spark.sql(
+        "SELECT map('x', 0.1D + 0.2D, 'y', double('NaN')) AS m, array(named_struct('f', 0.3D)) AS l"
+    )
+    b = spark.sql("SELECT map('y', CAST(NULL AS DOUBLE), 'x', 0.3D) AS m, array(named_struct('f', 0.1D + 0.2D)) AS l")
+    assert cp.diff_summary(a, b).first()["equal"]
+    assert not cp.diff_summary(a, b.selectExpr("m", "array(named_struct('f', 0.4D)) AS l")).first()["equal"]
+
+
 def test_display_columns(frame):
     df = frame("a int, b int, c int")
     assert sh.display_columns(df, ["b"], ["c", "z"]).columns == ["b", "c"]

@@ -57,6 +57,14 @@ def test_no_candidates_gives_no_rows(frame, dicts):
     assert dicts(un.parent_violations(frame("k string", ("a",)), ["k"], ["x"])) == []
 
 
+def test_an_empty_table_breaks_no_rule(frame, dicts):
+    got = dicts(un.parent_violations(frame("k string, a string, b int"), ["k"], ["a", "b"]))
+    assert sorted((r["column"], r["n_bad_keys"], r["is_parent"]) for r in got) == [
+        ("a", 0, True),
+        ("b", 0, True),
+    ]
+
+
 MAP = "seg string, reg string, lob string, key string"
 
 

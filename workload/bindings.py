@@ -63,7 +63,7 @@ def yyyymm(name: str) -> Column:
 
 
 def places(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations with their regions: 25 rows at every scale, so safe to broadcast."""
+    """Nations with their regions; Spark broadcasts them if their size allows."""
     nation, region = read(spark, sf, "nation"), read(spark, sf, "region")
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         "n_nationkey", F.col("n_name").alias("nat"), F.col("r_name").alias("reg")
@@ -74,11 +74,22 @@ def buyers(spark: SparkSession, sf: str) -> DataFrame:
     """Customers with segment, nation and region."""
     where = places(spark, sf)
     customer = read(spark, sf, "customer")
-    return customer.join(F.broadcast(where), customer.c_nationkey == where.n_nationkey).select(
+    return customer.join(where, customer.c_nationkey == where.n_nationkey).select(
         "c_custkey", F.col("c_mktsegment").alias("seg"), "nat", "reg", "c_acctbal"
     )
 
 
+def balance_class(name: str) -> Column:
+    """Balances in thousands."""
+    return F.floor(F.col(name) / 1000)
+
+
+def labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with their length, and the labels; many documents have none."""
+    docs = read(spark, sf, "documents").select("doc_id", "n_chars")
+    return docs, read(spark, sf, "labels").select("doc_id")
+
+
 def part_sales(spark: SparkSession, sf: str) -> DataFrame:
     """Sales by brand and type.
 
@@ -96,15 +107,6 @@ def part_sales(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def large_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Reference of brand and type over large parts only, so some sales have no match."""
-    return (
-        read(spark, sf, "part")
-        .where("p_size > 40")
-        .select(F.col("p_brand").alias("brand"), F.col("p_type").alias("ptype"))
-    )
-
-
 def order_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with the dimensions of their buyer.
 
@@ -119,6 +121,7 @@ def order_facts(spark: SparkSession, sf: str) -> DataFrame:
         "reg",
         F.col("o_orderpriority").alias("prio"),
         yyyymm("o_orderdate").alias("month"),
+        balance_class("c_acctbal").alias("bal"),
     )
 
 
@@ -137,6 +140,7 @@ def sales(spark: SparkSession, sf: str) -> DataFrame:
             F.col("p_type").alias("ptype"),
             "prio",
             "month",
+            "bal",
             cents("l_extendedprice").alias("price"),
         )
     )
@@ -163,6 +167,7 @@ def rule_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     part, supplier = read(spark, sf, "part"), read(spark, sf, "supplier")
     orders, who, where = read(spark, sf, "orders"), buyers(spark, sf), places(spark, sf)
     col, when, lit = F.col, F.when, F.lit
+    trend_key = lambda balance: F.concat_ws(" ", "nat", balance.cast("string"))
     fact = sales(spark, sf).select(
         col("month").alias("AsAt_Month"),
         col("price").alias("Premium"),
@@ -171,7 +176,7 @@ def rule_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         col("nat").alias("Nation"),
         col("ptype").alias("ProductType"),
         col("brand").alias("Key_RateChange"),
-        col("nat").alias("Key_Trend"),
+        trend_key(col("bal")).alias("Key_Trend"),
         col("prio").alias("Key_Pattern_Attr"),
         when(col("prio") != "4-NOT SPECIFIED", col("seg")).alias("Key_Modelling"),
         when(col("ptype") == "MEDIUM", " ").otherwise(col("ptype")).alias("Key_Modelling_Type"),
@@ -180,27 +185,26 @@ def rule_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         col("seg").alias("Segment"),
         col("reg").alias("Region"),
         col("nat").alias("Nation"),
-        col("nat").alias("Key_Trend"),
+        trend_key(balance_class("c_acctbal")).alias("Key_Trend"),
         col("seg").alias("Key_Modelling"),
         when(col("c_acctbal") > 0, "POS").otherwise("NEG").alias("Key_Pattern_Attr"),
     ).distinct()
-    rate = part.where("p_size > 40").select(
+    rate = part.select(
         col("p_brand").alias("Key_RateChange"),
         col("p_type").alias("ProductType"),
         ((col("p_size") - 45) / lit(10.0)).alias("RateChange"),
     )
-    rate_pol = part.where("p_size <= 40").select(
+    rate_pol = part.select(
         col("p_brand").alias("Key_RateChange"), (col("p_size") / lit(10.0)).alias("RateChange")
     )
-    trend = supplier.join(F.broadcast(where), supplier.s_nationkey == where.n_nationkey).select(
-        col("nat").alias("Key_Trend"),
+    trend = supplier.join(where, supplier.s_nationkey == where.n_nationkey).select(
+        trend_key(balance_class("s_acctbal")).alias("Key_Trend"),
         F.concat(lit("P"), F.floor(col("s_acctbal") / 1000).cast("string")).alias("Trend_Period"),
         (col("s_acctbal") / lit(20000.0)).alias("Trend_Value"),
     )
     year, month = F.year("o_orderdate"), F.month("o_orderdate")
     pattern = (
-        orders.where((col("o_orderpriority") != "5-LOW") | (month != 6))
-        .groupBy(
+        orders.groupBy(
             col("o_orderpriority").alias("Key_Pattern_Attr"),
             ((year - 1995) * 12 + month).cast("long").alias("DevM"),
         )

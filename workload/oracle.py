@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-PART_SALES = """
-  part_sales AS (
-    SELECT p_brand AS brand, p_type AS ptype, l_extendedprice::DECIMAL(18,2) AS price
-    FROM lineitem JOIN part ON l_partkey = p_partkey),
-  large_parts AS (SELECT p_brand AS brand, p_type AS ptype FROM part WHERE p_size > 40),
-  unmatched AS (
-    SELECT brand, ptype, sum(price) AS price FROM part_sales s
-    WHERE NOT EXISTS (SELECT 1 FROM large_parts r
-                      WHERE r.brand IS NOT DISTINCT FROM s.brand
-                        AND r.ptype IS NOT DISTINCT FROM s.ptype)
-    GROUP BY brand, ptype),
-  total AS (SELECT sum(price)::DOUBLE AS total FROM part_sales)
-"""
-
-FORWARD = f"""
-  WITH {PART_SALES}
-  SELECT brand, ptype, price::DOUBLE AS price,
-         round_even(price::DOUBLE / (SELECT total FROM total) * 100, 1)::DOUBLE AS pct
-  FROM unmatched
+FORWARD = """
+  WITH total AS (SELECT sum(n_chars)::DOUBLE AS total FROM documents)
+  SELECT doc_id, sum(n_chars)::DOUBLE AS n_chars,
+         round_even(sum(n_chars)::DOUBLE / (SELECT total FROM total) * 100, 1)::DOUBLE AS pct
+  FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+  GROUP BY doc_id
 """
 
 SALES = """
   sales AS (
     SELECT c_mktsegment AS seg, n_name AS nat, r_name AS reg, p_brand AS brand, p_type AS ptype,
            o_orderpriority AS prio, year(o_orderdate) * 100 + month(o_orderdate) AS month,
-           l_extendedprice::DECIMAL(18,2) AS price
+           floor(c_acctbal / 1000)::BIGINT AS bal, l_extendedprice::DECIMAL(18,2) AS price
     FROM lineitem
     JOIN orders ON l_orderkey = o_orderkey
     JOIN customer ON o_custkey = c_custkey
@@ -40,7 +27,7 @@ RULE_TABLES = f"""
   {SALES},
   dd AS (
     SELECT month AS AsAt_Month, price AS Premium, seg AS Segment, reg AS Region, nat AS Nation,
-           ptype AS ProductType, brand AS Key_RateChange, nat AS Key_Trend,
+           ptype AS ProductType, brand AS Key_RateChange, nat || ' ' || bal AS Key_Trend,
            prio AS Key_Pattern_Attr,
            CASE WHEN prio <> '4-NOT SPECIFIED' THEN seg END AS Key_Modelling,
            CASE WHEN ptype = 'MEDIUM' THEN ' ' ELSE ptype END AS Key_Modelling_Type
@@ -49,19 +36,20 @@ RULE_TABLES = f"""
     SELECT c_mktsegment AS seg, n_name AS nat, r_name AS reg, c_acctbal
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
   mapping AS (
-    SELECT DISTINCT seg AS Segment, reg AS Region, nat AS Nation, nat AS Key_Trend,
+    SELECT DISTINCT seg AS Segment, reg AS Region, nat AS Nation,
+           nat || ' ' || floor(c_acctbal / 1000)::BIGINT AS Key_Trend,
            seg AS Key_Modelling,
            CASE WHEN c_acctbal > 0 THEN 'POS' ELSE 'NEG' END AS Key_Pattern_Attr
     FROM who),
   rate AS (
     SELECT p_brand AS Key_RateChange, p_type AS ProductType,
            (p_size - 45)::DOUBLE / 10 AS RateChange
-    FROM part WHERE p_size > 40),
+    FROM part),
   rate_pol AS (
     SELECT p_brand AS Key_RateChange, p_size::DOUBLE / 10 AS RateChange
-    FROM part WHERE p_size <= 40),
+    FROM part),
   trend AS (
-    SELECT n_name AS Key_Trend, 'P' || floor(s_acctbal / 1000)::BIGINT AS Trend_Period,
+    SELECT n_name || ' ' || floor(s_acctbal / 1000)::BIGINT AS Key_Trend, 'P' || floor(s_acctbal / 1000)::BIGINT AS Trend_Period,
            s_acctbal / 20000 AS Trend_Value
     FROM supplier JOIN nation ON s_nationkey = n_nationkey),
   pattern AS (
@@ -69,8 +57,7 @@ RULE_TABLES = f"""
            (year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS DevM,
            sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(*)::DOUBLE / 260000.0::DOUBLE
              AS DevPct_Incd_Attr
-    FROM orders WHERE o_orderpriority <> '5-LOW' OR month(o_orderdate) <> 6
-    GROUP BY ALL),
+    FROM orders GROUP BY ALL),
   forecast AS (
     SELECT nat AS Key_Forecast, seg AS Key_Modelling,
            CASE WHEN c_acctbal >= 0 THEN reg ELSE 'OFFSHORE' END AS Region, reg AS Area,
@@ -205,6 +192,45 @@ def ri_row(name: str, table: str, keys: list[str], ref_measure: str | None = Non
             WHERE NOT EXISTS (SELECT 1 FROM dd r WHERE {on}))"""
 
 
+#: Reference tables of the rule pack with their join keys.
+JOIN_KEYS = {
+    "tbl_RateChange": ("rate", ["Key_RateChange", "ProductType"]),
+    "tbl_RateChange_Pol": ("rate_pol", ["Key_RateChange"]),
+    "tbl_Trend": ("trend", ["Key_Trend"]),
+    "tbl_Patterns_Attr": ("pattern", ["Key_Pattern_Attr"]),
+    "tbl_Forecast": ("forecast", ["Key_Modelling", "Region"]),
+    "tbl_Min_Large_Load": ("load", ["Key_RateChange", "ProductType"]),
+}
+
+
+def loose_rows(fact: str, forward: bool) -> str:
+    """Every key of one side that the other lacks, for all reference tables."""
+    names = {
+        "key_rate": "Key_RateChange",
+        "product": "ProductType",
+        "key_trend": "Key_Trend",
+        "key_pattern": "Key_Pattern_Attr",
+        "key_modelling": "Key_Modelling",
+        "region": "Region",
+    }
+    parts = []
+    for name, (table, keys) in JOIN_KEYS.items():
+        mine, other = (fact, table) if forward else (table, fact)
+        on = " AND ".join(f"o.{k} IS NOT DISTINCT FROM m.{k}" for k in keys)
+        cells = ", ".join(f"{k if k in keys else 'NULL::VARCHAR'} AS {n}" for n, k in names.items())
+        measure = "NULL::DOUBLE"
+        if forward:
+            measure = "sum(Premium)::DOUBLE"
+        elif name == "tbl_Forecast":
+            measure = "sum(Forecast_Premium)::DOUBLE"
+        parts.append(
+            f"""
+            SELECT '{name}' AS table_name, {cells}, {measure} AS measure FROM {mine} m
+            WHERE NOT EXISTS (SELECT 1 FROM {other} o WHERE {on}) GROUP BY {", ".join(keys)}"""
+        )
+    return " UNION ALL ".join(parts)
+
+
 def finding(
     section: str, check: str, table: str, status: str, n_bad: str, source: str,
     column: str = "NULL", keys: str = "NULL", measure: str = "NULL", pct: str = "NULL",
@@ -320,7 +346,8 @@ def _run_rows() -> str:
     rows.append(
         finding(
             "check7", "yyyymm", "'tbl_DetailedData'", _pass_fail("count(DISTINCT AsAt_Month) - 1"),
-            "0", "dd", column="'AsAt_Month'",
+            "count(DISTINCT AsAt_Month) FILTER (AsAt_Month % 100 NOT BETWEEN 1 AND 12)", "dd",
+            column="'AsAt_Month'",
         )
     )
     rows.append(
@@ -426,14 +453,10 @@ PERIODS = """
 """
 
 COMPARED = """
-  a AS (SELECT l_orderkey, l_linenumber, l_tax, l_returnflag FROM lineitem),
-  b AS (SELECT l_orderkey, l_linenumber,
-               CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 0.5 ELSE l_tax END AS l_tax,
-               l_returnflag FROM a),
-  signed AS (SELECT *, 1 AS s FROM a UNION ALL SELECT *, -1 FROM b),
-  diff AS (
-    SELECT l_orderkey, l_linenumber, l_tax, l_returnflag, sum(s) AS s FROM signed
-    GROUP BY ALL HAVING sum(s) <> 0)
+  b AS (SELECT * REPLACE (CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 0.5
+                               ELSE l_tax END AS l_tax) FROM lineitem),
+  signed AS (SELECT *, 1 AS s FROM lineitem UNION ALL SELECT *, -1 FROM b),
+  diff AS (SELECT * EXCLUDE (s), sum(s) AS s FROM signed GROUP BY ALL HAVING sum(s) <> 0)
 """
 
 _TABLES = (
@@ -446,9 +469,16 @@ ORACLE: dict[str, str] = {
         f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _TABLES
     ),
     "csv_tables": """
-        SELECT c_mktsegment, count(*) AS n_rows,
-               sum(c_acctbal::DECIMAL(18,2))::DOUBLE AS balance, min(c_name) AS first_name
-        FROM customer GROUP BY c_mktsegment""",
+        SELECT 'tbl_customer' AS source, c_mktsegment AS seg, count(*) AS n_rows,
+               sum(c_acctbal::DECIMAL(18,2))::DOUBLE AS balance
+        FROM customer GROUP BY c_mktsegment
+        UNION ALL SELECT 'tbl_supplier', NULL, count(*), sum(s_acctbal::DECIMAL(18,2))::DOUBLE
+        FROM supplier
+        UNION ALL SELECT 'tbl_nation.csv has no declared schema', NULL, 0, NULL""",
+    "preaggregate_exact": """
+        SELECT l_returnflag, l_linestatus, count(*) AS n_rows,
+               sum(l_extendedprice::DECIMAL(20,2))::DOUBLE AS l_extendedprice
+        FROM lineitem GROUP BY ALL""",
     "preaggregate": f"""
         WITH {SALES} SELECT seg, nat, brand, ptype, sum(price)::DOUBLE AS price
         FROM sales GROUP BY ALL""",
@@ -456,15 +486,18 @@ ORACLE: dict[str, str] = {
         WITH {SALES} SELECT seg, reg, sum(price)::DOUBLE AS price,
                count(DISTINCT (prio, month)) AS n_groups
         FROM sales GROUP BY seg, reg""",
-    "forward_ri_keys": f"WITH {PART_SALES} SELECT brand, ptype FROM unmatched",
+    "forward_ri_keys": """
+        SELECT DISTINCT doc_id FROM documents
+        WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "forward_ri": FORWARD,
-    "forward_ri_top10": f"{FORWARD} ORDER BY price DESC, brand, ptype LIMIT 10",
-    "forward_ri_summary": f"""
-        WITH {PART_SALES}
-        SELECT count(*) AS n_unmatched, sum(price)::DOUBLE AS unmatched_measure,
-               sum(price)::DOUBLE / (SELECT total FROM total) * 100 AS unmatched_pct,
+    "forward_ri_top10": f"{FORWARD} ORDER BY n_chars DESC, doc_id LIMIT 10",
+    "forward_ri_summary": """
+        WITH u AS (SELECT doc_id, sum(n_chars)::DOUBLE AS n FROM documents
+                   WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id)
+        SELECT count(*) AS n_unmatched, sum(n) AS unmatched_measure,
+               sum(n) / (SELECT sum(n_chars)::DOUBLE FROM documents) * 100 AS unmatched_pct,
                CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status
-        FROM unmatched""",
+        FROM u""",
     "reverse_ri": """
         SELECT o_orderkey AS orderkey FROM orders o
         WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
@@ -473,15 +506,15 @@ ORACLE: dict[str, str] = {
         SELECT c_custkey AS custkey, sum(c_acctbal::DECIMAL(18,2))::DOUBLE AS balance
         FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)
         GROUP BY c_custkey""",
-    "ri_status": f"""
-        WITH {PART_SALES},
-          counts AS (
-            SELECT 'parts_by_type' AS table_name,
-                   (SELECT count(*) FROM unmatched) AS n_unmatched,
-                   (SELECT sum(price)::DOUBLE FROM unmatched) AS unmatched_measure,
-                   (SELECT count(*) FROM (SELECT DISTINCT brand, ptype FROM large_parts) r
-                    WHERE NOT EXISTS (SELECT 1 FROM part_sales s
-                                      WHERE s.brand = r.brand AND s.ptype = r.ptype)) AS n_orphaned
+    "ri_status": """
+        WITH counts AS (
+            SELECT 'labels' AS table_name,
+                   (SELECT count(DISTINCT doc_id) FROM documents
+                    WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS n_unmatched,
+                   (SELECT sum(n_chars)::DOUBLE FROM documents
+                    WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS unmatched_measure,
+                   (SELECT count(DISTINCT doc_id) FROM labels
+                    WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS n_orphaned
             UNION ALL
             SELECT 'orders',
                    (SELECT count(DISTINCT l_orderkey) FROM lineitem
@@ -502,16 +535,14 @@ ORACLE: dict[str, str] = {
                        ELSE 'PASS' END AS status
         FROM counts""",
     "domain_membership": """
-        WITH ref AS (SELECT c_nationkey::VARCHAR AS nation,
-                            floor(c_acctbal / 500)::BIGINT::VARCHAR AS balance_class
-                     FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000),
-             fact AS (SELECT s_nationkey::VARCHAR AS nation,
-                             floor(s_acctbal / 500)::BIGINT::VARCHAR AS balance_class
-                      FROM supplier WHERE s_acctbal > 5000)
-        SELECT DISTINCT 'nation' AS column_name, nation AS value FROM ref
+        WITH ref AS (SELECT c_nationkey::DOUBLE AS nation,
+                            floor(c_acctbal / 50)::DECIMAL(12,1) AS balance_class FROM customer),
+             fact AS (SELECT s_nationkey::DOUBLE AS nation,
+                             floor(s_acctbal / 50)::DECIMAL(12,1) AS balance_class FROM supplier)
+        SELECT DISTINCT 'nation' AS column_name, nation::VARCHAR AS value FROM ref
         WHERE nation NOT IN (SELECT nation FROM fact)
         UNION ALL
-        SELECT DISTINCT 'balance_class', balance_class FROM ref
+        SELECT DISTINCT 'balance_class', balance_class::VARCHAR FROM ref
         WHERE balance_class NOT IN (SELECT balance_class FROM fact)""",
     "key_registration": """
         WITH catalog AS (
@@ -531,14 +562,14 @@ ORACLE: dict[str, str] = {
         SELECT o_orderkey, o.custkey, status, balance, status_cust
         FROM o LEFT JOIN c ON o.custkey IS NOT DISTINCT FROM c.custkey""",
     "natural_join_outer": """
-        WITH e AS (SELECT user_id * 20 AS custkey, count(*) AS n_events FROM events GROUP BY 1),
+        WITH e AS (SELECT user_id AS custkey, count(*) AS n_events FROM events GROUP BY 1),
              c AS (SELECT c_custkey AS custkey, c_name FROM customer)
         SELECT coalesce(e.custkey, c.custkey) AS custkey, n_events, c_name
         FROM e FULL JOIN c ON e.custkey = c.custkey""",
     "dataset_compare": f"""
         WITH {COMPARED}
-        SELECT CASE WHEN s > 0 THEN 'left' ELSE 'right' END AS side, l_orderkey, l_linenumber,
-               l_tax, l_returnflag, abs(s)::BIGINT AS n
+        SELECT CASE WHEN s > 0 THEN 'left' ELSE 'right' END AS side, * EXCLUDE (s),
+               abs(s)::BIGINT AS n
         FROM diff""",
     "dataset_compare_summary": f"""
         WITH {COMPARED}
@@ -608,8 +639,8 @@ ORACLE: dict[str, str] = {
           FROM orders),
         s AS (SELECT count(*) AS n_distinct, count(*) FILTER (v % 100 NOT BETWEEN 1 AND 12)
                 AS n_invalid FROM v),
-        f AS (SELECT string_agg(v, ', ' ORDER BY v) AS sample
-              FROM (SELECT v FROM v ORDER BY v LIMIT 5))
+        f AS (SELECT string_agg(v, ', ' ORDER BY v % 100 BETWEEN 1 AND 12, v) AS sample
+              FROM (SELECT v FROM v ORDER BY v % 100 BETWEEN 1 AND 12, v LIMIT 5))
         SELECT n_distinct, n_invalid,
                CASE WHEN n_distinct = 0 THEN 'SKIP' WHEN n_invalid > 0 OR n_distinct > 1 THEN 'FAIL'
                     ELSE 'PASS' END AS status,
@@ -619,7 +650,7 @@ ORACLE: dict[str, str] = {
                     WHEN n_distinct > 1 THEN 'Multiple month values found: [' || sample || ']'
                     ELSE 'Single valid value: ' || sample END AS detail
         FROM s, f""",
-    "sequence_check": sequence_sql("lineitem", "l_orderkey", "l_linenumber", "l_linenumber", 7, 2),
+    "sequence_check": sequence_sql("lineitem", "l_orderkey", "l_linenumber", "l_linenumber", 7, 5),
     "numeric_share": f"""
         SELECT column_name, n, n_non_numeric, round_even(p, 1)::DOUBLE AS pct_below,
                CASE WHEN n_non_numeric > 0 THEN 'FAIL' WHEN p < 95 THEN 'WARNING' ELSE 'PASS' END
@@ -681,7 +712,8 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'empty', 'Not in Use', '', 1, 0""",
     "period_expand": f"""
         WITH {PERIODS}
-        SELECT o_custkey, period, y::INTEGER AS year, coalesce(y BETWEEN c AND d, false) AS excluded
+        SELECT o_custkey, period, y::INTEGER AS year, coalesce(y BETWEEN c AND d, false) AS excluded,
+               NULL::VARCHAR AS problem
         FROM (SELECT *, unnest(generate_series(a, b)) AS y FROM periods)""",
     "period_suffix": f"""
         WITH {PERIODS}
@@ -695,6 +727,36 @@ ORACLE: dict[str, str] = {
                to_json({'p_brand': p_brand, 'p_type': p_type, 'n_rows': n_rows})::VARCHAR AS record
         FROM (SELECT p_brand, p_type, count(*) AS n_rows FROM part GROUP BY ALL
               HAVING count(*) > 1 ORDER BY n_rows DESC, p_brand, p_type LIMIT 10)""",
+    "run_unmatched": f"WITH {RULE_TABLES} " + loose_rows("dd", True),
+    "run_orphans": f"WITH {RULE_TABLES} " + loose_rows("dd", False),
+    "run_breakdown": f"WITH {RULE_TABLES} "
+    + " UNION ALL ".join(
+        f"""
+        SELECT '{c}' AS column_name, Segment AS segment, Region AS region, Nation AS nation,
+               sum(Premium)::DOUBLE AS measure,
+               round_even(sum(Premium)::DOUBLE / (SELECT sum(Premium)::DOUBLE FROM dd) * 100, 1)
+                 ::DOUBLE AS pct
+        FROM dd WHERE {c} IS NULL OR trim({c}) = '' GROUP BY Segment, Region, Nation"""
+        for c in ("Key_Modelling", "Key_Modelling_Type")
+    ),
+    "table_records": f"""
+        {RUN}, per AS (
+          SELECT table_name,
+                 max(n_bad) FILTER (check_name = 'forward_ri') AS f,
+                 max(n_bad) FILTER (check_name = 'reverse_ri') AS r,
+                 max(n_bad) FILTER (check_name = 'row_uniqueness') AS u,
+                 max(n_bad) FILTER (check_name = 'parent_columns') AS p,
+                 ['SKIP', 'PASS', 'WARNING', 'FAIL'][max({SEVERITY}) + 1] AS status
+          FROM run WHERE section = 'checks2_5' GROUP BY table_name)
+        SELECT 'checks2_5.' || table_name AS check_id,
+               'RI / Uniqueness / Parent columns — ' || table_name AS label, table_name, status,
+               coalesce(nullif(concat_ws('; ',
+                 CASE WHEN f > 0 THEN 'Forward RI: ' || f || ' unmatched combination(s)' END,
+                 CASE WHEN r > 0 THEN 'Reverse RI: ' || r || ' orphaned combination(s)' END,
+                 CASE WHEN u > 0 THEN 'Uniqueness: ' || u || ' duplicate combination(s)' END,
+                 CASE WHEN p > 0 THEN 'Parent cols: ' || p || ' failing' END), ''),
+                 'All checks passed.') AS summary
+        FROM per""",
     "consistency_run": f"{RUN} SELECT * FROM run",
     "table_rollup": f"""
         {RUN} SELECT table_name, status

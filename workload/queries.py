@@ -11,22 +11,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabcord.functions.columns import local_rows
 from tabcord.functions.durable import materialise, new_path
 from tabcord.functions.evidence import top_records
 from tabcord.operators import aggregate, compare, coverage, integrity, ranges, shaping, uniqueness
 from tabcord.plans import findings as fnd
-from tabcord.plans import roles, run
+from tabcord.plans import run
+from tabcord.rules import roles
 from tabcord.sources import tables as src
 
 from .bindings import (
     SCHEMAS,
     TABLES,
     cents,
-    large_parts,
+    labelled,
     money,
     order_facts,
     order_sales,
-    part_sales,
     read,
     rule_tables,
     sales,
@@ -68,23 +69,30 @@ def load_tables(spark, sf):
     return out
 
 
+NOTED = "source string, seg string, bal decimal(18,2)"
+
+
 @query
 def csv_tables(spark, sf):
-    """Customers written as CSV and read back with declared types."""
-    customer = read(spark, sf, "customer")
+    """Three tables written as CSV and found by listing; one has no declared types."""
     folder = new_path(spark, "csv")
-    customer.write.option("header", True).csv(f"{folder}/customer.csv")
-    back = src.load_csv_tables(
-        spark, folder, {"customer": customer.schema, "absent": customer.schema}
+    for name in ("customer", "supplier", "nation"):
+        rows = read(spark, sf, name)
+        rows.write.option("header", True).csv(f"{folder}/tbl_{name}.csv")
+    declared = {f"tbl_{n}": SCHEMAS[n] for n in ("customer", "supplier", "orders")}
+    found, notes = src.csv_tables(spark, folder, declared)
+    customer = found["tbl_customer"].select(
+        F.lit("tbl_customer").alias("source"),
+        F.col("c_mktsegment").alias("seg"),
+        money("c_acctbal").alias("bal"),
     )
-    return (
-        back["customer"]
-        .groupBy("c_mktsegment")
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.sum(money("c_acctbal")).cast("double").alias("balance"),
-            F.min("c_name").alias("first_name"),
-        )
+    supplier = found["tbl_supplier"].select(
+        F.lit("tbl_supplier"), F.lit(None).cast("string"), money("s_acctbal")
+    )
+    noted = local_rows(spark, [(n, None, None) for n in notes], NOTED)
+    rows = customer.unionAll(supplier).unionAll(noted)
+    return rows.groupBy("source", "seg").agg(
+        F.count("bal").alias("n_rows"), F.sum("bal").cast("double").alias("balance")
     )
 
 
@@ -95,6 +103,15 @@ def preaggregate(spark, sf):
     return src.preaggregate(sales(spark, sf), keys, "price").withColumn("price", units("price"))
 
 
+@query
+def preaggregate_exact(spark, sf):
+    """A floating measure summed as a decimal, so that the order of rows cannot matter."""
+    items = read(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    keys = ["l_returnflag", "l_linestatus"]
+    rows = src.preaggregate(items, keys, "l_extendedprice", "n_rows", exact="decimal(20,2)")
+    return as_double(rows, "l_extendedprice")
+
+
 @query
 def preaggregate_stored(spark, sf):
     """The stored aggregate, read back and summed again."""
@@ -107,35 +124,28 @@ def preaggregate_stored(spark, sf):
 
 # --- integrity ---------------------------------------------------------------
 
-BRAND_TYPE = ["brand", "ptype"]
-
-
 @query
 def forward_ri_keys(spark, sf):
-    return integrity.unmatched_keys(part_sales(spark, sf), large_parts(spark, sf), BRAND_TYPE)
+    """Documents without a label."""
+    return integrity.unmatched_keys(*labelled(spark, sf), ["doc_id"])
 
 
 @query
 def forward_ri(spark, sf):
-    rows = integrity.unmatched_measure(
-        part_sales(spark, sf), large_parts(spark, sf), BRAND_TYPE, "price"
-    )
-    return as_double(rows, "price")
+    """Documents without a label, with their length."""
+    rows = integrity.unmatched_measure(*labelled(spark, sf), ["doc_id"], "n_chars")
+    return as_double(rows, "n_chars")
 
 
 @query
 def forward_ri_top10(spark, sf):
-    rows = integrity.unmatched_top(
-        part_sales(spark, sf), large_parts(spark, sf), BRAND_TYPE, "price"
-    )
-    return as_double(rows, "price")
+    rows = integrity.unmatched_top(*labelled(spark, sf), ["doc_id"], "n_chars")
+    return as_double(rows, "n_chars")
 
 
 @query
 def forward_ri_summary(spark, sf):
-    rows = integrity.unmatched_summary(
-        part_sales(spark, sf), large_parts(spark, sf), BRAND_TYPE, "price"
-    )
+    rows = integrity.unmatched_summary(*labelled(spark, sf), ["doc_id"], "n_chars")
     return as_double(rows, "unmatched_measure")
 
 
@@ -161,46 +171,40 @@ def reverse_ri_measure(spark, sf):
 
 @query
 def ri_status(spark, sf):
-    """Both directions for three reference tables, one row each."""
-    items, orders = read(spark, sf, "lineitem"), read(spark, sf, "orders")
-    price = cents("l_extendedprice").alias("price")
-    cases = {
-        "parts_by_type": (part_sales(spark, sf), large_parts(spark, sf), BRAND_TYPE),
-        "orders": (
-            items.select(F.col("l_orderkey").alias("k"), price),
-            orders.select(F.col("o_orderkey").alias("k")),
-            ["k"],
-        ),
-        "suppliers": (
-            items.select(F.col("l_suppkey").alias("k"), price),
-            read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")),
-            ["k"],
-        ),
+    """Both directions for three reference tables, one row each; line items are read once."""
+    items = read(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("orderkey"),
+        F.col("l_suppkey").alias("suppkey"),
+        cents("l_extendedprice").alias("price"),
+    )
+    refs = {
+        "orders": read(spark, sf, "orders").select(F.col("o_orderkey").alias("orderkey")),
+        "suppliers": read(spark, sf, "supplier").select(F.col("s_suppkey").alias("suppkey")),
     }
-    amount = F.col("unmatched_measure").cast("double")
-    parts = [
-        integrity.integrity_summary(fact, ref, keys, "price").select(
-            F.lit(name).alias("table_name"),
-            "n_unmatched",
-            (amount if name == "parts_by_type" else amount / 100).alias("unmatched_measure"),
-            "n_orphaned",
-            "status",
-        )
-        for name, (fact, ref, keys) in cases.items()
-    ]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    keys = {"orders": ["orderkey"], "suppliers": ["suppkey"]}
+    census = integrity.key_census_many(items, refs, keys, "price")
+    two = census.groupBy(F.col("ref_table").alias("table_name")).agg(
+        *integrity.integrity_counts()
+    )
+    one = integrity.integrity_summary(*labelled(spark, sf), ["doc_id"], "n_chars")
+    names = ["table_name", "n_unmatched", "unmatched_measure", "n_orphaned", "status"]
+    both = two.withColumn("unmatched_measure", units("unmatched_measure")).select(*names)
+    one = as_double(one.withColumn("table_name", F.lit("labels")), "unmatched_measure")
+    return both.unionAll(one.select(*names))
 
 
 @query
 def domain_membership(spark, sf):
-    """Nations and balance classes of rich builders that no rich supplier has."""
-    size = F.floor(F.col("bal") / 500).cast("string").alias("balance_class")
-    cust = read(spark, sf, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 9000")
-    supp = read(spark, sf, "supplier").where("s_acctbal > 5000")
-    ref = cust.selectExpr("cast(c_nationkey as string) as nation", "c_acctbal as bal")
-    fact = supp.selectExpr("cast(s_nationkey as string) as nation", "s_acctbal as bal")
+    """Nations and balance classes of customers that no supplier has, across number types."""
+    size = F.floor(F.col("bal") / 50).alias("balance_class")
+    ref = read(spark, sf, "customer").selectExpr("c_nationkey as nation", "c_acctbal as bal")
+    fact = read(spark, sf, "supplier").selectExpr(
+        "cast(s_nationkey as double) as nation", "s_acctbal as bal"
+    )
     rows = integrity.domain_violations(
-        ref.select("nation", size), fact.select("nation", size), ["nation", "balance_class"]
+        ref.select("nation", size),
+        fact.select("nation", size.cast("decimal(12,1)").alias("balance_class")),
+        ["nation", "balance_class"],
     )
     return rows.select(F.col("column").alias("column_name"), "value")
 
@@ -243,19 +247,18 @@ def natural_join_outer(spark, sf):
     """Events per user against customers, keeping both sides, safe under hot keys."""
     events = (
         read(spark, sf, "events")
-        .groupBy((F.col("user_id") * 20).alias("custkey"))
+        .groupBy(F.col("user_id").alias("custkey"))
         .agg(F.count(F.lit(1)).alias("n_events"))
     )
     customers = read(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), "c_name")
-    return shaping.natural_join(events, customers, "outer", split_hot_keys=True)
+    return shaping.natural_join(events, customers, "outer")
 
 
 @query
 def dataset_compare(spark, sf):
     """Line items against a copy with another tax on returned rows."""
     a, b = _compared(spark, sf)
-    rows = compare.diff(a, b)
-    return rows.select("side", "l_orderkey", "l_linenumber", "l_tax", "l_returnflag", "n")
+    return compare.diff(a, b)
 
 
 @query
@@ -264,7 +267,7 @@ def dataset_compare_summary(spark, sf):
 
 
 def _compared(spark, sf):
-    a = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", "l_returnflag")
+    a = read(spark, sf, "lineitem")
     returned = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
     return a, a.withColumn("l_tax", F.when(returned, 0.5).otherwise(F.col("l_tax")))
 
@@ -385,14 +388,15 @@ def yyyymm_check(spark, sf):
     bad = (F.col("o_orderpriority") == "1-URGENT") & (F.month("o_orderdate") == 12)
     month = yyyymm("o_orderdate")
     rows = read(spark, sf, "orders").select(F.when(bad, month + 1).otherwise(month).alias("month"))
-    return ranges.yyyymm_check(rows, "month")
+    names = ["n_distinct", "n_invalid", "status", "sample", "detail"]
+    return ranges.yyyymm_check(rows, "month").select(*names)
 
 
 @query
 def sequence_check(spark, sf):
     """Line numbers per order must run from 1 to 7."""
     items = read(spark, sf, "lineitem")
-    rows = ranges.sequence_check(items, "l_orderkey", "l_linenumber", min_last=7, shown=2)
+    rows = ranges.sequence_check(items, "l_orderkey", "l_linenumber", min_last=7)
     return rows.select(
         "l_orderkey",
         F.col("first").alias("first_pos"),
@@ -599,28 +603,19 @@ def evidence_records(spark, sf):
 # --- findings of a whole run ---------------------------------------------------------
 
 
-def run_findings(spark: SparkSession, sf: str) -> run.Run:
+def run_findings(spark: SparkSession, sf: str, *checks: str) -> run.Run:
+    """A run over the rule-pack tables, of all checks or those named."""
     tables = src.TableSet.classify(rule_tables(spark, sf))
-    return run.run_checks(tables)
+    return run.run_checks(tables, checks=checks) if checks else run.run_checks(tables)
 
 
-_runs: dict[tuple[str, str], run.Run] = {}
-
-
-def _shared_run(spark: SparkSession, sf: str) -> run.Run:
-    """The findings of one run, shared by the queries that only roll them up."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _runs:
-        _runs[key] = run_findings(spark, sf)
-    return _runs[key]
+TABLE_CHECKS = ("Checks 2-3", "Check 4", "Check 5")
 
 
 @query
 def consistency_run(spark, sf):
     """All eight checks over the rule-pack tables: one row per finding."""
-    found = run_findings(spark, sf)
-    _runs[(spark.sparkContext.applicationId, sf)] = found
-    return found.findings.select(
+    return run_findings(spark, sf).findings.select(
         "section",
         F.col("check").alias("check_name"),
         F.col("table").alias("table_name"),
@@ -633,23 +628,74 @@ def consistency_run(spark, sf):
     )
 
 
+KEY_FIELDS = {
+    "key_rate": "Key_RateChange",
+    "product": "ProductType",
+    "key_trend": "Key_Trend",
+    "key_pattern": "Key_Pattern_Attr",
+    "key_modelling": "Key_Modelling",
+    "region": "Region",
+}
+
+
+def _loose(spark, sf, check: str):
+    """All rows behind the integrity findings of one direction, their keys as columns."""
+    rows = run_findings(spark, sf, "Checks 2-3").details.where(F.col("check") == check)
+    fields = [F.get_json_object("record", f"$.{f}").alias(n) for n, f in KEY_FIELDS.items()]
+    measure = units("measure").alias("measure")
+    return rows.select(F.col("table").alias("table_name"), *fields, measure)
+
+
+@query
+def run_unmatched(spark, sf):
+    """Every fact key that a reference table lacks, with its premium."""
+    return _loose(spark, sf, "forward_ri")
+
+
+@query
+def run_orphans(spark, sf):
+    """Every reference key that no fact has."""
+    return _loose(spark, sf, "reverse_ri")
+
+
+@query
+def run_breakdown(spark, sf):
+    """Unmapped premium of both modelling keys by every identifier combination."""
+    rows = run_findings(spark, sf, "Check 8").details
+    ids = {"segment": "Segment", "region": "Region", "nation": "Nation"}
+    return rows.select(
+        F.col("column").alias("column_name"),
+        *[F.get_json_object("record", f"$.{f}").alias(n) for n, f in ids.items()],
+        units("measure").alias("measure"),
+        "pct",
+    )
+
+
+@query
+def table_records(spark, sf):
+    """One record per reference table: its checks together, and what they found."""
+    rows = run_findings(spark, sf, *TABLE_CHECKS).records
+    return rows.select("check_id", "label", F.col("table").alias("table_name"), "status", "summary")
+
+
 @query
 def table_rollup(spark, sf):
     """Worst status per table over integrity, uniqueness and parent checks."""
-    rows = fnd.table_rollup(_shared_run(spark, sf).findings).where("section = 'checks2_5'")
+    found = run_findings(spark, sf, *TABLE_CHECKS).findings
+    rows = fnd.table_rollup(found).where("section = 'checks2_5'")
     return rows.select(F.col("table").alias("table_name"), "status")
 
 
 @query
 def section_rollup(spark, sf):
     """Status and summary sentence per section."""
-    return _shared_run(spark, sf).sections.select("section", "status", "n_checks", "summary")
+    return run_findings(spark, sf).sections.select("section", "status", "n_checks", "summary")
 
 
 @query
 def run_rollup(spark, sf):
     """Status of the run, and the older rule without SKIP."""
-    found = _shared_run(spark, sf)
+    found = run_findings(spark, sf)
     app = fnd.run_rollup(found.sections).select(F.lit("sections").alias("rule"), "status")
     return app.unionAll(
         fnd.overall_status(found.findings).select(F.lit("findings").alias("rule"), "status")
@@ -659,7 +705,7 @@ def run_rollup(spark, sf):
 @query
 def findings_payload(spark, sf):
     """The run written as JSON and read back."""
-    found, path = _shared_run(spark, sf), new_path(spark, "payload")
+    found, path = run_findings(spark, sf), new_path(spark, "payload")
     found.write(path, "json")
     back = spark.read.schema(fnd.FINDING).json(f"{path}/findings")
     return fnd.rollup(back, ["section", "check"]).select(
