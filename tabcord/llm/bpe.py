@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import text_of, texts
-from .textbytes import spread
+from .textbytes import Numbers, spread
 
 #: Fixed value: the public pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -158,7 +158,7 @@ def encode_pieces(pieces: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, n
 class Encoder:
     """Encodes slabs of texts; remembers chunks of text, up to a bound."""
 
-    def __init__(self, vocab: Vocabulary, remember: int = 1_000_000):
+    def __init__(self, vocab: Vocabulary, remember: int = 400_000):
         self.vocab, self.remember = vocab, remember
         self.piece = regex.compile(PATTERN)
         self.special = (
@@ -171,7 +171,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.ids = np.empty(0, np.int64)
         self.starts = np.empty(0, np.int64)
         self.counts = np.empty(0, np.int64)
@@ -220,7 +220,6 @@ class Encoder:
         own = ids[spread(at, n)]
         owner = np.repeat(np.arange(len(cut)), sizes)
         total = np.bincount(owner, weights=n, minlength=len(cut)).astype(np.int64)
-        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(total) - total])
         self.counts = np.concatenate([self.counts, total])
         self.ids = np.concatenate([self.ids, own])
@@ -230,15 +229,15 @@ class Encoder:
         if len(self.known) > self.remember:
             self.forget()
         lists = [self.chunks(t) for t in found]
-        new = set().union(*lists) - self.known.keys() if lists else set()
-        if new:
-            self.learn(list(new))
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         at = np.fromiter(
             map(self.known.__getitem__, itertools.chain.from_iterable(lists)),
             np.int64,
             int(sizes.sum()),
         )
+        if self.known.new:
+            self.learn(self.known.new)
+            self.known.new = []
         counts = self.counts[at]
         ids = self.ids[spread(self.starts[at], counts)]
         ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
@@ -273,7 +272,7 @@ def encode_table(
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def slabs(found: list[str], encoder: Encoder, limit: int = 1 << 23):
+def slabs(found: list[str], encoder: Encoder, limit: int = 1 << 22):
     """Encode texts in slabs of about ``limit`` characters: (first row, ids, counts)."""
     first, held = 0, 0
     for i in range(len(found) + 1):
@@ -297,10 +296,10 @@ def round_trip(
             for first, ids, n in slabs(texts(batch), encoder):
                 ends = np.cumsum(n)
                 id_hash, text_hash = [], []
-                packed, listed = ids.astype("<u4"), ids.tolist()
+                packed = ids.astype("<u4")
                 for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
                     id_hash.append(hashlib.sha256(packed[a:b].tobytes()).hexdigest())
-                    back = decode(listed[a:b], vocab).encode("utf-8")
+                    back = decode(ids[a:b].tolist(), vocab).encode("utf-8")
                     text_hash.append(hashlib.sha256(back).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [

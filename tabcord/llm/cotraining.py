@@ -222,20 +222,17 @@ def sample_views(rows: DataFrame) -> DataFrame:
     """Both views of sampled rows (id, good, text, cats, nums)."""
 
     def step(batch: pa.RecordBatch) -> pa.Table:
-        rates, owners, codes = view_of_text(texts(batch))
-        cuts = np.searchsorted(owners, np.arange(batch.num_rows + 1)).astype(np.int32)
-        words = pa.ListArray.from_arrays(pa.array(cuts), pa.array(codes.view(np.int64)))
-        return pa.Table.from_arrays(
-            [
-                batch.column("id"),
-                batch.column("good"),
-                pa.array(list(rates), pa.list_(pa.float64())),
-                words,
-                batch.column("cats"),
-                batch.column("nums"),
-            ],
-            ["id", "good", "rates", "codes", "cats", "nums"],
-        )
+        found, parts = texts(batch), []
+        for a, b in blocks(found, PART):
+            rates, owners, codes = view_of_text(found[a:b])
+            cuts = np.searchsorted(owners, np.arange(b - a + 1)).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(cuts), pa.array(codes.view(np.int64)))
+            own = [batch.column(c).slice(a, b - a) for c in ("id", "good", "cats", "nums")]
+            numbers = pa.array(list(rates), pa.list_(pa.float64()))
+            columns = [*own[:2], numbers, words, *own[2:]]
+            names = ["id", "good", "rates", "codes", "cats", "nums"]
+            parts.append(pa.RecordBatch.from_arrays(columns, names))
+        return pa.Table.from_batches(parts)
 
     return by_batch(rows, step, VIEW)
 
@@ -359,6 +356,9 @@ def telling_words(views: DataFrame, n_words: int, least: int = 4) -> np.ndarray:
     return np.sort(codes)
 
 
+#: Characters of text whose view is held at a time.
+PART = 1 << 21
+
 RESULT = "p_text double, p_meta double, score double, accepted boolean"
 
 
@@ -381,7 +381,13 @@ def score_rows(
     )
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rates, owners, codes = view_of_text(texts(batch))
+        found = texts(batch)
+        text, wordless = np.zeros(len(found)), np.zeros(len(found), bool)
+        for a, b in blocks(found, PART):
+            rates, owners, codes = view_of_text(found[a:b])
+            wordless[a:b] = np.isnan(rates[:, 0])
+            if model is not None:
+                text[a:b] = model.text_margin(rates, owners, codes)
         if model is None:
             p = q = both = np.ones(batch.num_rows)
         else:
@@ -393,10 +399,7 @@ def score_rows(
                 meta = model.meta_matrix([batch.column(c).to_pylist() for c in cats], numbers_)
             else:
                 meta = np.zeros((batch.num_rows, 0))
-            p, q, both = model.probabilities(
-                model.text_margin(rates, owners, codes), margins(meta, model.meta)
-            )
-        wordless = np.isnan(rates[:, 0])
+            p, q, both = model.probabilities(text, margins(meta, model.meta))
         both = np.where(wordless, 0.0, both)
         accepted = ~wordless & (both >= (model.cut if model else 0.0))
         return pa.RecordBatch.from_arrays(

@@ -86,6 +86,19 @@ class Words:
         return self.text[long], mix(np.add.reduceat(head, self.start)[long] + np.uint64(size))
 
 
+class Numbers(dict):
+    """Numbers of distinct things in order of first sight; the new ones are listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, thing):
+        number = self[thing] = len(self)
+        self.new.append(thing)
+        return number
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenated ranges ``starts[i] .. starts[i] + lengths[i]``."""
     total = int(lengths.sum())
