@@ -21,6 +21,7 @@ table gives an empty file set and result.
 from __future__ import annotations
 
 import itertools
+import operator
 import os
 import re
 import zlib
@@ -30,14 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .frames import text_of, texts
-from .textbytes import spread
+from .textbytes import Numbers, spread
+
+_ID = operator.attrgetter("id")
 
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 
 #: Letters whose lower case and composed form are one character each, in any context.
-_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"([{_LATIN}]+)([!-&(-/:-@\[-`{{-~]*)")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Marks that make one piece where they follow letters; an apostrophe can begin another.
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 #: The two normalizer and pre-tokenizer rules for which the short way holds.
 _PLAIN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -46,7 +51,7 @@ _PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class WordEncoder:
     """Ids of texts, one library call per new word."""
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 500_000):
         import json
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark spreads the work
@@ -66,74 +71,81 @@ class WordEncoder:
             and cuts[0].get("pattern") == {"Regex": _PLAIN_PATTERN}
             and not added
         )
-        self.piece_ids: dict[str, list[int]] = {}
+        #: The vocabulary's character for each byte.
+        self.symbols = dict(enumerate(byte_symbols()))
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.piece_ids.clear()
+        #: Words by number, and the numbers of their one or two pieces (-1: none).
+        self.words = Numbers()
+        self.head = np.empty(0, np.int32)
+        self.tail = np.empty(0, np.int32)
+        #: Pieces by number, bytes for the merge model and texts for the whole library; their ids.
+        self.pieces = Numbers()
         self.ids = np.empty(0, np.int32)
         self.starts = np.empty(0, np.int64)
         self.counts = np.empty(0, np.int64)
 
-    def piece(self, text: str) -> list[int]:
-        """Ids of one piece by the library's merge model."""
-        found = self.piece_ids.get(text)
-        if found is None:
-            symbols = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-            found = [t.id for s, _ in symbols for t in self.tokenizer.model.tokenize(s)]
-            self.piece_ids[text] = found
-        return found
-
     def learn(self, words: list[bytes]) -> None:
-        found: list[list[int] | None] = []
-        rest: list[str] = []
-        model, pieces = self.tokenizer.model, self.piece_ids
+        """Cut new words into pieces and have the library encode those that are new."""
+        pieces = self.pieces
+        head, tail = [], []
         for w in words:
-            text = w.decode("utf-8", "replace")
-            m = _PLAIN.fullmatch(text) if self.plain else None
-            if m is None:
-                found.append(None)
-                rest.append(text)
-                continue
-            core, tail = m[1].lower(), m[2]
-            ids = pieces.get(core)
-            if ids is None:
-                if core.isascii():  # the model's symbols for ASCII letters are the letters
-                    ids = [t.id for t in model.tokenize(core)]
-                    pieces[core] = ids
-                else:
-                    ids = self.piece(core)
-            found.append(ids + self.piece(tail) if tail else ids)
-        whole = iter(self.tokenizer.encode_batch(rest, add_special_tokens=False))
-        full = [f if f is not None else next(whole).ids for f in found]
-        counts = np.fromiter(map(len, full), np.int64, len(full))
-        own = np.fromiter(itertools.chain.from_iterable(full), np.int32, int(counts.sum()))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+            core = w.rstrip(_MARKS)
+            if core.isalpha():
+                piece = core.lower()
+            else:
+                text = core.decode("utf-8", "replace")
+                piece = text.lower().encode() if _LATIN.fullmatch(text) else None
+            if piece is None or not self.plain:
+                head.append(pieces[w.decode("utf-8", "replace")])
+                tail.append(-1)
+            else:
+                head.append(pieces[piece])
+                tail.append(pieces[w[len(core) :]] if len(core) < len(w) else -1)
+        self.head = np.concatenate([self.head, np.array(head, np.int32)])
+        self.tail = np.concatenate([self.tail, np.array(tail, np.int32)])
+
+        model, symbols = self.tokenizer.model, self.symbols
+        whole = iter(
+            self.tokenizer.encode_batch(
+                [p for p in pieces.new if isinstance(p, str)], add_special_tokens=False
+            )
+        )
+        found = [
+            next(whole).ids
+            if isinstance(p, str)
+            else list(map(_ID, model.tokenize(p.decode("latin-1").translate(symbols))))
+            for p in pieces.new
+        ]
+        pieces.new = []
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        own = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(counts.sum()))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
         self.ids = np.concatenate([self.ids, own])
 
     def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of ids of each text."""
-        if len(self.known) > self.remember:
+        if len(self.words) > self.remember:
             self.forget()
         lists = [t.encode("utf-8", "replace").split() for t in found]
-        new = set().union(*lists) - self.known.keys() if lists else set()
-        if new:
-            self.learn(list(new))
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         at = np.fromiter(
-            map(self.known.__getitem__, itertools.chain.from_iterable(lists)),
-            np.int64,
+            map(self.words.__getitem__, itertools.chain.from_iterable(lists)),
+            np.int32,
             int(sizes.sum()),
         )
-        counts = self.counts[at]
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
-        return self.ids[spread(self.starts[at], counts)], np.diff(ends, prepend=0)
+        if self.words.new:
+            self.learn(self.words.new)
+            self.words.new = []
+        piece = np.column_stack([self.head[at], self.tail[at]]).ravel()
+        counts = np.where(piece >= 0, self.counts[piece], 0)
+        ends = np.concatenate([[0], np.cumsum(counts)])[2 * np.cumsum(sizes)]
+        return self.ids[spread(self.starts[piece], counts)], np.diff(ends, prepend=0)
 
 
-def slabs(found: list[str], limit: int = 1 << 23):
+def slabs(found: list[str], limit: int = 1 << 22):
     """Ranges of rows of about ``limit`` characters."""
     first, held = 0, 0
     for i, text in enumerate(found):
