@@ -65,14 +65,19 @@ def archive(
     )
 
 
-def manifest(records: DataFrame) -> DataFrame:
-    """(page_id, file, seq, offset, length, digest) of records, in file order."""
+def laid_out(records: DataFrame) -> DataFrame:
+    """(page_id, file, seq, offset, length, digest, record): records at their place in a file.
+
+    Records of a file are ordered by id and digest; records that agree in both
+    are interchangeable.  Only what is selected from the result is shuffled.
+    """
     data = F.encode("record", "UTF-8")
     rows = records.select(
         "page_id",
         "file",
         F.octet_length(data).cast("long").alias("length"),
         F.sha2(data, 256).alias("digest"),
+        "record",
     )
     order = Window.partitionBy("file").orderBy("page_id", "digest")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -83,9 +88,15 @@ def manifest(records: DataFrame) -> DataFrame:
         F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"),
         "length",
         "digest",
+        "record",
     )
 
 
+def manifest(records: DataFrame) -> DataFrame:
+    """(page_id, file, seq, offset, length, digest) of records, in file order."""
+    return laid_out(records).drop("record")
+
+
 def leaves(records: DataFrame) -> DataFrame:
     """(file, level 0, place, node) of a manifest."""
     node = F.sha2(F.concat_ws(":", "offset", "length", "digest").cast("binary"), 256)
@@ -195,21 +206,3 @@ def stored_manifest(replica: DataFrame) -> DataFrame:
         F.octet_length(data).cast("long").alias("length"),
         F.sha2(data, 256).alias("digest"),
     )
-
-
-def place_records(records: DataFrame, index: DataFrame) -> DataFrame:
-    """(page_id, file, seq, offset, record): records with their place from a manifest.
-
-    Repeated records (equal id and digest) are interchangeable; each takes one place.
-    """
-    digest = F.sha2(F.encode("record", "UTF-8"), 256)
-    copies = Window.partitionBy("file", "page_id", "digest").orderBy("record")
-    places = Window.partitionBy("file", "page_id", "digest").orderBy("seq")
-    a = records.withColumn("digest", digest).withColumn("copy", F.row_number().over(copies))
-    b = index.select("file", "page_id", "digest", "seq", "offset").withColumn(
-        "copy", F.row_number().over(places)
-    )
-    same = a["page_id"].eqNullSafe(b["page_id"])
-    for c in ("file", "digest", "copy"):
-        same = same & (a[c] == b[c])
-    return a.join(b, same).select(a["page_id"], a["file"], "seq", "offset", "record")

@@ -76,9 +76,9 @@ def op5_fixity(spark, sf_dir):
         .otherwise(record)
     )
     replica = materialise(
-        fixity.place_records(records, index)
+        fixity.laid_out(records)
         .where(~mark.isin(*LOST))
-        .withColumn("record", damaged),
+        .select("page_id", "file", "seq", "offset", damaged.alias("record")),
         "replica",
     )
     return fixity.audit(index, fixity.stored_manifest(replica))

@@ -27,8 +27,9 @@ def pages(spark, n):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
-def stored(spark, records, index, change):
-    held = [r.asDict() for r in fixity.place_records(records, index).collect()]
+def stored(spark, records, change):
+    rows = fixity.laid_out(records).select("page_id", "file", "seq", "offset", "record")
+    held = [r.asDict() for r in rows.collect()]
     return fixity.stored_manifest(
         spark.createDataFrame(
             change(held), "page_id long, file int, seq long, offset long, record string"
@@ -48,7 +49,7 @@ def test_audit_finds_each_damage_and_descends_only_there(spark):
         last = max(r["seq"] for r in out if r["file"] == 1)
         return [*out, {**out[0], "page_id": 999, "file": 1, "seq": last + 1}]
 
-    theirs = stored(spark, records, index, change).cache()
+    theirs = stored(spark, records, change).cache()
     got = {(r.page_id, r.status) for r in fixity.audit(index, theirs, 4).collect()}
     assert {g for g in got if g[1] != "ok"} == {(17, "missing"), (40, "corrupt"), (999, "extra")}
     assert len(got) == 301
@@ -84,7 +85,7 @@ def test_odd_pages(spark):
     records = fixity.archive(odd).cache()
     index = fixity.manifest(records).cache()
     assert index.count() == 5 and index.select("file", "seq").distinct().count() == 5
-    theirs = stored(spark, records, index, lambda rows: rows)
+    theirs = stored(spark, records, lambda rows: rows)
     assert {r.status for r in fixity.audit(index, theirs).collect()} == {"ok"}
     none = fixity.archive(odd.limit(0))
     empty = fixity.manifest(none)
