@@ -145,7 +145,7 @@ class WordEncoder:
         return self.ids[spread(self.starts[piece], counts)], np.diff(ends, prepend=0)
 
 
-def slabs(found: list[str], limit: int = 1 << 22):
+def slabs(found: list[str], limit: int = 1 << 21):
     """Ranges of rows of about ``limit`` characters."""
     first, held = 0, 0
     for i, text in enumerate(found):
