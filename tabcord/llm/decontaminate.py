@@ -5,10 +5,11 @@ substituted word spoils only the windows that look at it.  Every window of
 every benchmark item is hashed under every mask; a bit table of fixed size
 over these hashes lets the tasks that read the documents keep only windows
 that may match.  Those are joined with the benchmark hashes, and each
-(document, item, alignment) that results is verified word by word: the best
-segment along the alignment, where a match scores 1 and a substitution -3,
-must hold ``min_match`` equal words (or the whole of a shorter item, save one
-in five) and be equal in at least ``identity`` of its words.
+(document, item, alignment) that results is verified word by word: a segment
+along the alignment must hold ``min_match`` equal words (or the whole of a
+shorter item, save one in five) and be equal in at least ``identity`` of its
+words.  The best-scoring segment, where a match scores 1 and a substitution
+-3, is reported if it does, else the one with the most equal words.
 
 Words are lower-cased runs of letters and digits.  Items that are shorter than
 a mask get a mask of their own length; items of fewer than ``min_words`` words
@@ -242,6 +243,28 @@ def best_segment(equal: np.ndarray, penalty: int = 3) -> tuple[int, int, int]:
     return int(equal[start : end + 1].sum()), start, end + 1
 
 
+def copied_segment(
+    equal: np.ndarray, need: int, identity: float
+) -> tuple[int, int, int] | None:
+    """(matches, first, last + 1) of a segment with ``need`` matches and ``identity``, if there is one."""
+    found, a, b = best_segment(equal)
+    if found >= need and found >= identity * (b - a):
+        return found, a, b
+    count = np.concatenate([[0], np.cumsum(equal)])
+    if count[-1] < need:
+        return None
+    # a segment a..b has the identity if spare[a] <= spare[b]; all first words are tried for each b
+    spare = count - identity * np.arange(len(count))
+    least = np.minimum.accumulate(spare)
+    first = np.searchsorted(-least, -spare - 1e-9)
+    held = count - count[first]
+    b = int(np.argmax(held))
+    if held[b] < need:
+        return None
+    inside = np.flatnonzero(equal[first[b] : b]) + first[b]
+    return int(held[b]), int(inside[0]), int(inside[-1]) + 1
+
+
 def verify(pairs: DataFrame, min_match: int, identity: float) -> DataFrame:
     """Keep alignments (doc_id, text_key, region, codes, item_id, item_codes, shift) that overlap."""
 
@@ -255,10 +278,11 @@ def verify(pairs: DataFrame, min_match: int, identity: float) -> DataFrame:
             n = min(len(d), len(t))
             if not n:
                 continue
-            found, a, b = best_segment(d[:n] == t[:n])
             whole = len(item.values)
             need = min(min_match, -(-whole * 4 // 5))
-            if found >= need and found >= identity * (b - a):
+            segment = copied_segment(d[:n] == t[:n], need, identity)
+            if segment:
+                found, a, b = segment
                 keep.append(i)
                 starts.append(region.as_py() + max(0, shift) + a)
                 ends.append(region.as_py() + max(0, shift) + b)

@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import numpy as np
@@ -61,6 +62,33 @@ def test_best_segment():
     assert dc.best_segment(equal) == (8, 4, 13)
 
 
+def test_every_placement_of_substitutions_is_accepted():
+    rng = np.random.default_rng(1)
+    for n in range(5, 26):
+        need = min(13, -(-n * 4 // 5))
+        changes = min(n // 5, n - need)
+        places = itertools.combinations(range(n), changes)
+        if n > 20:
+            places = (rng.choice(n, changes, False) for _ in range(500))
+        for place in places:
+            equal = np.ones(n, bool)
+            equal[list(place)] = False
+            found, a, b = dc.copied_segment(equal, need, 0.8)
+            assert found == equal[a:b].sum() >= max(need, 0.8 * (b - a))
+
+
+def test_a_segment_is_accepted_as_by_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        n = int(rng.integers(1, 40))
+        equal = rng.random(n) < rng.choice([0.3, 0.7, 0.8])
+        want = any(
+            equal[a:b].sum() >= max(13, 0.8 * (b - a) - 1e-9)
+            for a, b in itertools.combinations(range(n + 1), 2)
+        )
+        assert (dc.copied_segment(equal, 13, 0.8) is not None) == want
+
+
 def test_odd_tables(spark, odd, none):
     text = "a text whose id is null and has some more words in it"
     bench = spark.createDataFrame(
