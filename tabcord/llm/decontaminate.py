@@ -11,9 +11,14 @@ shorter item, save one in five) and be equal in at least ``identity`` of its
 words.  The best-scoring segment, where a match scores 1 and a substitution
 -3, is reported if it does, else the one with the most equal words.
 
-Words are lower-cased runs of letters and digits.  Items that are shorter than
-a mask get a mask of their own length; items of fewer than ``min_words`` words
-are too little evidence and match nothing.  Null or empty texts match nothing.
+The masks leave no copy out: whatever up to one word in five of a passage is
+substituted, as ``min_match`` 13 and ``identity`` 0.8 allow, a window under one
+of them is spared.  Items of fewer than 16 words have further masks for their
+length, so what is found of an item does not depend on the other items.
+
+Words are lower-cased runs of letters and digits; in scripts written without
+spaces every character is a word.  Items of fewer than ``min_words`` words are
+too little evidence and match nothing.  Null or empty texts match nothing.
 Null ids and repeated rows are kept apart by their text: rows with equal id and
 text get equal results.  Empty tables give no match.
 """
@@ -31,7 +36,28 @@ from .frames import by_batch, materialise, text_of, texts
 from .textbytes import ALNUM, Words, blocks, mix
 
 #: Positions that count are 1.
-MASKS = ("11101001111", "110110100111", "10110110001011")
+MASKS = (
+    "11101001111",
+    "110110100111",
+    "10110110001011",
+    "111011101",
+    "10100000110111",
+    "10110000101101",
+    "11000100001111",
+)
+#: Further masks of items by their number of words.
+SHORT_MASKS = {
+    5: ("1111", "10111", "11011", "11101"),
+    6: ("1111", "11011"),
+    7: ("1111", "11011"),
+    8: ("110111", "11011001"),
+    9: ("110111",),
+    10: ("110111", "11001011", "101010011"),
+    11: ("1111011", "111111", "1101000111"),
+    12: ("1111101", "11110011"),
+    13: ("1101111",),
+    15: ("111101001",),
+}
 #: Bits of the prefilter: 4 MB, whatever the size of the benchmark.
 FILTER_BITS = 25
 
@@ -58,23 +84,31 @@ def seeds(words: Words, offsets: list[int], salt: int) -> tuple[np.ndarray, np.n
 
 
 _MARK = re.compile(r"[^\x00-\x7f\w]")
+#: Letters of Thai, Lao, Myanmar, Khmer, Kana and Han.
+_UNSPACED = re.compile(
+    "([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])"
+)
 
 
 def lowered(found: list[str]) -> list[bytes]:
-    """Lower-cased texts in which marks beyond ASCII are spaces."""
+    """Lower-cased texts in which marks beyond ASCII are spaces and unspaced letters stand alone."""
     out = []
     for text in found:
         if not text.isascii():
-            text = _MARK.sub(" ", text)
+            text = _UNSPACED.sub(r" \1 ", _MARK.sub(" ", text))
         out.append(text.lower().encode("utf-8", "replace"))
     return out
 
 
-def item_masks(lengths: list[int], min_words: int) -> list[list[int]]:
-    """The fixed masks, and a full one for each item length below the shortest of them."""
-    shortest = min(map(len, MASKS))
-    short = sorted({n for n in lengths if min_words <= n < shortest})
-    return [offsets_of(m) for m in MASKS] + [list(range(n)) for n in short]
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks of an item of ``n`` words; one below five words is matched whole."""
+    return MASKS + SHORT_MASKS.get(n, ()) if n > 4 else ("1" * n,)
+
+
+def item_masks(lengths: list[int]) -> list[str]:
+    """The fixed masks, and the further ones of these item lengths."""
+    return list(dict.fromkeys([*MASKS, *(m for n in sorted(lengths) for m in masks_of(n))]))
 
 
 def _code_array(words: Words, a: int, b: int) -> list[int]:
@@ -104,8 +138,8 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return by_batch(rows, step, "item_key long, item_id string, codes array<long>")
 
 
-def item_seeds(words: DataFrame, masks: list[list[int]]) -> DataFrame:
-    """(item_key, key, at): every hashed window of every item."""
+def item_seeds(words: DataFrame, masks: list[str]) -> DataFrame:
+    """(item_key, key, at): every window of every item, hashed under the masks of its length."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, keys, places = [], [], []
@@ -113,8 +147,8 @@ def item_seeds(words: DataFrame, masks: list[list[int]]) -> DataFrame:
             batch.column("item_key").to_pylist(), batch.column("codes"), strict=True
         ):
             w = _FakeWords(np.asarray(codes.values, np.int64).view(np.uint64))
-            for salt, offsets in enumerate(masks):
-                at, key = seeds(w, offsets, salt)
+            for mask in masks_of(len(w.code)):
+                at, key = seeds(w, offsets_of(mask), masks.index(mask))
                 ids += [item] * len(at)
                 keys.append(key.view(np.int64))
                 places.append(at)
@@ -140,14 +174,17 @@ class _FakeWords:
 
 
 def bit_table(found: DataFrame) -> np.ndarray:
-    """A table of :data:`FILTER_BITS` address bits with a mark for every benchmark hash.
+    """A table of :data:`FILTER_BITS` address bits with two marks for every benchmark hash.
 
     The marks are gathered as distinct table addresses: at most one per bit,
     merged by Spark into words of 32 bits before they reach the driver.
     """
-    address = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    two = F.array(
+        F.shiftrightunsigned("key", 64 - FILTER_BITS),
+        F.shiftrightunsigned(F.shiftleft("key", FILTER_BITS), 64 - FILTER_BITS),
+    )
     marks = (
-        found.withColumn("address", address)
+        found.select(F.explode(two).alias("address"))
         .select(
             F.shiftright("address", 5).cast("int").alias("word"),
             F.expr("shiftleft(1L, CAST(address % 32 AS INT))").alias("bit"),
@@ -162,8 +199,15 @@ def bit_table(found: DataFrame) -> np.ndarray:
 
 
 def marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    address = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    return (table[address >> 5] >> (address & 31).astype(np.uint32)) & np.uint32(1) != 0
+    """Whether both marks of each hash are set."""
+
+    def held(codes: np.ndarray) -> np.ndarray:
+        address = (codes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return (table[address >> 5] >> (address & 31).astype(np.uint32)) & np.uint32(1) != 0
+
+    found = held(keys)
+    found[found] = held(keys[found] << np.uint64(FILTER_BITS))
+    return found
 
 
 REGIONS = (
@@ -172,7 +216,7 @@ REGIONS = (
 
 
 def document_regions(
-    docs: DataFrame, masks: list[list[int]], marks: np.ndarray, reach: int, id_col: str, text_col: str
+    docs: DataFrame, masks: list[str], marks: np.ndarray, reach: int, id_col: str, text_col: str
 ) -> DataFrame:
     """Word codes around windows that may match, one row per stretch of such windows.
 
@@ -192,8 +236,8 @@ def document_regions(
         for a, b in blocks(found):
             w = Words(found[a:b], ALNUM)
             at, key = [], []
-            for salt, offsets in enumerate(masks):
-                first, code = seeds(w, offsets, salt)
+            for salt, mask in enumerate(masks):
+                first, code = seeds(w, offsets_of(mask), salt)
                 hit = marked(table, code)
                 at.append(first[hit])
                 key.append(code[hit])
@@ -322,11 +366,11 @@ def overlaps(
         item_words(benchmark, item_col, item_text_col).where(F.size("codes") >= min_words),
         "benchmark",
     )
-    # distinct lengths below the shortest mask, and the longest length: a few numbers
+    # distinct lengths with masks of their own, and the longest length: a few numbers
     lengths = words.select(F.size("codes").alias("n"))
-    short = [r.n for r in lengths.where(F.col("n") < min(map(len, MASKS))).distinct().collect()]
+    short = [r.n for r in lengths.where(F.col("n") <= max(SHORT_MASKS)).distinct().collect()]
     reach = lengths.agg(F.max("n")).first()[0] or 1
-    masks = item_masks(short, min_words)
+    masks = item_masks([n for n in short if n])
     hashed = materialise(item_seeds(words, masks), "seeds")
     regions = materialise(
         document_regions(docs, masks, bit_table(hashed), reach, id_col, text_col), "regions"

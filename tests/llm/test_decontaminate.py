@@ -89,6 +89,37 @@ def test_a_segment_is_accepted_as_by_brute_force():
         assert (dc.copied_segment(equal, 13, 0.8) is not None) == want
 
 
+def test_masks_spare_a_window_for_every_placement():
+    for n in range(5, 26):
+        changes = min(n // 5, n - min(13, -(-n * 4 // 5)))
+        left = np.array([sum(1 << p for p in c) for c in itertools.combinations(range(n), changes)])
+        for mask in dc.masks_of(n):
+            window = int(mask[::-1], 2)
+            for at in range(n - len(mask) + 1):
+                left = left[left & (window << at) != 0]
+        assert not len(left), n
+
+
+def test_short_items_with_a_substitution_are_found_whatever_the_other_items(spark):
+    rng = np.random.default_rng(4)
+    items = [make(rng, n) for n in (5, 8, 11, 12)]
+    docs, want = [], set()
+    for i, item in enumerate(items):
+        for at in range(len(item)):
+            copy = [*item[:at], "changed", *item[at + 1 :]]
+            want.add((len(docs), str(i)))
+            docs.append(" ".join(make(rng, 20) + copy + make(rng, 20)))
+    letters = [chr(0x4E00 + c) for c in rng.integers(0, 5000, 60)]
+    want.add((len(docs), "4"))
+    docs.append("".join([*letters[:29], "x", *letters[30:]]))
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = [(i, " ".join(t)) for i, t in enumerate(items)] + [(4, "".join(letters[20:40]))]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.overlaps(table, bench).collect()} == want
+    alone = dc.overlaps(table, bench.where("item_id = 2")).collect()
+    assert {(r.doc_id, r.item_id) for r in alone} == {w for w in want if w[1] == "2"}
+
+
 def test_odd_tables(spark, odd, none):
     text = "a text whose id is null and has some more words in it"
     bench = spark.createDataFrame(
