@@ -49,7 +49,7 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 _ALONE = {k: re.compile(p, re.VERBOSE) for k, p in PATTERNS.items()}
 _SPAN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.VERBOSE)
-_MAY = re.compile(r"[0-9@]|(?i:password|passwd|token|secret|api)")
+_MAY = re.compile(r"[0-9@]|AKIA|(?i:password|passwd|token|secret|api)")
 
 
 def feistel(digits: list[int], radices: list[int], key: bytes, tweak: str) -> list[int]:
