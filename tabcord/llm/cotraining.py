@@ -275,8 +275,11 @@ def train(
         F.array(*(F.col(c).cast("string") for c in categories)).cast("array<string>").alias("cats"),
         F.array(*(F.col(c).cast("double") for c in numbers)).cast("array<double>").alias("nums"),
     )
-    # the sample has at most pool + 2 * per_class rows
-    views = materialise(sample_views(rows.join(F.broadcast(chosen), "id")), "views")
+    # one row of each id, so the sample has at most pool + 2 * per_class rows
+    one = F.min(F.struct(F.xxhash64("text").alias("mark"), "text", "cats", "nums", "good"))
+    rows = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(one.alias("one"))
+    rows = rows.select("id", *(f"one.{c}" for c in ("good", "text", "cats", "nums")))
+    views = materialise(sample_views(rows), "views")
     model = Model(telling_words(views, n_words), [])
     hits = views.select(
         "id",

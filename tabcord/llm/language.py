@@ -186,9 +186,11 @@ def train(
             [batch.column("doc_id"), batch.column("lang"), packed], ["doc_id", "lang", "x"]
         )
 
-    # the sample has at most ``most`` ids
+    # one row of each id and language, so the sample has at most ``most`` rows
     sample = rows.where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(ids), ["doc_id", "lang"])
-    held = by_batch(sample, step, "doc_id long, lang string, x binary").limit(2 * most)
+    one = F.min(F.struct(F.xxhash64("text").alias("mark"), "text"))
+    sample = sample.groupBy("doc_id", "lang").agg(one.alias("one")).select("doc_id", "lang", "one.text")
+    held = by_batch(sample, step, "doc_id long, lang string, x binary")
     held = held.orderBy("doc_id", "lang").toArrow()
     codes = held.column("lang").to_pylist()
     if not codes:

@@ -53,6 +53,20 @@ def test_cut_spares_the_good():
     assert ct.best_cut(p, np.ones(6, int), 0.1) == 0.0
 
 
+def test_a_repeated_id_gives_one_row_of_the_sample(spark, docs, sf, monkeypatch):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    sizes = []
+    real = ct.sample_views
+
+    def counted(rows):
+        sizes.append((rows.count(), rows.select("id").distinct().count()))
+        return real(rows)
+
+    monkeypatch.setattr(ct, "sample_views", counted)
+    ct.train(docs.unionAll(docs).unionAll(docs), labels, per_class=20, pool=30)
+    assert sizes[0][0] == sizes[0][1] <= 70
+
+
 def test_odd_tables(spark, odd, none):
     labels = spark.createDataFrame(
         [(4, 1, 0), (5, 1, 0), (6, 1, 0), (7, 0, 0), (8, 0, 1), (9, 0, 0), (None, 1, 1), (1, None, 0)],

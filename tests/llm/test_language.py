@@ -43,6 +43,17 @@ def test_sample_is_bounded_and_leaves_out_held_rows(docs, spark):
     assert "zz" not in {c for v in model.languages.values() for c in v}
 
 
+def test_a_repeated_id_gives_one_row_of_the_sample(docs, monkeypatch):
+    sizes = []
+    real = language.learn
+    monkeypatch.setattr(language, "learn", lambda x, codes: sizes.append(len(codes)) or real(x, codes))
+    language.train(docs, per_language=10)
+    language.train(docs.unionAll(docs).unionAll(docs), per_language=10)
+    language.train(docs.withColumn("doc_id", docs.doc_id - docs.doc_id), per_language=10)
+    assert sizes[0] and sizes[2] <= docs.select("lang").distinct().count()
+    assert sizes[1] <= sizes[0]
+
+
 def test_unknown_codes_are_families():
     assert language.family_of("de") == "germanic" and language.family_of("pt-BR") == "romance"
     assert language.family_of("xx") == "xx"
