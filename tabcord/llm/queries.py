@@ -8,6 +8,7 @@ from tabcord.functions.durable import materialise, new_path
 
 from . import (
     bpe,
+    chat,
     cotraining,
     decontaminate,
     fixity,
@@ -117,6 +118,22 @@ def op10_rules(spark, sf_dir):
     return forest.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: What both turns of the added conversation say.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op12_chat(spark, sf_dir):
+    """Every conversation, and one that speaks in control strings, formatted and read back."""
+    planted = spark.range(0, 2, 1, 1).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL).alias("text"),
+    )
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_chats(given.unionByName(planted)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -130,6 +147,7 @@ QUERIES = {
         op8_simhash,
         op9_language,
         op10_rules,
+        op12_chat,
     )
 }
 
@@ -166,5 +184,31 @@ SELECT page_id, warc_file,
        CASE WHEN mark IN {_in(ALTERED + SHORTENED)} THEN 'corrupt'
             WHEN mark IN {_in(LOST)} THEN 'missing' ELSE 'ok' END AS status
 FROM d
+""",
+    "op12_chat": f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL}'
+  UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}'
+), e AS (
+  SELECT *, regexp_replace(txt, '<(\\\\*)\\|', '<\\1\\\\|', 'g') AS esc,
+         replace(regexp_replace(role, '<(\\\\*)\\|', '<\\1\\\\|', 'g'), chr(10), '{chat.LINE}')
+           AS esc_role,
+         role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, role, txt) AS opens
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || txt || chr(10), ''
+              ORDER BY turn NULLS FIRST, role, txt)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(txt) ELSE 0 END) AS BIGINT)
+         AS loss_chars,
+       sha256(coalesce(string_agg(txt, '' ORDER BY turn NULLS FIRST, role, txt)
+              FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(esc) + CASE WHEN opens
+              THEN {len(chat.START) + 1 + len(chat.END)} + length(esc_role)
+              ELSE {len(chat.AND)} END) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (WHERE opens) AS n_blocks
+FROM e GROUP BY conv_id
 """,
 }
