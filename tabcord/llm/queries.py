@@ -18,6 +18,7 @@ from . import (
     sharding,
     simhash,
     token_files,
+    vector_codes,
 )
 from .frames import table
 
@@ -134,6 +135,13 @@ def op12_chat(spark, sf_dir):
     return chat.digests(chat.format_chats(given.unionByName(planted)))
 
 
+def op13_vector_codes(spark, sf_dir):
+    """Product code of every usable vector, with errors and the digest of the codebooks."""
+    return vector_codes.with_label_errors(
+        vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -148,6 +156,7 @@ QUERIES = {
         op9_language,
         op10_rules,
         op12_chat,
+        op13_vector_codes,
     )
 }
 
@@ -156,7 +165,58 @@ def _in(values: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
+def _codes_sql(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Codebooks and codes of 64 components, round after round."""
+    distance = " + ".join(f"(x[{i}] - e[{i}]) * (x[{i}] - e[{i}])" for i in range(1, width + 1))
+    mean = ", ".join(
+        f"(sum(x[{i}]) - ((sum(x[{i}]) % count(*) + count(*)) % count(*))) // count(*)"
+        for i in range(1, width + 1)
+    )
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT k, part, any_value(x) AS x, min(({distance}) * {entries} + entry) AS best
+  FROM p JOIN b{r} USING (part) GROUP BY k, part
+)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(n.e, b.e) AS e FROM b{r} b LEFT JOIN (
+    SELECT part, CAST(best % {entries} AS BIGINT) AS entry,
+           CAST([{mean}] AS BIGINT[]) AS e
+    FROM a{r} GROUP BY part, best % {entries}) n ON n.part = b.part AND n.entry = b.entry
+)""")
+    return f"""
+WITH q AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding,
+        lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), p AS MATERIALIZED (
+  SELECT k, vec_id, part, v[part * {width} + 1 : part * {width} + {width}] AS x
+  FROM q, (SELECT unnest(range({parts})) AS part)
+), b0 AS MATERIALIZED (
+  SELECT part, entry, x AS e FROM (
+    SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p)
+  WHERE entry < {entries}
+), {", ".join(steps)}, c AS (
+  SELECT k, string_agg(format('{{:02x}}', CAST(best % {entries} AS INTEGER)), ''
+                       ORDER BY part) AS code,
+         CAST(sum(best // {entries}) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY k
+), s AS (
+  SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS digest
+  FROM b{rounds}
+)
+SELECT vec_id, code, error,
+       CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       digest AS codebooks_sha256
+FROM c JOIN q USING (k), s
+"""
+
+
 ORACLE = {
+    "op13_vector_codes": _codes_sql(),
     "op5_fixity": f"""
 WITH n AS (
   SELECT greatest(1, (count(*) + 2047) // 2048) AS files FROM pages
