@@ -116,7 +116,7 @@ def test_hot_vectors_and_ties(frame):
 
 
 def test_shortlists_hold_every_nearest_entry():
-    rows = np.array([r[1] for r in clusters(2000, 8, 5)])
+    rows = np.array([r[1] for r in clusters(7000, 8, 5)])
     rows = np.floor(rows * 4096).astype(np.int64)
     place = vc.hilbert_order(rows)
     blocks = vc.Blocks.of(rows[place], place)
@@ -124,9 +124,10 @@ def test_shortlists_hold_every_nearest_entry():
     may = vc.shortlists(blocks, entries)
     distance = ((blocks.rows[:, None] - entries[None]) ** 2).sum(axis=2)
     nearest = distance == distance.min(axis=1)[:, None]
-    assert not (nearest & ~may[np.arange(2000) // vc.BLOCK]).any()
+    assert not (nearest & ~may[np.arange(7000) // vc.BLOCK]).any()
     assert may.sum() < 0.6 * may.size
-    assert (vc.shortlists(blocks, rows[:7]).sum(axis=1) == 1).any()
+    centres = np.stack([rows[i::7].mean(axis=0).astype(np.int64) for i in range(7)])
+    assert (vc.shortlists(blocks, centres).sum(axis=1) == 1).any()
     code, error = vc.part_codes(blocks, entries, vc.safe_limit(8, 8))
     assert (error == ((rows - entries[code]) ** 2).sum(axis=1)).all()
 
