@@ -14,6 +14,7 @@ from . import (
     fixity,
     forest,
     language,
+    lexical,
     pseudonyms,
     sharding,
     simhash,
@@ -119,6 +120,11 @@ def op10_rules(spark, sf_dir):
     return forest.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_search(spark, sf_dir):
+    """The twenty best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: What both turns of the added conversation say.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -155,6 +161,7 @@ QUERIES = {
         op8_simhash,
         op9_language,
         op10_rules,
+        op11_search,
         op12_chat,
         op13_vector_codes,
     )
@@ -215,7 +222,42 @@ FROM c JOIN q USING (k), s
 """
 
 
+#: A maximal run of letters and digits, or of any characters beyond ASCII.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = (
+    "unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    f"'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS term"
+)
+
 ORACLE = {
+    "op11_search": f"""
+WITH t AS MATERIALIZED (
+  SELECT k, doc_id, {_TERMS} FROM (SELECT row_number() OVER () AS k, * FROM documents)
+), d AS (
+  SELECT k, any_value(doc_id) AS doc_id, count(*) AS n FROM t GROUP BY k
+), c AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d
+), v AS (
+  SELECT k, term, count(*) AS tf FROM t GROUP BY k, term
+), i AS (
+  SELECT item_id, text, term, count(*) AS times
+  FROM (SELECT item_id, text, {_TERMS} FROM (SELECT DISTINCT item_id, text FROM benchmark))
+  GROUP BY item_id, text, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM v, c GROUP BY term
+), s AS (
+  SELECT item_id, text, doc_id, k,
+         CAST(sum(times * w * ((1000000000 * tf)
+              // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM i JOIN w USING (term) JOIN v USING (term) JOIN d USING (k), c
+  GROUP BY item_id, text, doc_id, k
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank
+  FROM s WHERE score > 0)
+WHERE rank <= 20
+""",
     "op13_vector_codes": _codes_sql(),
     "op5_fixity": f"""
 WITH n AS (
@@ -224,7 +266,7 @@ WITH n AS (
   SELECT page_id,
          substr(md5(coalesce(CAST(page_id AS VARCHAR), 'null')), 1, 2) AS mark,
          CAST(CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), 'null') || ' '
-              || coalesce(url, '')), 1, 8) AS BIGINT) % files AS INTEGER) AS warc_file,
+              || coalesce(url, '') || ' ' || md5(coalesce(html, ''))), 1, 8) AS BIGINT) % files AS INTEGER) AS warc_file,
          'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
            || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'null') || '>'
            || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
