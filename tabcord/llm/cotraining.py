@@ -144,19 +144,30 @@ class Model:
     def meta_columns(self) -> int:
         return sum(len(c) + 1 for c in self.categories) + sum(len(e) + 2 for e in self.number_edges)
 
-    def meta_matrix(self, cats: list[list[str | None]], nums: list[np.ndarray]) -> np.ndarray:
+    def meta_entries(self, cats: list[list[str | None]], nums: list[np.ndarray]) -> np.ndarray:
+        """The metadata columns that are 1, one per field, by row."""
         n = len(cats[0]) if cats else len(nums[0]) if nums else 0
-        out = np.zeros((n, self.meta_columns()))
-        first = 0
+        out, first = [], 0
         for known, values in zip(self.categories, cats, strict=True):
             at = np.fromiter((known.get(str(v), len(known)) for v in values), np.int64, n)
-            out[np.arange(n), first + at] = 1
+            out.append(first + at)
             first += len(known) + 1
         for e, values in zip(self.number_edges, nums, strict=True):
-            out[np.arange(n), first + binned(values, e)] = 1
+            out.append(first + binned(values, e))
             first += len(e) + 2
+        return np.column_stack(out) if out else np.zeros((n, 0), np.int64)
+
+    def meta_matrix(self, cats: list[list[str | None]], nums: list[np.ndarray]) -> np.ndarray:
+        """The metadata view of a bounded sample; values of a category are columns each."""
+        entries = self.meta_entries(cats, nums)
+        out = np.zeros((len(entries), self.meta_columns()), np.float32)
+        np.put_along_axis(out, entries, 1, axis=1)
         return out
 
+    def meta_margins(self, cats: list[list[str | None]], nums: list[np.ndarray]) -> np.ndarray:
+        """Margins of the metadata view, without its matrix."""
+        return self.meta[self.meta_entries(cats, nums)].sum(axis=1) + self.meta[-1]
+
     def probabilities(self, text: np.ndarray, meta: np.ndarray):
         """(text view, metadata view, both) from margins, calibrated."""
         a, b = (
@@ -303,7 +314,7 @@ def train(
     cats = list(map(list, zip(*held.column("cats").to_pylist(), strict=True)))
     nums = list(np.array(held.column("nums").to_pylist(), float).T) if numbers else []
     model.categories = [
-        {v: i for i, v in enumerate(sorted({str(x) for x in c})[:200])} for c in cats
+        {v: i for i, v in enumerate(sorted({str(x) for x in c}))} for c in cats
     ]
     model.number_edges = [edges_of(v, 10) for v in nums]
     x_meta = model.meta_matrix(cats, nums) if cats or nums else np.zeros((len(y), 0))
@@ -399,10 +410,10 @@ def score_rows(
                 for n in nums
             ]
             if cats or nums:
-                meta = model.meta_matrix([batch.column(c).to_pylist() for c in cats], numbers_)
+                meta = model.meta_margins([batch.column(c).to_pylist() for c in cats], numbers_)
             else:
-                meta = np.zeros((batch.num_rows, 0))
-            p, q, both = model.probabilities(text, margins(meta, model.meta))
+                meta = np.full(batch.num_rows, model.meta[-1])
+            p, q, both = model.probabilities(text, meta)
         both = np.where(wordless, 0.0, both)
         accepted = ~wordless & (both >= (model.cut if model else 0.0))
         return pa.RecordBatch.from_arrays(
