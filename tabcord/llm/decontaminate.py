@@ -17,10 +17,13 @@ of them is spared.  Items of fewer than 16 words have further masks for their
 length, so what is found of an item does not depend on the other items.
 
 Words are lower-cased runs of letters and digits; in scripts written without
-spaces every character is a word.  Items of fewer than ``min_words`` words are
-too little evidence and match nothing.  Null or empty texts match nothing.
-Null ids and repeated rows are kept apart by their text: rows with equal id and
-text get equal results.  Empty tables give no match.
+spaces every character is a word.  Items of fewer than five words are found
+where they are copied whole; ``min_words`` leaves out shorter ones.  Null or
+empty texts match nothing.  Null ids and repeated rows are kept apart by their
+text: rows with equal id and text get equal results, and items of equal words
+are verified once and reported each.  Empty tables give no match.  Long texts
+are read whole, a few MB at a time.  Of equally good segments the first is
+reported.  Other columns of both tables are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -58,8 +61,8 @@ SHORT_MASKS = {
     13: ("1101111",),
     15: ("111101001",),
 }
-#: Bits of the prefilter: 4 MB, whatever the size of the benchmark.
-FILTER_BITS = 25
+#: Address bits of the prefilter: 4 MB for small benchmarks, 64 MB at most.
+LEAST_BITS, MOST_BITS = 25, 29
 
 _ODD = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(
     2
@@ -116,7 +119,7 @@ def _code_array(words: Words, a: int, b: int) -> list[int]:
 
 
 def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_key, item_id, codes): hashed words of every distinct item (id and text)."""
+    """(item_key, item_id, codes): hashed words of every item; equal words have equal keys."""
 
     def step(batch: pa.RecordBatch) -> pa.Table:
         found = lowered(texts(batch))
@@ -125,17 +128,14 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             w = Words(found[a:b], ALNUM)
             out += [_code_array(w, w.bounds[i], w.bounds[i + 1]) for i in range(b - a)]
         codes = pa.array(out, pa.list_(pa.int64()))
-        return pa.Table.from_arrays(
-            [batch.column("item_key"), batch.column("item_id"), codes],
-            ["item_key", "item_id", "codes"],
-        )
+        return pa.Table.from_arrays([batch.column("item_id"), codes], ["item_id", "codes"])
 
     rows = (
         items.select(F.col(id_col).cast("string").alias("item_id"), text_of(text_col).alias("text"))
         .distinct()
-        .withColumn("item_key", F.xxhash64("item_id", "text"))
     )
-    return by_batch(rows, step, "item_key long, item_id string, codes array<long>")
+    found = by_batch(rows, step, "item_id string, codes array<long>").distinct()
+    return found.select(F.xxhash64("codes").alias("item_key"), "item_id", "codes")
 
 
 def item_seeds(words: DataFrame, masks: list[str]) -> DataFrame:
@@ -173,15 +173,21 @@ class _FakeWords:
         self.code, self.text = code, np.zeros(len(code), np.int64)
 
 
+def address_bits(n: int) -> int:
+    """Address bits at which ``n`` hashes mark at most a quarter of the table, within bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, (8 * max(n, 1) - 1).bit_length()))
+
+
 def bit_table(found: DataFrame) -> np.ndarray:
-    """A table of :data:`FILTER_BITS` address bits with two marks for every benchmark hash.
+    """A table of bits, sized by the number of benchmark hashes, with two marks for each.
 
     The marks are gathered as distinct table addresses: at most one per bit,
     merged by Spark into words of 32 bits before they reach the driver.
     """
+    bits = address_bits(found.count())
     two = F.array(
-        F.shiftrightunsigned("key", 64 - FILTER_BITS),
-        F.shiftrightunsigned(F.shiftleft("key", FILTER_BITS), 64 - FILTER_BITS),
+        F.shiftrightunsigned("key", 64 - bits),
+        F.shiftrightunsigned(F.shiftleft("key", bits), 64 - bits),
     )
     marks = (
         found.select(F.explode(two).alias("address"))
@@ -192,7 +198,7 @@ def bit_table(found: DataFrame) -> np.ndarray:
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
     )
-    table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    table = np.zeros(1 << (bits - 5), np.uint32)
     held = marks.toArrow()
     table[held.column("word").to_numpy()] = held.column("bits").to_numpy().astype(np.uint32)
     return table
@@ -200,13 +206,14 @@ def bit_table(found: DataFrame) -> np.ndarray:
 
 def marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether both marks of each hash are set."""
+    bits = len(table).bit_length() + 4
 
     def held(codes: np.ndarray) -> np.ndarray:
-        address = (codes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        address = (codes >> np.uint64(64 - bits)).astype(np.int64)
         return (table[address >> 5] >> (address & 31).astype(np.uint32)) & np.uint32(1) != 0
 
     found = held(keys)
-    found[found] = held(keys[found] << np.uint64(FILTER_BITS))
+    found[found] = held(keys[found] << np.uint64(bits))
     return found
 
 
@@ -310,7 +317,7 @@ def copied_segment(
 
 
 def verify(pairs: DataFrame, min_match: int, identity: float) -> DataFrame:
-    """Keep alignments (doc_id, text_key, region, codes, item_id, item_codes, shift) that overlap."""
+    """Keep alignments (doc_id, text_key, region, codes, item_key, item_codes, shift) that overlap."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keep, starts, ends, matches = [], [], [], []
@@ -335,18 +342,18 @@ def verify(pairs: DataFrame, min_match: int, identity: float) -> DataFrame:
             return None
         return pa.RecordBatch.from_arrays(
             [
-                *(batch.column(c).take(pa.array(keep)) for c in ("doc_id", "text_key", "item_id")),
+                *(batch.column(c).take(pa.array(keep)) for c in ("doc_id", "text_key", "item_key")),
                 pa.array(starts, pa.int64()),
                 pa.array(ends, pa.int64()),
                 pa.array(matches, pa.int64()),
             ],
-            ["doc_id", "text_key", "item_id", "first_word", "end_word", "n_equal"],
+            ["doc_id", "text_key", "item_key", "first_word", "end_word", "n_equal"],
         )
 
     return by_batch(
         pairs,
         step,
-        "doc_id long, text_key long, item_id string, first_word long, end_word long, n_equal long",
+        "doc_id long, text_key long, item_key long, first_word long, end_word long, n_equal long",
     )
 
 
@@ -359,19 +366,20 @@ def overlaps(
     item_text_col: str = "text",
     min_match: int = 13,
     identity: float = 0.8,
-    min_words: int = 5,
+    min_words: int = 1,
 ) -> DataFrame:
     """Verified overlaps: (doc_id, text_key, item_id, first_word, end_word, n_equal)."""
     words = materialise(
         item_words(benchmark, item_col, item_text_col).where(F.size("codes") >= min_words),
         "benchmark",
     )
+    kinds = materialise(words.select("item_key", "codes").distinct(), "kinds")
     # distinct lengths with masks of their own, and the longest length: a few numbers
-    lengths = words.select(F.size("codes").alias("n"))
+    lengths = kinds.select(F.size("codes").alias("n"))
     short = [r.n for r in lengths.where(F.col("n") <= max(SHORT_MASKS)).distinct().collect()]
     reach = lengths.agg(F.max("n")).first()[0] or 1
     masks = item_masks([n for n in short if n])
-    hashed = materialise(item_seeds(words, masks), "seeds")
+    hashed = materialise(item_seeds(kinds, masks), "seeds")
     regions = materialise(
         document_regions(docs, masks, bit_table(hashed), reach, id_col, text_col), "regions"
     )
@@ -391,9 +399,10 @@ def overlaps(
         aligned.alias("a")
         .join(regions.select(*place, "codes").distinct().alias("r"), same)
         .select(*(F.col(f"a.{c}") for c in place), "codes", "item_key", "shift")
-        .join(words.withColumnRenamed("codes", "item_codes"), "item_key")
+        .join(kinds.withColumnRenamed("codes", "item_codes"), "item_key")
     )
-    return verify(pairs, min_match, identity).distinct()
+    found = verify(pairs, min_match, identity).distinct()
+    return found.join(words.select("item_key", "item_id").distinct(), "item_key").drop("item_key")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

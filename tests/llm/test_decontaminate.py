@@ -40,7 +40,9 @@ def test_substitutions_are_tolerated_and_chance_is_not(spark):
             want.add((len(docs) - 1, str(i)))
     docs.append(" ".join(make(rng, 30) + items[4] + make(rng, 30)))  # short item, whole
     want.add((len(docs) - 1, "4"))
-    docs.append(" ".join(make(rng, 30) + items[5] + make(rng, 30)))  # too short to tell
+    docs.append(" ".join(make(rng, 30) + items[5] + make(rng, 30)))  # three words, whole
+    want.add((len(docs) - 1, "5"))
+    docs.append(" ".join(make(rng, 30) + items[5][:2] + make(rng, 30)))  # but not two of them
     docs.append(" ".join(make(rng, 30) + items[0][:9] + make(rng, 30)))  # too small a part
     docs.append(" ".join(make(rng, 30) + items[0][10:30]))  # a long part
     want.add((len(docs) - 1, "0"))
@@ -127,9 +129,38 @@ def test_odd_tables(spark, odd, none):
         "item_id long, text string",
     )
     got = dc.contaminated(odd, bench).collect()
-    assert {r.doc_id for r in got} == {None, 5}
+    assert {r.doc_id for r in got} == {None, 4, 5}
+    longer = dc.contaminated(odd, bench, min_words=5).collect()
+    assert {r.doc_id for r in longer} == {None, 5}
     kept = dc.clean(odd, bench)
     assert kept.columns == odd.columns
-    assert kept.count() == odd.count() - 3
+    assert kept.count() == odd.count() - 4
     assert dc.clean(odd, bench.limit(0)).count() == odd.count()
     assert dc.clean(none, bench).count() == 0
+
+
+def test_equal_items_are_verified_once_and_reported_each(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    item = make(rng, 20)
+    docs = [(i, " ".join(make(rng, 10) + item + make(rng, 10))) for i in range(30)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(item)) for i in range(40)], "item_id long, text string")
+    verified = []
+    plain = dc.verify
+    monkeypatch.setattr(
+        dc, "verify", lambda pairs, *a: verified.append(pairs.count()) or plain(pairs, *a)
+    )
+    got = dc.overlaps(table, bench).collect()
+    assert len({(r.doc_id, r.item_id) for r in got}) == len(got) == 1200
+    assert verified == [30]
+
+
+def test_the_prefilter_follows_the_benchmark():
+    assert dc.address_bits(0) == dc.address_bits(10**6) == 25
+    assert dc.address_bits(30_000_000) == 28 and dc.address_bits(10**10) == 29
+
+
+def test_clashing_columns_of_the_benchmark(odd, frame):
+    text = "a text whose id is null and has some more words in it"
+    bench = frame("item_id long, text string, codes string, doc_id long", (1, text, "x", 5))
+    assert [r.doc_id for r in dc.contaminated(odd, bench).collect()] == [None]
