@@ -7,10 +7,13 @@ the roots down; only children of mismatching nodes are looked at, level by
 level, until the damaged records are found.
 
 All steps are SQL functions, groupings and joins.  A node has at most
-``fan_out`` children and a file a bounded expected number of records, so no
-group grows with the archive.  Null urls and bodies count as empty; a null id
-is written as such; repeated records are separate records, ordered by id, url
-and digest.  Empty tables have no files and no damage.
+``fan_out`` children, and pages are dealt to files by id, url and body, so a
+file holds a bounded expected number of different records, whatever id or url
+many pages share; only copies equal in all three stay together.  Null urls and
+bodies count as empty; a null id is written as such; repeated records are
+separate records, ordered by id, url and digest.  Long bodies are records like
+others.  Empty tables have no files and no damage.  Other columns of the pages
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,9 +41,10 @@ def record_text(page_id: Column, url: Column, body: Column) -> Column:
     )
 
 
-def file_of(page_id: Column, url: Column, files: int) -> Column:
+def file_of(page_id: Column, url: Column, body: Column, files: int) -> Column:
     """The file of a page: 32 bits of an MD5 digest, modulo the number of files."""
-    digest = F.md5(F.encode(F.concat(page_id, F.lit(" "), url), "UTF-8"))
+    own = F.md5(F.encode(body, "UTF-8"))
+    digest = F.md5(F.encode(F.concat(page_id, F.lit(" "), url, F.lit(" "), own), "UTF-8"))
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % files).cast("int")
 
 
@@ -60,7 +64,7 @@ def archive(
     url, body = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (url_col, body_col))
     return pages.select(
         F.col(id_col).cast("long").alias("page_id"),
-        file_of(page_id, url, files).alias("file"),
+        file_of(page_id, url, body, files).alias("file"),
         record_text(page_id, url, body).alias("record"),
     )
 

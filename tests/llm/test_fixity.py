@@ -90,3 +90,15 @@ def test_odd_pages(spark):
     none = fixity.archive(odd.limit(0))
     empty = fixity.manifest(none)
     assert fixity.audit(empty, empty).count() == 0
+
+
+def test_pages_without_id_and_url_spread_over_files(spark):
+    rows = spark.range(20_000).selectExpr(
+        "CASE WHEN id % 2 = 1 THEN id END AS page_id",
+        "CASE WHEN id % 2 = 1 THEN 'u' || id END AS url",
+        "'body ' || id AS html",
+        "'own' AS file",
+        "id AS record",
+    )
+    sizes = [r["count"] for r in fixity.archive(rows).groupBy("file").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 2400
