@@ -15,12 +15,16 @@ one more shard takes rows only into itself.
 All of it is SQL functions.  Every row gets a shard: a null key draws like a
 value of its own, equal keys go together.  Slots are gapless from 0 within a
 shard, in buckets by row hash and ascending by key within a bucket; ties take
-them in order of checksum and size.  Buckets have a bounded expected size, so
-no shard passes through one task.
+them in order of checksum and size.  Equal rows are counted before they are
+ordered and get their slots from the count, and buckets hold a bounded expected
+number of distinct rows, so no shard or repeated row passes through one sort.
+Null texts are empty; long texts give only their size and checksum.  An empty
+table gives no rows.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,28 +59,49 @@ def layout(shards: int, base: int = 24) -> Tree:
     return Tree(tuple(rows))
 
 
-def draw(key: Column, node: str, weight: float) -> Column:
-    """The node's race time for a key: exponential with the weight as its rate."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(node)), 11)
-    return -F.log((bits.cast("double") + 0.5) / F.lit(float(1 << 53))) / F.lit(weight)
+def draw(key: Column, node: Column, weight: Column) -> Column:
+    """A node's race time for a key: exponential with the weight as its rate."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, node), 11)
+    return -F.log((bits.cast("double") + 0.5) / F.lit(float(1 << 53))) / weight
 
 
-def descend(tree: Tree, key: Column, *path: str) -> Column:
-    """The shard that a key reaches below a path."""
-    children = tree.children(*path)
-    if not children:
+def nodes(tree: Tree, *path: str) -> list[dict]:
+    """The nodes below a path that weigh anything, with their own nodes, in order."""
+    out = []
+    for child, weight in tree.children(*path).items():
+        own = {"node": "/".join([*path, str(child)]), "weight": weight}
+        below = {"shard": child} if len(path) == 2 else {"below": nodes(tree, *path, child)}
+        out.append({**own, **below})
+    return out
+
+
+_LEVEL = "array<struct<node:string,weight:double,{}>>"
+_TREE = _LEVEL.format("below:" + _LEVEL.format("below:" + _LEVEL.format("shard:int")))
+
+
+def descend(tree: Tree, key: Column) -> Column:
+    """The shard that a key reaches: at each level the child with the earliest time.
+
+    The tree is one constant and a level one expression over its nodes, so the
+    plan does not grow with the number of shards and a row draws only for the
+    children on its way.
+    """
+    found = nodes(tree)
+    if not found:
         raise ValueError("no shard has a weight")
-    last = len(path) == 2
-    below = {c: F.lit(c) if last else descend(tree, key, *path, c) for c in children}
-    if len(children) == 1:
-        return next(iter(below.values()))
-    times = {c: draw(key, "/".join([*path, str(c)]), w) for c, w in children.items()}
-    first = F.least(*times.values())
-    chosen = None
-    for c, time in times.items():
-        hit = time == first
-        chosen = F.when(hit, below[c]) if chosen is None else chosen.when(hit, below[c])
-    return chosen
+
+    def first(children: Column, then: str) -> Column:
+        # i parts equal times, so what follows is never compared
+        times = F.transform(
+            children,
+            lambda c, i: F.struct(
+                draw(key, c["node"], c["weight"]).alias("time"), i.alias("i"), c[then].alias(then)
+            ),
+        )
+        return F.array_min(times)[then]
+
+    whole = F.from_json(F.lit(json.dumps(found)), _TREE)
+    return first(first(first(whole, "below"), "below"), "shard")
 
 
 def assign(
@@ -99,13 +124,15 @@ def assign(
         descend(tree, key).alias("shard"),
         (descend(grown, key) if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    rows = materialise(rows, "shards")
+    same = ("shard", "doc_id", "text_crc32", "size", "grown_shard")
+    kinds = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"))
+    kinds = materialise(kinds, "shards")
     # as many buckets as the rows need, by a hash of the whole row so that no key fills one
-    buckets = max(1, -(-rows.count() // (bucket_rows * len(tree.shards))))
-    rows = rows.withColumn(
+    buckets = max(1, -(-kinds.count() // (bucket_rows * len(tree.shards))))
+    kinds = kinds.withColumn(
         "bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets))
     )
-    held = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("held"))
+    held = kinds.groupBy("shard", "bucket").agg(F.sum("copies").alias("held"))
     before = Window.partitionBy("shard").orderBy("bucket")
     offsets = held.select(
         "shard",
@@ -115,16 +142,19 @@ def assign(
         ).alias("first"),
     )
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    ahead = F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
     return (
-        rows.withColumn("place", F.row_number().over(inside) - 1)
+        kinds.withColumn("place", F.coalesce(ahead, F.lit(0)))
         .join(offsets, ["shard", "bucket"])
+        .select("*", copy)
         .select(
             "doc_id",
             "size",
             "text_crc32",
             F.lit("key").alias("law"),
             F.col("shard").cast("int").alias("shard"),
-            (F.col("first") + F.col("place")).cast("long").alias("slot"),
+            (F.col("first") + F.col("place") + F.col("copy")).cast("long").alias("slot"),
             F.col("grown_shard").cast("int").alias("grown_shard"),
         )
     )

@@ -69,3 +69,31 @@ def test_odd_table(odd, none):
         slots = sorted(r.slot for r in got if r.shard == shard)
         assert slots == list(range(len(slots)))
     assert sharding.assign(none, sharding.layout(24), sharding.layout(25)).count() == 0
+
+
+def test_equal_rows_and_clashing_columns(spark):
+    rows = spark.range(3000).selectExpr(
+        "CASE WHEN id < 2000 THEN 7 ELSE id END AS doc_id",
+        "'x' AS text",
+        "'own' AS shard",
+        "'own' AS copies",
+        "'own' AS bucket",
+    )
+    got = sharding.assign(rows, sharding.layout(24), bucket_rows=20).collect()
+    assert len(got) == 3000 and len({r.shard for r in got if r.doc_id == 7}) == 1
+    for shard in {r.shard for r in got}:
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_a_thousand_shards_are_one_small_plan(spark):
+    import time
+
+    rows = spark.range(500).selectExpr("id AS doc_id")
+    tree = sharding.layout(1000, base=1000)
+    start = time.perf_counter()
+    got = rows.select("doc_id", sharding.descend(tree, rows["doc_id"]).alias("shard"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert time.perf_counter() - start < 3
+    assert plan.count("xxhash64") <= 3
+    assert all(r.shard == plain_shard(tree, r.doc_id) for r in got.collect())
