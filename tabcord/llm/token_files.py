@@ -28,7 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
@@ -219,6 +219,18 @@ def read_tokens(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(target)
 
 
+def file_order() -> list[Column]:
+    """The order of files that one sorted write made: by the numbers in their names.
+
+    Names sort by text only up to 99,999 parts.
+    """
+    part, piece = (
+        F.regexp_extract("file", r"^part-(\d+).*?(?:-c(\d+))?\.", i).try_cast("long")
+        for i in (1, 2)
+    )
+    return [part.asc_nulls_first(), piece.asc_nulls_first(), F.col("file")]
+
+
 def digests(spark: SparkSession, target: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) read from token files."""
 
@@ -243,7 +255,7 @@ def digests(spark: SparkSession, target: str) -> DataFrame:
                 ["doc_id", "file", "row", "n_tokens", "ids_crc32"],
             )
 
-    # file names ascend with the id range, rows with the id
+    # numbers in file names ascend with the id range, rows with the id
     rows = read_tokens(spark, target).select(
         "doc_id",
         F.col("_metadata.file_name").alias("file"),
@@ -256,7 +268,7 @@ def digests(spark: SparkSession, target: str) -> DataFrame:
     in_file = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     lengths = read_tokens(spark, target).groupBy(F.col("_metadata.file_name").alias("file"))
     files = lengths.agg(F.sum("n_tokens").alias("held"))  # one row per file
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*file_order()).rowsBetween(Window.unboundedPreceding, -1)
     firsts = files.select("file", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
     return (
         found.withColumn("inside", F.coalesce(F.sum("n_tokens").over(in_file), F.lit(0)))
