@@ -18,7 +18,7 @@ def sf():
 
 @pytest.fixture(scope="session")
 def docs(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").cache()
+    return spark.read.parquet(f"{sf}/documents.parquet")
 
 
 ODD = [
