@@ -18,11 +18,11 @@ gives an empty result.
 from __future__ import annotations
 
 import itertools
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +45,8 @@ FAMILIES = {
 }
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter as training sees it; fractions, circled digits and numerals are none.
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = np.zeros(256, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)

@@ -66,3 +66,12 @@ def test_linear_fit_separates(loss):
     sign = np.where(x @ np.array([1, -2, 0.5, 0, 1]) + 0.3 > 0, 1.0, -1.0)
     w = fit(x, sign, None, loss, 1e-4, 300)
     assert np.mean(np.sign(margins(x, w)) == sign) > 0.97
+
+
+def test_only_letters_make_a_language(spark, docs):
+    from tabcord.llm import language
+
+    model = language.train(docs)
+    rows = spark.createDataFrame([(1, "½ ² ¾ ① Ⅷ 42 _"), (2, "ª"), (3, "字")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(rows, model).collect()}
+    assert got[1] == ("und", 0.0) and "und" not in (got[2][0], got[3][0])
