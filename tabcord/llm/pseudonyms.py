@@ -8,9 +8,15 @@ values get equal pseudonyms in every document, and whoever has the key can
 invert them.  Names in e-mail addresses and secrets (access keys, tokens,
 passwords) go through the same network, each character within its class.
 
+Digits of other scripts stay in their script: a value is checked and permuted
+by its digits' values, so equal values of two scripts stay linked too.
+
 Null texts stay null and empty ones empty.  Text outside the found values is
-never changed.  Repeated rows get equal results; an empty table gives an empty
-result.  Values whose format has a single member cannot change.
+never changed.  Long texts are searched whole, in time that grows with their
+length.  Of several kinds at one place the first that is valid counts.
+Repeated rows get equal results; an empty table gives an empty result; columns
+of clashing names stay apart in ``row``.  Values whose format has a single
+member cannot change; dates outside 1900 to 2099 stay.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -31,7 +38,7 @@ ROUNDS = 10
 
 #: What each kind of value looks like; of several kinds at one place the first that is valid counts.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "secret": r"""\bAKIA[0-9A-Z]{16}\b
         | (?i:\b(?:password|passwd|token|secret|api_?key)\b["']?\s?[=:]\s?["']?[\w+/.-]{8,})""",
     "date": r"""(?<![\w.,/-])
@@ -49,7 +56,7 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 _ALONE = {k: re.compile(p, re.VERBOSE) for k, p in PATTERNS.items()}
 _SPAN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.VERBOSE)
-_MAY = re.compile(r"[0-9@]|AKIA|(?i:password|passwd|token|secret|api)")
+_MAY = re.compile(r"[\d@]|AKIA|(?i:password|passwd|token|secret|api)")
 
 
 def feistel(digits: list[int], radices: list[int], key: bytes, tweak: str) -> list[int]:
@@ -282,13 +289,28 @@ def secret(text: str, key: bytes) -> str | None:
 REPLACE = {f.__name__: f for f in (email, secret, date, iban, ip, ssn, phone, card)}
 
 
+def pseudonym(kind: str, text: str, key: bytes) -> str | None:
+    """A value's pseudonym in the script of its digits, or None if the value is not valid."""
+    if text.isascii():
+        return REPLACE[kind](text, key)
+    zeros = [ord(c) - unicodedata.decimal(c) for c in text if c.isdecimal()]
+    plain = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+    new = REPLACE[kind](plain, key)
+    if new is None or not zeros:
+        return new
+    if len(zeros) != sum(c.isdecimal() for c in new):
+        zeros = [zeros[0]] * len(new)  # a date or address may get more digits or fewer
+    own = iter(zeros)
+    return "".join(chr(next(own) + int(c)) if c.isdecimal() else c for c in new)
+
+
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and (start, end, kind) of what was replaced in it."""
     out, spans, at = [], [], 0
     place = 0
     while m := _SPAN.search(text, place):
         kind = m.lastgroup
-        new = REPLACE[kind](m[0], key)
+        new = pseudonym(kind, m[0], key)
         if new is None:
             # not valid as what it looks like: another kind may begin at the same place or after
             m, kind, new = _other(text, m, key)
@@ -308,7 +330,7 @@ def _other(text: str, m: re.Match, key: bytes):
     """A later kind's valid value at the place of a match that was not valid."""
     for kind in KINDS[KINDS.index(m.lastgroup) + 1 :]:
         again = _ALONE[kind].match(text, m.start())
-        if again and (new := REPLACE[kind](again[0], key)) is not None:
+        if again and (new := pseudonym(kind, again[0], key)) is not None:
             return again, kind, new
     return m, m.lastgroup, None
 

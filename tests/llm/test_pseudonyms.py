@@ -119,3 +119,60 @@ def test_tables(docs, odd, none):
             assert s.kind in ps.KINDS and old[s.start : s.end] not in (None, "")
     with pytest.raises(ValueError):
         ps.pseudonymise(odd, b"short")
+
+
+def plain_replace(text):
+    """Every place and kind tried one by one."""
+    out, spans, place, at = [], [], 0, 0
+    while place <= len(text):
+        seen = None
+        for kind in ps.KINDS:
+            m = ps._ALONE[kind].match(text, place)
+            if m:
+                seen = seen or m
+                new = ps.pseudonym(kind, m[0], KEY)
+                if new is not None:
+                    out += [text[at:place], new]
+                    spans.append((place, m.end(), kind))
+                    at = place = m.end()
+                    break
+        else:
+            place += 1
+            while seen and place < len(text) and text[place].isalnum() and text[place - 1].isalnum():
+                place += 1
+    return "".join(out) + text[at:], spans
+
+
+def test_tables_equal_a_plain_search(spark, sf):
+    where = sf.replace("sf0.001", "sf0.01")
+    rows = spark.read.parquet(f"{where}/documents.parquet").where("n_chars < 20000")
+    got = ps.pseudonymise(rows.limit(400), KEY).collect()
+    kinds = set()
+    for r in got:
+        new, spans = plain_replace(r.row.text)
+        assert (r.new_text, [(s.start, s.end, s.kind) for s in r.spans]) == (new, spans)
+        kinds |= {s.kind for s in r.spans}
+    assert len(kinds) >= 3
+
+
+@pytest.mark.parametrize("text", ["٢٠٢٤-٠١-٠٢", "२०२४-०१-०२", "٤١١١ ١١١١ ١١١١ ١١١١", "٧٠.١٢٣.١٨٢.١٥٥"])
+def test_digits_keep_their_script(text):
+    new, spans = swap(f"x {text} y")
+    zero = min(ord(c) - int(c) for c in text if c.isdecimal())
+    assert len(spans) == 1 and new != f"x {text} y"
+    assert {ord(c) - int(c) for c in new if c.isdecimal()} == {zero}
+    plain = "".join(str(int(c)) if c.isdecimal() else c for c in text)
+    same = "".join(str(int(c)) if c.isdecimal() else c for c in new)
+    assert swap(f"x {plain} y")[0] == same
+
+
+@pytest.mark.parametrize("c", "a1A%.-+@ (/:='\"_é٢\n")
+def test_long_texts_take_linear_time(c):
+    import time
+
+    def took(n):
+        start = time.perf_counter()
+        assert swap("1 " + c * n + " 1")[1] == []
+        return time.perf_counter() - start
+
+    assert took(1_000_000) < 2.5 + 4 * took(100_000)
