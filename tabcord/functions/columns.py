@@ -70,6 +70,18 @@ def mean(column: Column) -> Column:
     return F.try_divide(F.sum(column).cast("double"), F.count(column).cast("double"))
 
 
+def varies(column: Column) -> Column:
+    """Aggregate: whether a group has more than one value, null aside.
+
+    Smallest and largest hash are compared instead of the values: fixed-width
+    buffers keep the grouping a hash aggregate, where texts would have the rows
+    sorted.  Two hashes make 128 bits, so unequal values do not look equal.
+    """
+    marks = [F.when(column.isNotNull(), F.xxhash64(F.lit(seed), column)) for seed in (1, 2)]
+    differ = [F.min(m) != F.max(m) for m in marks]
+    return F.coalesce(differ[0] | differ[1], F.lit(False))
+
+
 def share(condition: Column, count: Column) -> Column:
     """Percentage of counted rows that meet a condition."""
     return percent(F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)), count)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean, col, local_rows
+from ..functions.columns import clean, col, local_rows, varies
 from ..functions.durable import materialise
 
 
@@ -69,7 +69,8 @@ def parent_violations(
     skipped.  All key columns share one grouping by (key column, value), which
     combines on the map side: at most one row per key value and task is
     shuffled.  A key value breaks the rule exactly when its smallest and
-    largest candidate values differ.  A table without rows breaks no rule.
+    largest candidate values differ (:func:`varies`).  A table without rows
+    breaks no rule.
     """
     found = [c for c in candidates if c in df.columns]
     pairs = [(k, c) for k in key_cols for c in found if k != c]
@@ -90,7 +91,7 @@ def parent_violations(
         )
         .select("key.name", "key.value", *[f"c{i}" for i in range(len(found))])
         .groupBy("name", "value")
-        .agg(*[(F.min(f"c{i}") != F.max(f"c{i}")).alias(f"bad{i}") for i in range(len(found))])
+        .agg(*[varies(F.col(f"c{i}")).alias(f"bad{i}") for i in range(len(found))])
     )
     counts = per_key.groupBy("name").agg(
         *[F.count_if(F.col(f"bad{i}")).alias(f"n{i}") for i in range(len(found))]
@@ -110,6 +111,66 @@ def parent_violations(
     )
 
 
+def parent_conflicts(
+    df: DataFrame, pairs: Sequence[tuple[str, str]], rows: str | None = None
+) -> DataFrame:
+    """What breaks the rule of :func:`parent_violations`, value by value.
+
+    ``pairs`` are (key column, candidate).  For each key value with several
+    candidate values: every one of them, how many rows hold it, whether it is
+    the majority (of equally frequent ones the smallest), and ``n_remove``, the
+    fewest rows whose removal leaves one value.  ``rows`` names a row-count
+    column of a pre-aggregated table.
+
+    Rows are counted per (key value, candidate value) first, which combines on
+    the map side, so a key that holds a large part of the table costs one row
+    per candidate value and task; only the counts are grouped again by key.
+    """
+    pairs = [(k, c) for k, c in pairs if k != c and k in df.columns and c in df.columns]
+    schema = "key_col string, key_value string, column string, value string"
+    if not pairs:
+        return local_rows(
+            df.sparkSession, [], f"{schema}, n_rows long, is_majority boolean, n_remove long"
+        )
+    used = list(dict.fromkeys(c for pair in pairs for c in pair))
+    short = {c: f"c{i}" for i, c in enumerate(used)}
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("key_col"),
+                F.col(short[k]).cast("string").alias("key_value"),
+                F.lit(c).alias("column"),
+                F.col(short[c]).cast("string").alias("value"),
+            )
+            for k, c in pairs
+        ]
+    )
+    weight = (col(rows) if rows else F.lit(1)).cast("long").alias("weight")
+    held = (
+        df.select(*[clean(df, c).alias(short[c]) for c in used], weight)
+        .select(F.inline(cells), "weight")
+        .where("value IS NOT NULL")
+        .groupBy("key_col", "key_value", "column", "value")
+        .agg(F.sum("weight").alias("n_rows"))
+    )
+    of = ("key_col", "key_value", "column")
+    broken = (
+        held.groupBy(*[F.col(c).alias(f"b_{c}") for c in of])
+        .agg(
+            F.count(F.lit(1)).alias("n_values"),
+            (F.sum("n_rows") - F.max("n_rows")).alias("n_remove"),
+        )
+        .where("n_values > 1")
+    )
+    same = F.lit(True)
+    for c in of:
+        same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    place = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("n_rows"), "value"))
+    return held.join(broken, same).select(
+        *of, "value", "n_rows", (place == 1).alias("is_majority"), "n_remove"
+    )
+
+
 def find_parent_cols(df: DataFrame, key_col: str, candidates: Sequence[str]) -> list[str]:
     """Candidates that are parents of ``key_col``, in the given order."""
     found = [c for c in candidates if c in df.columns]
@@ -130,7 +191,7 @@ def undetermined_without(
         [[col(c) for c in s] for s in sets], *[col(c) for c in kept]
     ).agg(
         F.grouping_id().alias("gid"),
-        (F.min(col(target)) != F.max(col(target))).alias("ambiguous"),
+        varies(col(target)).alias("ambiguous"),
     )
     # grouping_id has one bit per kept column, set where the column is left out
     bit = {2 ** (len(kept) - 1 - kept.index(t)): t for t in tested}

@@ -15,6 +15,7 @@ from ..functions.columns import clean, col
 from ..functions.durable import materialise
 from ..rules import roles
 from ..rules import rulepack as rp
+from .inference import open_inferred
 
 log = logging.getLogger(__name__)
 
@@ -107,15 +108,19 @@ def load_csv_tables(
 def csv_tables(
     spark: SparkSession,
     directory: str,
-    schemas: Mapping[str, T.StructType | str],
+    schemas: Mapping[str, T.StructType | str] | None = None,
     prefix: str = "tbl_",
+    infer: bool | None = None,
 ) -> tuple[dict[str, DataFrame], list[str]]:
     """Find the CSV tables of a folder and open them, with a note for each without a schema.
 
     The folder is listed by Spark, so it may lie in any store; a table is a
-    file or a folder named ``<prefix>*.csv``.  Types are declared, never
-    inferred, so a table without a declared schema is reported, not guessed.
+    file or a folder named ``<prefix>*.csv``.  With ``infer`` (the default
+    without any ``schemas``) a table without a declared schema gets the types
+    that all its cells have; else it is reported, not guessed.
     """
+    infer = schemas is None if infer is None else infer
+    schemas = schemas or {}
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
         name = F.regexp_extract("path", rf"/({prefix}[^/]*)\.csv(/[^/]*)?$", 1)
@@ -125,10 +130,14 @@ def csv_tables(
             raise
         names = []
     known = {n: schemas[n] for n in sorted(names) if n in schemas}
-    notes = [f"{n}.csv has no declared schema" for n in sorted(names) if n not in schemas]
+    others = [n for n in sorted(names) if n not in schemas]
+    found = load_csv_tables(spark, directory, known)
+    if infer:
+        return found | open_inferred(spark, {n: f"{directory}/{n}.csv" for n in others}), []
+    notes = [f"{n}.csv has no declared schema" for n in others]
     for note in notes:
         log.warning(note)
-    return load_csv_tables(spark, directory, known), notes
+    return found, notes
 
 
 def preaggregate(
