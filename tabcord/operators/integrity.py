@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean, col, common_type, percent, require_same_kind
+from ..functions.durable import materialise
 
 RESERVED = {"n_left", "n_right", "measure", "right_measure", "ref_table", "forward"}
 
@@ -115,6 +116,98 @@ def key_census_many(
     return _census(rows, ["ref_table", *columns])
 
 
+def grouping_parents(sets: Sequence[frozenset[str]], rows: Mapping[frozenset[str], int]):
+    """For each set of columns the smallest known grouping that holds all of them."""
+    return {
+        s: min((p for p in rows if s <= p), key=lambda p: (rows[p], len(p), sorted(p)))
+        for s in sets
+    }
+
+
+def fact_groupings(
+    left: DataFrame, sets: Sequence[frozenset[str]], measure: str | None = None
+) -> dict[frozenset[str], DataFrame]:
+    """(columns, n_left, measure): the fact counted by each set of columns, finest first.
+
+    Raw rows are grouped once, by all columns together.  Every other grouping
+    is made from the smallest finer one that exists by then: a tree over the
+    lattice of column sets, in which sizes are known because groupings that
+    others build on are stored.
+    """
+    value = clean(left, measure) if measure else F.lit(0)
+    whole = frozenset(c for s in sets for c in s)
+    order = sorted(whole)
+    first = (
+        left.select(*[clean(left, c).alias(c) for c in order], value.alias("measure"))
+        .groupBy(*[col(c) for c in order])
+        .agg(F.count(F.lit(1)).alias("n_left"), F.sum("measure").alias("measure"))
+    )
+    made = {whole: materialise(first, "census")}
+    rows = {whole: made[whole].count()}
+    for s in sorted(set(sets) - {whole}, key=lambda x: (-len(x), sorted(x))):
+        parent = grouping_parents([s], rows)[s]
+        coarser = (
+            made[parent]
+            .groupBy(*[col(c) for c in sorted(s)])
+            .agg(F.sum("n_left").alias("n_left"), F.sum("measure").alias("measure"))
+        )
+        if any(t < s for t in sets):
+            made[s] = materialise(coarser, "census")
+            rows[s] = made[s].count()
+        else:
+            made[s] = coarser
+    return made
+
+
+def key_census_tree(
+    left: DataFrame,
+    refs: Mapping[str, DataFrame],
+    keys: Mapping[str, Sequence[str]],
+    measure: str | None = None,
+    right_measure: tuple[str, str] | None = None,
+) -> DataFrame:
+    """The result of :func:`key_census_many` without multiplying the fact.
+
+    That function counts every fact row once per reference table, which suits
+    a fact that is aggregated already.  This one groups raw rows a single
+    time and derives the census of each table from the smallest finer grouping
+    (:func:`fact_groupings`); tables with equal keys share one.
+    """
+    for name, ref in refs.items():
+        _check_keys(left, ref, keys[name])
+    columns = list(dict.fromkeys(k for name in refs for k in keys[name]))
+    owner, own = right_measure or (None, None)
+    left_type = left.schema[measure].dataType if measure else "int"
+    right_type = refs[owner].schema[own].dataType if owner else "int"
+    total_type = left.select(F.sum(clean(left, measure) if measure else F.lit(0)).alias("m"))
+    total_type = total_type.schema["m"].dataType
+    types = {c: left.schema[c].dataType for c in columns}
+    made = fact_groupings(left, [frozenset(keys[name]) for name in refs], measure)
+    rows = None
+    for name, ref in refs.items():
+        right_value = clean(ref, own) if name == owner else F.lit(0)
+        pad = lambda df, c: (
+            (clean(df, c) if c in keys[name] else F.lit(None)).cast(types[c]).alias(c)
+        )
+        grouped = made[frozenset(keys[name])]
+        facts = grouped.select(
+            F.lit(name).alias("ref_table"),
+            *[pad(grouped, c) for c in columns],
+            F.col("n_left"),
+            F.lit(0).cast("long").alias("n_right"),
+            F.col("measure"),
+            F.lit(None).cast(right_type).alias("right_measure"),
+        )
+        others = ref.select(
+            F.lit(name).alias("ref_table"),
+            *[pad(ref, c) for c in columns],
+            *_tags(False, F.lit(None).cast(left_type).cast(total_type), right_value.cast(right_type)),
+        )
+        part = facts.unionByName(others)
+        rows = part if rows is None else rows.unionByName(part)
+    return _census(rows, ["ref_table", *columns])
+
+
 def only_left() -> Column:
     return (F.col("n_left") > 0) & (F.col("n_right") == 0)
 

@@ -1,6 +1,9 @@
 import pytest
 
 from tabcord.functions.columns import KeyTypeClash
+from pyspark.sql import functions as F
+
+from tabcord.operators import integrity
 from tabcord.operators import integrity as ig
 
 FACT = "k string, state string, premium double"
@@ -128,3 +131,53 @@ def test_registration(frame, dicts):
     assert dicts(ig.key_registration(frame(CATALOG, *rows), ["dd"])) == []
     got = ig.key_registration(frame(CATALOG, *rows[1:]), ["dd", "map"]).orderBy("missing_from")
     assert [g["missing_from"] for g in dicts(got)] == ["dd", "map"]
+
+
+def _tree_tables(spark):
+    rows = [(f"a{i % 5}", f"b{i % 3}", f"c{i % 7}" if i % 11 else None, i % 4, float(i)) for i in range(400)]
+    fact = spark.createDataFrame(rows, "a string, b string, c string, d int, m double")
+    refs = {
+        "ab": fact.select("a", "b").where("a <> 'a1'").union(spark.createDataFrame([("z", "b0")], "a string, b string")),
+        "a": fact.select("a").distinct(),
+        "c": fact.select("c").where("c = 'c1' OR c IS NULL"),
+        "ac": fact.select("c", "a", F.lit(2.5).alias("w")).where("a = 'a2'"),
+        "a2": spark.createDataFrame([("a0",), ("q",)], "a string"),
+    }
+    keys = {"ab": ["a", "b"], "a": ["a"], "c": ["c"], "ac": ["c", "a"], "a2": ["a"]}
+    return fact, refs, keys
+
+
+def test_census_tree_equals_the_census_of_every_table(spark):
+    fact, refs, keys = _tree_tables(spark)
+    for measure, right in (("m", ("ac", "w")), (None, None)):
+        many = integrity.key_census_many(fact, refs, keys, measure, right)
+        tree = integrity.key_census_tree(fact, refs, keys, measure, right)
+        names = many.columns
+        assert sorted(tree.columns) == sorted(names)
+        want = sorted(map(repr, (tuple(r) for r in many.collect())))
+        assert sorted(map(repr, (tuple(r) for r in tree.select(*names).collect()))) == want
+
+
+def test_raw_rows_are_grouped_once(spark, monkeypatch):
+    fact, refs, keys = _tree_tables(spark)
+    plans = []
+    real = integrity.materialise
+
+    def noted(df, name, path=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, path)
+
+    monkeypatch.setattr(integrity, "materialise", noted)
+    wide = fact.crossJoin(spark.range(3)).select("a", "b", "c", "d", "m")  # a raw fact
+    tree = integrity.key_census_tree(wide, refs, keys, "m")
+    plans.append(tree._jdf.queryExecution().executedPlan().toString())
+    raw = [p for p in plans if "Range" in p]
+    assert len(raw) == 1 and raw[0].count("Exchange hashpartitioning") == 1
+    assert len(plans) == 4  # all columns, then the two sets that smaller ones build on, then the census
+
+
+def test_a_grouping_is_made_from_the_smallest_finer_one():
+    f = frozenset
+    rows = {f("abcd"): 1000, f("abc"): 50, f("abd"): 40, f("ab"): 40}
+    parents = integrity.grouping_parents([f("a"), f("bc"), f("d")], rows)
+    assert parents == {f("a"): f("ab"), f("bc"): f("abc"), f("d"): f("abd")}
