@@ -2,8 +2,9 @@
 
 Intermediates are written as Parquet under the shared folder named by
 ``spark.checkpoint.dir``: later reads prune columns, see fresh statistics, and
-never depend on blocks held by a single machine.  A session that does not name
-one uses :data:`DEFAULT`, which suits a single machine only.
+never depend on blocks held by a single machine.  A session on a single machine
+that names none uses :data:`DEFAULT`; on a cluster that is an error, since a
+folder of one machine is lost with it.
 """
 
 from __future__ import annotations
@@ -15,9 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULT = "/tmp/checkpoints"
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster session does not say where intermediates can lie."""
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediates."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
+        named = DEFAULT
     return named.rstrip("/") + "/tabcord"
 
 

@@ -25,6 +25,49 @@ GAPS_REASON = "gaps at [%s]%s"
 SHORT_REASON = "max {pos} = %d (< {min_last} required)"
 
 
+def band_status(pct_inner: Column, pct_outer: Column, warn_pct: float, fail_pct: float) -> Column:
+    """FAIL by the share outside the outer band, else WARNING by that outside the inner one."""
+    return (
+        F.when(pct_outer > fail_pct, "FAIL").when(pct_inner > warn_pct, "WARNING").otherwise("PASS")
+    )
+
+
+def exceed_status(
+    average: Column,
+    pct_above: Column,
+    mean_lo: float,
+    mean_hi: float,
+    warn_pct: float,
+    fail_pct: float,
+) -> Column:
+    """FAIL by the share above the ceiling, else WARNING by a smaller share or an odd mean."""
+    suspicious = (average < mean_lo) | (average > mean_hi) | (pct_above > warn_pct)
+    return F.when(pct_above > fail_pct, "FAIL").when(suspicious, "WARNING").otherwise("PASS")
+
+
+def months_status(n_distinct: Column, n_invalid: Column) -> Column:
+    """SKIP without a value, FAIL on an invalid or a second one."""
+    return (
+        F.when(n_distinct == 0, "SKIP")
+        .when((n_invalid > 0) | (n_distinct > 1), "FAIL")
+        .otherwise("PASS")
+    )
+
+
+def numeric_status(n_non_numeric: Column, pct_below: Column, min_pct: float) -> Column:
+    """FAIL on a cell that is no number, else WARNING by the share below the ceiling."""
+    return (
+        F.when(n_non_numeric > 0, "FAIL").when(pct_below < min_pct, "WARNING").otherwise("PASS")
+    )
+
+
+def sequence_broken(
+    first: Column, last: Column, n_held: Column, start: int, min_last: int
+) -> Column:
+    """Whether held positions do not run from the start, without a gap, far enough."""
+    return (first != start) | (last - first + 1 > n_held) | (last < min_last)
+
+
 def band_share(
     df: DataFrame,
     columns: Sequence[str],
@@ -57,10 +100,7 @@ def band_share(
         "n",
         F.bround("pct_inner", 1).alias("pct_inner"),
         F.bround("pct_outer", 1).alias("pct_outer"),
-        F.when(too_wide, "FAIL")
-        .when(F.col("pct_inner") > warn_pct, "WARNING")
-        .otherwise("PASS")
-        .alias("status"),
+        band_status(F.col("pct_inner"), F.col("pct_outer"), warn_pct, fail_pct).alias("status"),
         F.when(
             too_wide,
             F.format_string(
@@ -95,8 +135,8 @@ def exceed_share(
 
     rows = aggregate_to_long(df, [row(c) for c in columns]).where("n > 0")
     failed = F.col("pct_above") > fail_pct
-    suspicious = (
-        (F.col("mean") < mean_lo) | (F.col("mean") > mean_hi) | (F.col("pct_above") > warn_pct)
+    status = exceed_status(
+        F.col("mean"), F.col("pct_above"), mean_lo, mean_hi, warn_pct, fail_pct
     )
     words = {"ceiling": f"{ceiling:g}", "fail": f"{fail_pct:g}"}
     return rows.select(
@@ -104,7 +144,7 @@ def exceed_share(
         "n",
         F.bround("mean", 4).alias("mean"),
         F.bround("pct_above", 1).alias("pct_above"),
-        F.when(failed, "FAIL").when(suspicious, "WARNING").otherwise("PASS").alias("status"),
+        status.alias("status"),
         F.when(failed, F.format_string(EXCEED_FAIL_DETAIL.format(**words), F.bround("pct_above", 1)))
         .otherwise(
             F.format_string(
@@ -167,9 +207,7 @@ def months_summary(values: DataFrame, column: str, shown: int = 5) -> DataFrame:
         .select(
             "n_distinct",
             "n_invalid",
-            F.when(n == 0, "SKIP").when((bad > 0) | (n > 1), "FAIL").otherwise("PASS").alias(
-                "status"
-            ),
+            months_status(n, bad).alias("status"),
             "values",
             "sample",
             F.when(n == 0, "No values.")
@@ -308,7 +346,7 @@ def numeric_share(
         "n",
         "n_non_numeric",
         rounded.alias("pct_below"),
-        F.when(bad > 0, "FAIL").when(below < min_pct, "WARNING").otherwise("PASS").alias("status"),
+        numeric_status(bad, below, min_pct).alias("status"),
         F.when(bad > 0, F.format_string(NUMERIC_FAIL_DETAIL, bad))
         .when(below < min_pct, F.format_string(NUMERIC_LOW_DETAIL.format(**words), rounded))
         .otherwise(F.format_string(NUMERIC_DETAIL.format(**words), rounded))

@@ -223,6 +223,70 @@ def period_years(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def period_intervals(df: DataFrame, column: str) -> DataFrame:
+    """One row per unbroken run of years of a period: ``first_year`` and ``last_year``.
+
+    The excluded years are cut out of the included ones, which leaves at most
+    two runs.  A period without years left has no row.
+    """
+    parts = F.split(col(column), "ex")
+    ends = _ends(F.get(parts, 0))
+    cut = F.when(F.size(parts) > 1, _ends(F.get(parts, 1)))
+    first, last = F.element_at(ends, 1), F.element_at(ends, -1)
+    low, high = F.element_at(cut, 1), F.element_at(cut, -1)
+    run = lambda a, b: F.struct(a.alias("first_year"), b.alias("last_year"))
+    runs = F.when(
+        low <= high, F.array(run(first, F.least(last, low - 1)), run(F.greatest(first, high + 1), last))
+    ).otherwise(F.array(run(first, last)))
+    return df.select(
+        *[col(c) for c in df.columns],
+        F.inline(F.filter(runs, lambda r: r["first_year"] <= r["last_year"])),
+    )
+
+
+#: Years that share a bucket of the interval join.
+PERIOD_BUCKET = 16
+
+
+def period_join(
+    rows: DataFrame,
+    year_col: str,
+    periods: DataFrame,
+    period_col: str,
+    on: Sequence[str] = (),
+) -> DataFrame:
+    """Rows with every period that includes their year and does not exclude it.
+
+    ``on`` names columns that must be equal too (null equals null).  Periods
+    stay intervals: both sides get the bucket of years they fall into, a period
+    one row per bucket it meets, so the join is one of equal keys and buckets
+    with a comparison inside, whatever the length of a period.  The columns of
+    ``periods`` other than ``on`` follow those of ``rows``; a name that both
+    have is an error.  Rows without a year meet no period.
+    """
+    extra = [c for c in periods.columns if c not in on]
+    if clash := sorted(set(extra) & set(rows.columns)):
+        raise ValueError(f"columns of both tables: {clash}")
+    require_same_kind(rows, periods, on)
+    runs = period_intervals(periods, period_col)
+    bucket = lambda year: F.floor(year / PERIOD_BUCKET)
+    right = runs.select(
+        *[clean(periods, c).alias(f"__k{i}") for i, c in enumerate(on)],
+        *[col(c).alias(f"__v{i}") for i, c in enumerate(extra)],
+        F.col("first_year").alias("__first"),
+        F.col("last_year").alias("__last"),
+        F.explode(F.sequence(bucket(F.col("first_year")), bucket(F.col("last_year")))).alias("__b"),
+    )
+    year = col(year_col).cast("long")
+    same = bucket(year) == F.col("__b")
+    for i, c in enumerate(on):
+        same = same & clean(rows, c).eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(right, same & year.between(F.col("__first"), F.col("__last"))).select(
+        *[col(c) for c in rows.columns],
+        *[F.col(f"__v{i}").alias(c) for i, c in enumerate(extra)],
+    )
+
+
 def period_suffix(text: Column) -> Column:
     """A period string made fit for a column name."""
     return F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("-"), F.lit("_"))

@@ -162,7 +162,9 @@ def referential_integrity(tables: TableSet, report: Report | None = None) -> Dat
     total = fact.agg(F.sum(clean(fact, measure))).scalar() if measure else F.lit(None)
     short = _numbered([k for key in keys.values() for k in key])
     own = {rp.FORECAST: ref_measure}
-    census = integrity.key_census_many(
+    # raw rows are grouped once; an aggregated fact is small enough to count per table
+    count = integrity.key_census_many if tables.rows else integrity.key_census_tree
+    census = count(
         _renamed(fact, short, measure),
         {t: _renamed(tables.refs[t], short, own.get(t)) for t in keys},
         {t: [short[k] for k in key] for t, key in keys.items()},
@@ -354,7 +356,7 @@ def parent_columns(tables: TableSet, report: Report | None = None) -> DataFrame:
     if not tables.refs:
         return _nothing(tables)
     if wanted:
-        found = []
+        found, conflicts = [], []
         for source, df in ((rp.FACT, fact), (rp.FORECAST, tables.refs.get(rp.FORECAST))):
             pairs = [w for w in wanted if w[1] == source]
             if pairs:
@@ -363,7 +365,14 @@ def parent_columns(tables: TableSet, report: Report | None = None) -> DataFrame:
                     list(dict.fromkeys(p[2] for p in pairs)),
                     list(dict.fromkeys(p[3] for p in pairs)),
                 )
-                found.append(v.withColumn("source", F.lit(source)))
+                v = report.stash(v.withColumn("source", F.lit(source)), "parents")
+                found.append(v)
+                # at most one row per pair of columns
+                failing = {tuple(r) for r in v.where("not is_parent").select("key_col", "column").collect()}
+                named = [p for p in pairs if (p[2], p[3]) in failing]
+                if named:
+                    rows = tables.rows if source == rp.FACT else None
+                    conflicts.append((source, named, df, rows))
         pairs = local_rows(
             spark, wanted, "table string, source string, key_col string, column string"
         )
@@ -377,6 +386,8 @@ def parent_columns(tables: TableSet, report: Report | None = None) -> DataFrame:
             )
         )
         rows = names.join(bad, "table", "left")
+        for source, named, df, weight in conflicts:
+            _keep_conflicts(report, source, named, df, weight)
     else:
         rows = names.select(
             "table",
@@ -426,6 +437,32 @@ def parent_columns(tables: TableSet, report: Report | None = None) -> DataFrame:
     return union(parts)
 
 
+def _keep_conflicts(
+    report: Report,
+    source: str,
+    named: list[tuple[str, str, str, str]],
+    df: DataFrame,
+    weight: str | None,
+) -> None:
+    """Keep the values behind failing pairs, once for every table that asks for the pair."""
+    pairs = list(dict.fromkeys((p[2], p[3]) for p in named))
+    held = uniqueness.parent_conflicts(df, pairs, weight)
+    wanted = local_rows(
+        report.spark,
+        [(p[0], p[2], p[3]) for p in named],
+        "table string, key_col string, column string",
+    )
+    told = json_record([F.col(c) for c in ("key_col", "key_value", "column", "value", "is_majority", "n_remove")])
+    report.keep(
+        held.join(F.broadcast(wanted), ["key_col", "column"]),
+        "parent_columns",
+        table="table",
+        column="column",
+        record=told,
+        n_rows="n_rows",
+    )
+
+
 def mapping_uniqueness(tables: TableSet, report: Report | None = None) -> DataFrame:
     """Check 6: the columns other than keys occur once in the mapping table."""
     report = report or Report(_spark(tables))
@@ -508,8 +545,10 @@ def value_ranges(tables: TableSet, report: Report | None = None) -> DataFrame:
             )
     if rp.MONTH in tables.fact.columns:
         months = report.stash(ranges.month_values(tables.fact, rp.MONTH), "months")
+        # every month of a failing column: an invalid one, or one of several
+        several = months.select(F.count(F.lit(1)) > 1).scalar()
         report.keep(
-            months.where("not valid"),
+            months.where(~F.col("valid") | several),
             "yyyymm",
             table=F.lit(rp.FACT),
             column=F.lit(rp.MONTH),

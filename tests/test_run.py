@@ -259,8 +259,9 @@ def test_details_hold_every_row_behind_the_findings(spark, frame):
     done = run.run_checks(TableSet.classify(tables), evidence_rows=3)
     held = {r["check"]: r["n"] for r in done.details.groupBy("check").agg(F.count("*").alias("n")).collect()}
     bad = {r["check"]: r for r in done.findings.where("n_bad > 0").collect()}
-    for check, n in {"forward_ri": 60, "reverse_ri": 50, "row_uniqueness": 50, "yyyymm": 2}.items():
+    for check, n in {"forward_ri": 60, "reverse_ri": 50, "row_uniqueness": 50}.items():
         assert held[check] == bad[check]["n_bad"] == n
+    assert (held["yyyymm"], bad["yyyymm"]["n_bad"]) == (14, 2)  # all months of the failing column
     assert len(bad["reverse_ri"]["evidence"]) == 3
     month = bad["yyyymm"]
     assert month["evidence"][:2] == ["202500", "202513"] and len(month["evidence"]) == 5
@@ -336,3 +337,25 @@ def test_data_columns_may_be_named_like_result_columns(frame):
     assert json.loads(got["parent_columns"]["evidence"][0])["column"] == "key"
     cover = findings.where("check = 'key_coverage'").first()
     assert json.loads(cover["evidence"][0])["a.b"] == "d"
+
+
+def test_details_name_months_and_the_values_behind_failing_parents(frame):
+    months = [(f"P{i}", "NSW", 10.0, 202501 + i) for i in range(9)]
+    rows = [*months, ("P1", "VIC", 1.0, 202501), ("P1", "VIC", 1.0, 202501), ("P2", None, 1.0, 202501)]
+    tables = small(frame)
+    tables["tbl_DetailedData"] = frame(
+        "Key_Policy string, State string, Premium double, AsAt_Month int", *rows
+    )
+    for aggregate in (True, False):
+        done = run.run_checks(
+            TableSet.classify(tables), aggregate=aggregate, checks=["Check 5", "Check 7"]
+        )
+        held = done.details.collect()
+        assert sorted(r["record"] for r in held if r["check"] == "yyyymm") == [
+            str(202501 + i) for i in range(9)
+        ]
+        conflicts = [(json.loads(r["record"]), r["n_rows"], r["table"]) for r in held if r["check"] == "parent_columns"]
+        assert {(c["key_value"], c["value"], n, c["is_majority"], c["n_remove"], t) for c, n, t in conflicts} == {
+            ("P1", "NSW", 1, False, 1, "tbl_RateChange"),
+            ("P1", "VIC", 2, True, 1, "tbl_RateChange"),
+        }

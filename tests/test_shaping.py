@@ -140,3 +140,46 @@ def test_diff_is_a_bag_comparison(frame, dicts):
     assert dicts(cp.diff_summary(a, a.repartition(3)))[0]["equal"]
     with pytest.raises(ValueError):
         cp.diff(a, a.drop("v"))
+
+
+PERIOD_TEXTS = ["2018-2022", "2018-2022 ex 2020", "2019", "2018-2050 ex 2018-2019", "2018-2020 ex 2017-2021",
+                "2022-2018", "x", None, "2018-2022 ex x", "2018-2022 ex 2021-2020", "1-9999 ex 5"]
+
+
+def plain_years(df, column):
+    """The years of each period, one by one, as the expansion gives them."""
+    out = {}
+    for r in sh.period_years(df, column).collect():
+        if r["year"] is not None and not r["excluded"]:
+            out.setdefault(r["id"], set()).add(r["year"])
+    return out
+
+
+def test_period_join_equals_one_row_per_year(frame):
+    periods = frame("id int, key string, period string", *[(i, "ab"[i % 2], p) for i, p in enumerate(PERIOD_TEXTS)])
+    facts = [(y, k) for y in [None, 1, 5, 1999, *range(2015, 2055), 9999] for k in ("a", "b", None)]
+    rows = frame("year int, key string", *facts)
+    years = plain_years(periods, "period")
+    joined = sh.period_join(rows, "year", periods, "period", ["key"])
+    assert joined.columns == ["year", "key", "id", "period"]
+    got = {(r["year"], r["key"], r["id"]) for r in joined.collect()}
+    want = {(y, k, i) for y, k in facts for i in years if k == "ab"[i % 2] and y in years[i]}
+    assert got == want and len(got) == joined.count()
+    free = sh.period_join(rows, "year", periods.drop("key"), "period")
+    assert {(r["year"], r["key"], r["id"]) for r in free.collect()} == {
+        (y, k, i) for y, k in facts for i in years if y in years[i]
+    }
+    nulls = frame("id int, key string, period string", (1, None, "2018-2019"))
+    assert {r["year"] for r in sh.period_join(rows, "year", nulls, "period", ["key"]).collect()} == {2018, 2019}
+
+
+def test_period_join_keeps_intervals(frame):
+    periods = frame("id int, period string", (1, "1990-2021"))
+    runs = sh.period_intervals(frame("id int, period string", (1, "1990-2021 ex 2000-2003")), "period")
+    assert [(r["first_year"], r["last_year"]) for r in runs.collect()] == [(1990, 1999), (2004, 2021)]
+    rows = frame("year int", (2000,))
+    joined = sh.period_join(rows, "year", periods, "period")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    with pytest.raises(ValueError, match="both tables"):
+        sh.period_join(frame("id int, year int", (1, 2)), "year", periods, "period")

@@ -166,3 +166,19 @@ def test_top_records_keep_nulls(frame, dicts):
     got = dicts(top_records(df, ["-a"], 2).orderBy("rank"))
     assert [g["record"] for g in got] == ['{"a":"z","v":3.0}', '{"a":"y","v":2.0}']
     assert dicts(top_records(df, ["a"], 1))[0]["record"] == '{"a":"x","v":null}'
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(tmp_path):
+    from types import SimpleNamespace
+
+    from tabcord.functions import durable
+
+    def session(**conf):
+        get = lambda name, default=None: conf.get(name.replace(".", "_"), default)
+        return SimpleNamespace(conf=SimpleNamespace(get=get))
+
+    assert durable.work_dir(session(spark_master="local[4]")) == f"{durable.DEFAULT}/tabcord"
+    named = session(spark_master="spark://host:1", spark_checkpoint_dir="hdfs:///work/")
+    assert durable.work_dir(named) == "hdfs:///work/tabcord"
+    with pytest.raises(durable.NoSharedFolder):
+        durable.work_dir(session(spark_master="spark://host:1"))

@@ -789,3 +789,7 @@ ORACLE: dict[str, str] = {
           FROM ({band_rows([band_row("Trend_Value", "Trend_Value", "trend")])})
         UNION ALL SELECT 'check8', 'SKIP', 0""",
 }
+
+from .growing_sql import SQL  # noqa: E402  (built from the tables above)
+
+ORACLE |= SQL

@@ -724,3 +724,6 @@ def degraded_run(spark, sf):
     chosen = {"tbl_DetailedData": fact, "tbl_Trend": clash}
     found = run.run_checks(src.TableSet.classify(chosen))
     return found.sections.select("section", "status", F.size("warnings").alias("n_warnings"))
+
+
+from . import growing  # noqa: E402,F401  (registers its queries)
