@@ -134,7 +134,8 @@ def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     names = schema.fieldNames()
-    columns = [[r[i] for r in rows] for i in range(len(names))]
+    cell = lambda v: list(v.items()) if isinstance(v, dict) else v  # noqa: E731  (maps as entries)
+    columns = [[cell(r[i]) for r in rows] for i in range(len(names))]
     arrow = to_arrow_schema(schema)
     data = [pa.array(c, type=f.type) for c, f in zip(columns, arrow)]
     return spark.createDataFrame(pa.Table.from_arrays(data, schema=arrow), schema)

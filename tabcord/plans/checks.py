@@ -7,10 +7,11 @@ findings go to the report in full; a finding itself shows a few of them.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.columns import KeyTypeClash, col, local_rows, percent, require_same_kind
@@ -71,6 +72,23 @@ def _renamed(df: DataFrame, short: dict[str, str], *others: str | None) -> DataF
     )
 
 
+def _json(**fields: str) -> str:
+    """A record of a few names as Spark writes it."""
+    return json.dumps(fields, ensure_ascii=False, separators=(",", ":"))
+
+
+def share_of(part, whole) -> float | None:
+    """``part`` in percent of ``whole``; none without either, or of nothing."""
+    if part is None or whole is None or not float(whole):
+        return None
+    return float(part) / float(whole) * 100.0
+
+
+def local_total(tables: TableSet, measure: str):
+    """The measure of the whole fact: one number."""
+    return tables.fact.agg(F.sum(clean(tables.fact, measure)).alias("total")).first()["total"]
+
+
 def _pass_fail(n_bad: Column) -> Column:
     return F.when(n_bad > 0, "FAIL").otherwise("PASS")
 
@@ -80,40 +98,32 @@ def key_registration(tables: TableSet, report: Report | None = None) -> DataFram
 
     The fact counts with the columns it was loaded with, aggregated or not.
     """
-    known = {rp.FACT: tables.registered(), **{t: df.columns for t, df in tables.refs.items()}}
-    targets = [rp.FACT]
+    targets = {rp.FACT: tables.registered()}
     if tables.mapping is not None:
-        known[rp.MAPPING] = tables.mapping.columns
-        targets.append(rp.MAPPING)
-    if not tables.refs:
-        return _nothing(tables)
-    catalog = local_rows(
-        _spark(tables),
-        [(t, c) for t, columns in known.items() for c in columns],
-        "table string, column string",
-    )
-    missing = integrity.key_registration(catalog, targets, rp.KEY_PREFIX, (rp.EXEMPT_KEY,))
-    record = F.to_json(F.struct("key_col", "missing_from"))
-    per_table = missing.groupBy("table").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array_sort(F.collect_list(record)).alias("evidence"),  # bounded by the schemas
-    )
-    keys = {t: roles.key_cols(df.columns) for t, df in tables.refs.items()}
-    rows = _named(tables, keys).join(per_table, "table", "left")
-    n = _zero("n")
-    return as_findings(
-        rows,
-        "check1",
-        "key_registration",
-        table="table",
-        key_cols="key_cols",
-        status=_pass_fail(n),
-        n_bad=n,
-        detail=F.when(
-            n > 0, F.format_string("%d missing key column registration(s)", n)
-        ).otherwise("All Key_* columns registered."),
-        evidence="evidence",
-    )
+        targets[rp.MAPPING] = tables.mapping.columns
+    rows = []
+    for table, ref in tables.refs.items():
+        keys = roles.key_cols(ref.columns)
+        missing = sorted(
+            (key, target)
+            for key in keys
+            for target, columns in targets.items()
+            if key != rp.EXEMPT_KEY and key not in columns
+        )
+        found = f"{len(missing)} missing key column registration(s)"
+        rows.append(
+            {
+                "section": "check1",
+                "check": "key_registration",
+                "table": table,
+                "key_cols": keys,
+                "status": "FAIL" if missing else "PASS",
+                "n_bad": len(missing),
+                "detail": found if missing else "All Key_* columns registered.",
+                "evidence": [_json(key_col=k, missing_from=t) for k, t in missing] or None,
+            }
+        )
+    return stated(_spark(tables), rows)
 
 
 def referential_integrity(tables: TableSet, report: Report | None = None) -> DataFrame:
@@ -223,50 +233,41 @@ def referential_integrity(tables: TableSet, report: Report | None = None) -> Dat
         record,
         max(report.evidence_rows, report.top_rows),
     ).withColumnRenamed("ref_table", "table")
-    forward_top = evidence.where("forward").select(
-        "table", F.slice("evidence", 1, report.top_rows).alias("forward_top")
-    )
-    reverse_top = evidence.where("not forward").select(
-        "table", F.slice("evidence", 1, report.evidence_rows).alias("reverse_top")
-    )
-    rows = (
-        _named(tables, keys)
-        .join(counts, "table", "left")
-        .join(forward_top, "table", "left")
-        .join(reverse_top, "table", "left")
-    )
-    n_fwd, n_rev = _zero("n_unmatched"), _zero("n_orphaned")
-    forward = as_findings(
-        rows,
-        "checks2_5",
-        "forward_ri",
-        table="table",
-        key_cols="key_cols",
-        status=_pass_fail(n_fwd),
-        n_bad=n_fwd,
-        measure_bad=F.col("unmatched_measure") if measure else F.lit(None),
-        pct=percent(F.col("unmatched_measure"), total) if measure else F.lit(None),
-        detail=F.when(
-            n_fwd > 0, F.format_string("Forward RI: %d unmatched combination(s)", n_fwd)
-        ).otherwise(ALL_PASSED),
-        evidence="forward_top",
-    )
-    has_own = F.col("table") == (rp.FORECAST if ref_measure else "")
-    reverse = as_findings(
-        rows,
-        "checks2_5",
-        "reverse_ri",
-        table="table",
-        key_cols="key_cols",
-        status=F.when(n_rev > 0, "WARNING").otherwise("PASS"),
-        n_bad=n_rev,
-        measure_bad=F.when(has_own, F.col("orphaned_measure")),
-        detail=F.when(
-            n_rev > 0, F.format_string("Reverse RI: %d orphaned combination(s)", n_rev)
-        ).otherwise(ALL_PASSED),
-        evidence="reverse_top",
-    )
-    return union([*parts, forward, reverse])
+    # at most one row per reference table, and two with evidence
+    figures = {r["table"]: r for r in counts.collect()}
+    shown = {(r["table"], r["forward"]): r["evidence"] for r in evidence.collect()}
+    whole = local_total(tables, measure) if measure and figures else None
+    rows = []
+    for table, key in keys.items():
+        of = figures.get(table)
+        n_fwd, n_rev = (of["n_unmatched"], of["n_orphaned"]) if of else (0, 0)
+        lost = of["unmatched_measure"] if of and measure else None
+        own = of["orphaned_measure"] if of and table == rp.FORECAST and ref_measure else None
+        base = {"section": "checks2_5", "table": table, "key_cols": list(key)}
+        rows.append(
+            {
+                **base,
+                "check": "forward_ri",
+                "status": "FAIL" if n_fwd else "PASS",
+                "n_bad": n_fwd,
+                "measure_bad": None if lost is None else float(lost),
+                "pct": share_of(lost, whole),
+                "detail": f"Forward RI: {n_fwd} unmatched combination(s)" if n_fwd else ALL_PASSED,
+                "evidence": (shown.get((table, True)) or [])[: report.top_rows] or None,
+            }
+        )
+        rows.append(
+            {
+                **base,
+                "check": "reverse_ri",
+                "status": "WARNING" if n_rev else "PASS",
+                "n_bad": n_rev,
+                "measure_bad": None if own is None else float(own),
+                "detail": f"Reverse RI: {n_rev} orphaned combination(s)" if n_rev else ALL_PASSED,
+                "evidence": (shown.get((table, False)) or [])[: report.evidence_rows] or None,
+            }
+        )
+    return union([*parts, stated(_spark(tables), rows)])
 
 
 def _duplicates(
@@ -275,7 +276,7 @@ def _duplicates(
     check: str,
     frames: dict[str, DataFrame],
     keys: dict[str, list[str]],
-) -> DataFrame:
+) -> dict[str, Row | None]:
     """Per table: number of duplicated combinations, rows covered, evidence."""
     parts = []
     for table, key in keys.items():
@@ -289,7 +290,30 @@ def _duplicates(
     )
     order = [F.col("n_rows").desc(), F.col("record").asc()]
     top = collect_top(dups, ["table"], order, F.col("record"), report.evidence_rows)
-    return _named(tables, keys).join(counts, "table", "left").join(top, "table", "left")
+    # at most one row per table
+    figures = {r["table"]: r for r in counts.join(top, "table").collect()}
+    return {t: figures.get(t) for t in keys}
+
+
+UNIQUENESS = "Uniqueness: %d duplicate combination(s)"
+
+
+def _repeated(
+    section: str, check: str, table: str, key: list[str], found: Row | None, told: str, passed: str
+) -> dict:
+    """The finding of one table's repeated keys."""
+    n = found["n"] if found else 0
+    return {
+        "section": section,
+        "check": check,
+        "table": table,
+        "key_cols": list(key),
+        "status": "FAIL" if n else "PASS",
+        "n_bad": n,
+        "metrics": {"n_rows": float(found["n_rows"]) if found else 0.0},
+        "detail": told % n if n else passed,
+        "evidence": found["evidence"] if found else None,
+    }
 
 
 def row_uniqueness(tables: TableSet, report: Report | None = None) -> DataFrame:
@@ -313,23 +337,12 @@ def row_uniqueness(tables: TableSet, report: Report | None = None) -> DataFrame:
     )
     keys = {t: k for t, k in keys.items() if k}
     if keys:
-        n = _zero("n")
-        parts.append(
-            as_findings(
-                _duplicates(tables, report, "row_uniqueness", tables.refs, keys),
-                "checks2_5",
-                "row_uniqueness",
-                table="table",
-                key_cols="key_cols",
-                status=_pass_fail(n),
-                n_bad=n,
-                metrics=metrics(n_rows=_zero("n_rows")),
-                detail=F.when(
-                    n > 0, F.format_string("Uniqueness: %d duplicate combination(s)", n)
-                ).otherwise(ALL_PASSED),
-                evidence="evidence",
-            )
-        )
+        found = _duplicates(tables, report, "row_uniqueness", tables.refs, keys)
+        rows = [
+            _repeated("checks2_5", "row_uniqueness", t, keys[t], r, UNIQUENESS, ALL_PASSED)
+            for t, r in found.items()
+        ]
+        parts.append(stated(_spark(tables), rows))
     return union(parts) if parts else _nothing(tables)
 
 
@@ -351,64 +364,36 @@ def parent_columns(tables: TableSet, report: Report | None = None) -> DataFrame:
         if table == rp.MIN_LOAD and keys:
             domain = context
 
-    parts = []
-    names = local_rows(spark, [(t,) for t in tables.refs], "table string")
     if not tables.refs:
         return _nothing(tables)
-    if wanted:
-        found, conflicts = [], []
-        for source, df in ((rp.FACT, fact), (rp.FORECAST, tables.refs.get(rp.FORECAST))):
-            pairs = [w for w in wanted if w[1] == source]
-            if pairs:
-                v = uniqueness.parent_violations(
-                    df,
-                    list(dict.fromkeys(p[2] for p in pairs)),
-                    list(dict.fromkeys(p[3] for p in pairs)),
-                )
-                v = report.stash(v.withColumn("source", F.lit(source)), "parents")
-                found.append(v)
-                # at most one row per pair of columns
-                failing = {tuple(r) for r in v.where("not is_parent").select("key_col", "column").collect()}
-                named = [p for p in pairs if (p[2], p[3]) in failing]
-                if named:
-                    rows = tables.rows if source == rp.FACT else None
-                    conflicts.append((source, named, df, rows))
-        pairs = local_rows(
-            spark, wanted, "table string, source string, key_col string, column string"
-        )
-        record = F.to_json(F.struct("key_col", "column"))
-        bad = (
-            pairs.join(union(found).where("not is_parent"), ["source", "key_col", "column"])
-            .groupBy("table")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.array_sort(F.collect_list(record)).alias("evidence"),  # bounded by the schemas
-            )
-        )
-        rows = names.join(bad, "table", "left")
-        for source, named, df, weight in conflicts:
-            _keep_conflicts(report, source, named, df, weight)
-    else:
-        rows = names.select(
-            "table",
-            F.lit(0).cast("long").alias("n"),
-            F.lit(None).cast("array<string>").alias("evidence"),
-        )
-    n = _zero("n")
-    parts.append(
-        as_findings(
-            rows,
-            "checks2_5",
-            "parent_columns",
-            table="table",
-            status=_pass_fail(n),
-            n_bad=n,
-            detail=F.when(n > 0, F.format_string("Parent cols: %d failing", n)).otherwise(
-                ALL_PASSED
-            ),
-            evidence="evidence",
+    failing: dict[str, list[tuple[str, str]]] = {t: [] for t in tables.refs}
+    for source, df in ((rp.FACT, fact), (rp.FORECAST, tables.refs.get(rp.FORECAST))):
+        pairs = [w for w in wanted if w[1] == source]
+        if not pairs:
+            continue
+        found = uniqueness.parent_violations(
+            df, list(dict.fromkeys(p[2] for p in pairs)), list(dict.fromkeys(p[3] for p in pairs))
         )
-    )
+        # at most one row per pair of columns
+        bad = {(r["key_col"], r["column"]) for r in found.where("not is_parent").collect()}
+        named = [p for p in pairs if (p[2], p[3]) in bad]
+        for table, _, key, column in named:
+            failing[table].append((key, column))
+        if named:
+            _keep_conflicts(report, named, df, tables.rows if source == rp.FACT else None)
+    rows = [
+        {
+            "section": "checks2_5",
+            "check": "parent_columns",
+            "table": table,
+            "status": "FAIL" if bad else "PASS",
+            "n_bad": len(bad),
+            "detail": f"Parent cols: {len(bad)} failing" if bad else ALL_PASSED,
+            "evidence": sorted(_json(key_col=k, column=c) for k, c in bad) or None,
+        }
+        for table, bad in failing.items()
+    ]
+    parts = [stated(spark, rows)]
     if domain:
         bad_values = report.keep(
             integrity.domain_violations(tables.refs[rp.MIN_LOAD], fact, domain),
@@ -439,7 +424,6 @@ def parent_columns(tables: TableSet, report: Report | None = None) -> DataFrame:
 
 def _keep_conflicts(
     report: Report,
-    source: str,
     named: list[tuple[str, str, str, str]],
     df: DataFrame,
     weight: str | None,
@@ -481,24 +465,19 @@ def mapping_uniqueness(tables: TableSet, report: Report | None = None) -> DataFr
             "detail": reason,
         }
         return stated(_spark(tables), [row])
-    rows = _duplicates(
+    found = _duplicates(
         tables, report, "mapping_uniqueness", {rp.MAPPING: tables.mapping}, {rp.MAPPING: key}
     )
-    n = _zero("n")
-    return as_findings(
-        rows,
+    row = _repeated(
         "check6",
         "mapping_uniqueness",
-        table="table",
-        key_cols="key_cols",
-        status=_pass_fail(n),
-        n_bad=n,
-        metrics=metrics(n_rows=_zero("n_rows")),
-        detail=F.when(
-            n > 0, F.format_string("%d duplicate non-Key_* combination(s).", n)
-        ).otherwise("No duplicate combinations."),
-        evidence="evidence",
+        rp.MAPPING,
+        key,
+        found[rp.MAPPING],
+        "%d duplicate non-Key_* combination(s).",
+        "No duplicate combinations.",
     )
+    return stated(_spark(tables), [row])
 
 
 def value_ranges(tables: TableSet, report: Report | None = None) -> DataFrame:
@@ -680,6 +659,21 @@ def key_coverage(tables: TableSet, report: Report | None = None) -> DataFrame:
     )
 
 
+def tables_read(label: str, tables: TableSet) -> set[str]:
+    """The tables whose rows a check reads; of all others it knows the columns only."""
+    refs = tables.refs
+    named = {
+        "Check 1": set(),
+        "Checks 2-3": {rp.FACT, *refs},
+        "Check 4": set(refs),
+        "Check 5": {rp.FACT, rp.FORECAST, rp.MIN_LOAD},
+        "Check 6": {rp.MAPPING},
+        "Check 7": {rp.FACT, *rp.RATE_TABLES, rp.TREND, *rp.PATTERN_TABLES, rp.MIN_LOAD},
+        "Check 8": {rp.FACT},
+    }[label]
+    return named & set(tables.names())
+
+
 # check label -> (section, check names it reports per reference table when degraded, function)
 CHECKS: dict[str, tuple[str, tuple[str, ...], Callable[[TableSet, Report], DataFrame]]] = {
     "Check 1": ("check1", ("key_registration",), key_registration),

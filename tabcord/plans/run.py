@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import logging
 import time
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, fields, replace
 from datetime import UTC, datetime
 
@@ -17,7 +18,7 @@ from ..functions.columns import local_rows
 from ..functions.durable import materialise
 from ..sources.tables import MissingFact, TableSet, preaggregated
 from ..rules import rulepack as rp
-from .checks import CHECKS, FAILED, union
+from .checks import CHECKS, FAILED, tables_read
 from .findings import DEGRADED, FINDING, check_records, run_rollup, section_rollup, stated
 from .report import Report
 
@@ -77,67 +78,95 @@ def collect_findings(
 
 
 def timed_findings(
-    tables: TableSet, report: Report, labels: Sequence[str] = tuple(CHECKS)
+    tables: TableSet,
+    report: Report,
+    labels: Sequence[str] = tuple(CHECKS),
+    ready: Callable[[str], TableSet] | None = None,
 ) -> tuple[DataFrame, list[str], list[tuple[str, int]]]:
     """Run each check on its own; a failing one becomes a warning, the rest go on.
 
-    A check is lazy until its findings are written, so the guard encloses the
-    write.  Findings are bounded by the schemas and the evidence they show.
-    The checks are independent Spark jobs, submitted together so that small
-    stages of one fill the executors another leaves idle.
+    A check is lazy until its findings are gathered, so the guard encloses
+    that.  Findings are bounded by the schemas and the evidence they show; all
+    of them are stored together at the end.  The checks are independent Spark
+    jobs, submitted together so that small stages of one fill the executors
+    another leaves idle.  ``ready`` gives the tables of a check once they are
+    prepared.
     """
     spark = tables.fact.sparkSession
 
-    def guarded(label: str) -> tuple[DataFrame, list[str], tuple[str, int]]:
+    def guarded(label: str) -> tuple[list[tuple], list[str], tuple[str, int]]:
+        own = ready(label) if ready else tables
         started = time.perf_counter()
         try:
-            rows = CHECKS[label][2](tables, report).repartition(1)  # a few rows: one small file
-            place = f"{report.folder}/findings/{label.replace(' ', '_')}"
-            part = materialise(rows, "findings", place)
-            noted = part.where("warning IS NOT NULL").select("warning").distinct().collect()
-            warnings = sorted(r["warning"] for r in noted)  # at most one per table
+            rows = [tuple(r) for r in CHECKS[label][2](own, report).collect()]
+            place = FINDING.fieldNames().index("warning")
+            warnings = sorted({r[place] for r in rows if r[place] is not None})
         except Exception as e:
             log.warning("%s failed: %s", label, e)
             text = f"{label} degraded: {str(e).splitlines()[0] if str(e) else repr(e)}"
-            part, warnings = _degraded(spark, label, text, tables), [text]
+            rows = [tuple(r) for r in _degraded(spark, label, text, tables).collect()]
+            warnings = [text]
         ms = int((time.perf_counter() - started) * 1000)
         log.info("%s: %d ms", label, ms)
-        return part, warnings, (label, ms)
+        return rows, warnings, (label, ms)
 
     with ThreadPoolExecutor(len(labels)) as pool:
         jobs = [pool.submit(inheritable_thread_target(spark)(guarded), label) for label in labels]
         done = [job.result() for job in jobs]
-    return union([d[0] for d in done]), [w for d in done for w in d[1]], [d[2] for d in done]
+    found = local_rows(spark, [r for d in done for r in d[0]], FINDING)
+    stored = materialise(found.coalesce(1), "findings", f"{report.folder}/findings")
+    return stored, [w for d in done for w in d[1]], [d[2] for d in done]
 
 
-def prepared(
-    tables: TableSet, report: Report, aggregate: bool, exact: str | None, store: bool
-) -> TableSet:
-    """The tables as the checks read them, each computed once.
+class Prepared:
+    """The tables as the checks read them, each computed once and stored while checks run.
 
-    The fact is stored summed over the columns that a check needs.  References
-    and the mapping are stored as they are, since several checks read each of
-    them and they may be derived; ``store=False`` spares that for plain files.
+    The fact is stored summed over the columns that a check needs.  A reference
+    or the mapping is stored if several of the chosen checks read it, since it
+    may be derived; ``store=False`` spares that for plain files.  Tables that
+    no chosen check reads are left alone.
     """
-    spark = tables.fact.sparkSession
-    scratch = f"{report.folder}/scratch/tables"
-    jobs = {}
-    with ThreadPoolExecutor(8) as pool:
-        submit = lambda f, *a: pool.submit(inheritable_thread_target(spark)(f), *a)
-        if aggregate:
-            jobs[rp.FACT] = submit(preaggregated, tables, f"{scratch}/{rp.FACT}", exact)
-        if store:
-            for name, df in {**tables.refs, rp.MAPPING: tables.mapping}.items():
-                if df is not None:
-                    jobs[name] = submit(materialise, df, name, f"{scratch}/{name}")
-        done = {name: job.result() for name, job in jobs.items()}
-    if aggregate:
-        tables = done.pop(rp.FACT)
-    return replace(
-        tables,
-        mapping=done.get(rp.MAPPING, tables.mapping),
-        refs={name: done.get(name, df) for name, df in tables.refs.items()},
-    )
+
+    def __init__(
+        self,
+        tables: TableSet,
+        report: Report,
+        aggregate: bool,
+        exact: str | None,
+        store: bool,
+        labels: Sequence[str],
+    ):
+        spark = tables.fact.sparkSession
+        scratch = f"{report.folder}/scratch/tables"
+        self.reads = {label: tables_read(label, tables) for label in labels}
+        readers = Counter(t for read in self.reads.values() for t in read)
+        self.planned = preaggregated(tables, exact=exact, store=False) if aggregate else tables
+        self.pool = ThreadPoolExecutor(8)
+        self.jobs: dict[str, Future] = {}
+        submit = lambda f, *a: self.pool.submit(inheritable_thread_target(spark)(f), *a)
+        if aggregate and rp.FACT in readers:
+            self.jobs[rp.FACT] = submit(
+                materialise, self.planned.fact, rp.FACT, f"{scratch}/{rp.FACT}"
+            )
+        for name, df in {**tables.refs, rp.MAPPING: tables.mapping}.items():
+            if store and df is not None and readers[name] > 1:
+                self.jobs[name] = submit(materialise, df, name, f"{scratch}/{name}")
+
+    def __call__(self, label: str) -> TableSet:
+        """The tables of a check, as soon as those it reads are stored."""
+        done = {t: self.jobs[t].result() for t in self.reads[label] if t in self.jobs}
+        return replace(
+            self.planned,
+            fact=done.get(rp.FACT, self.planned.fact),
+            mapping=done.get(rp.MAPPING, self.planned.mapping),
+            refs={name: done.get(name, df) for name, df in self.planned.refs.items()},
+        )
+
+    def finish(self) -> None:
+        """Wait for every table; an error of one is raised."""
+        self.pool.shutdown()
+        for job in self.jobs.values():
+            job.result()
 
 
 def run_checks(
@@ -150,7 +179,7 @@ def run_checks(
     store_references: bool = True,
     checks: Sequence[str] = tuple(CHECKS),
 ) -> Run:
-    """All checks (or those named), each table read once.
+    """All checks (or those named), each table read once, and only tables they need.
 
     Findings and details stay below ``path``; intermediates are removed at the
     end and on failure.  ``evidence_rows`` limits what a finding shows, never
@@ -160,15 +189,19 @@ def run_checks(
     spark, started = tables.fact.sparkSession, started or datetime.now(UTC)
     report = Report(spark, path or "", evidence_rows)
     try:
-        ready = prepared(tables, report, aggregate, exact, store_references)
+        ready = Prepared(tables, report, aggregate, exact, store_references, checks)
         return _checked(ready, report, started, checks)
     finally:
         report.clear()
 
 
-def _checked(tables: TableSet, report: Report, started: datetime, checks: Sequence[str]) -> Run:
+def _checked(ready: Prepared, report: Report, started: datetime, checks: Sequence[str]) -> Run:
+    tables = ready.planned
     spark = tables.fact.sparkSession
-    findings, warnings, times = timed_findings(tables, report, checks)
+    try:
+        findings, warnings, times = timed_findings(tables, report, checks, ready)
+    finally:
+        ready.finish()
     warnings = [*tables.notes, *warnings]
     sections = materialise(section_rollup(findings), "", f"{report.folder}/sections")
     status = run_rollup(sections, len(warnings)).first()["status"]
@@ -207,16 +240,25 @@ def guarded_run(
     load: Callable[[], tuple[Mapping[str, DataFrame], list[str]]],
     aggregate: bool = True,
     path: str | None = None,
+    evidence_rows: int = rp.EVIDENCE_ROWS,
+    exact: str | None = None,
+    store_references: bool = True,
+    checks: Sequence[str] = tuple(CHECKS),
 ) -> Run:
-    """Load and run; a failure before the checks yields a FAIL run without sections."""
+    """Load and run; a failure before the checks yields a FAIL run without sections.
+
+    The options are those of :func:`run_checks`.
+    """
     started = datetime.now(UTC)
     names: list[str] = []
-    report = Report(spark, path or "")
+    report = Report(spark, path or "", evidence_rows)
     try:
         try:
             found, notes = load()
             names = list(found)
-            tables = prepared(TableSet.classify(found, notes), report, aggregate, None, True)
+            tables = TableSet.classify(found, notes)
+            ready = Prepared(tables, report, aggregate, exact, store_references, checks)
+            ready.finish()
         except Exception as e:
             log.error("set-up failed: %s", e)
             if isinstance(e, MissingFact):
@@ -234,6 +276,6 @@ def guarded_run(
                 check_records(empty),
                 local_rows(spark, [], TIMING),
             )
-        return _checked(tables, report, started, tuple(CHECKS))
+        return _checked(ready, report, started, checks)
     finally:
         report.clear()

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import clean, col
 from ..functions.durable import materialise
+from ..functions.exact import exact_sums
 from ..rules import roles
 from ..rules import rulepack as rp
 from .inference import open_inferred
@@ -150,8 +151,14 @@ def preaggregate(
     """Sum the measure per key combination, optionally with the number of rows.
 
     A floating measure is summed in the order in which rows arrive; ``exact``
-    names a decimal type to sum it in, so that the result never depends on it.
+    names a decimal type to sum it in, so that the result never depends on it,
+    or is "double": the exact sum of the doubles themselves, correctly rounded.
     """
+    if exact == "double" and measure in fact.columns:
+        rows = fact.select(
+            *[clean(fact, k).alias(k) for k in keys], clean(fact, measure).alias(measure)
+        )
+        return exact_sums(rows, keys, [measure], rows_as)
     value = col(measure).cast(exact) if exact else col(measure)
     aggs = [F.sum(value).alias(measure)] if measure in fact.columns else []
     if rows_as:
@@ -165,11 +172,12 @@ def preaggregate(
 
 
 def preaggregated(
-    tables: TableSet, path: str | None = None, exact: str | None = None
+    tables: TableSet, path: str | None = None, exact: str | None = None, store: bool = True
 ) -> TableSet:
     """Replace the fact table by its stored aggregate, rebuilt on every call.
 
     The full fact table is read once; every later check reads the aggregate.
+    With ``store=False`` the aggregate is only planned, to know its columns.
     """
     others = [df.schema for df in tables.refs.values()]
     if tables.mapping is not None:
@@ -179,5 +187,5 @@ def preaggregated(
     while rows in tables.fact.columns:
         rows += "_"
     sums = preaggregate(tables.fact, keys, rows_as=rows, exact=exact)
-    small = materialise(sums, rp.FACT, path)
+    small = materialise(sums, rp.FACT, path) if store else sums
     return replace(tables, fact=small, rows=rows, fact_columns=tuple(tables.fact.columns))
