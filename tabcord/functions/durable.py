@@ -47,6 +47,12 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, wherever Spark's file systems keep it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediates, wherever Spark's file systems keep it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

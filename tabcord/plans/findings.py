@@ -120,7 +120,7 @@ def check_records(findings: DataFrame) -> DataFrame:
     told = (F.col("n_bad") > 0) & (place > 0) & F.col("detail").isNotNull()
     sentence = F.when(~per_table | told, F.struct(place.alias("place"), "detail"))
     target = F.concat_ws(" / ", "table", F.when(~per_table, F.col("column")))
-    spot = F.concat_ws(".", "section", "table", F.when(~per_table, F.col("column")))
+    spot = record_id(per_table)
     label = F.create_map(*[F.lit(x) for pair in RECORD_LABELS.items() for x in pair])
     rows = findings.where(F.col("check") != DEGRADED).select(
         "section",
@@ -142,6 +142,82 @@ def check_records(findings: DataFrame) -> DataFrame:
     )
 
 
+def record_id(per_table: Column) -> Column:
+    """The id under which a finding is reported: table checks share one per table."""
+    return F.concat_ws(".", "section", "table", F.when(~per_table, F.col("column")))
+
+
+def nested(
+    findings: DataFrame, sections: DataFrame, records: DataFrame, metadata: DataFrame
+) -> DataFrame:
+    """One row: status, summary, metadata and warnings of a run, sections with checks with findings.
+
+    All of it is bounded by the schemas and the evidence shown; full details
+    are a table of their own.
+    """
+    per_table = F.col("section") == "checks2_5"
+    shown = [c for c in FINDING.fieldNames() if c not in ("section", "table")]
+    own = findings.where(F.col("check") != DEGRADED).groupBy(
+        record_id(per_table).alias("of"),
+        F.when(~per_table, F.col("check")).alias("of_check"),
+    )
+    # a map has no order, so findings are sorted by what comes before it
+    order = F.struct("check", "column", F.struct(*shown).alias("finding"))
+    held = own.agg(F.collect_list(order).alias("findings")).withColumn(
+        "findings",
+        F.transform(
+            F.array_sort(
+                "findings",
+                lambda a, b: F.when(a["check"] < b["check"], -1)
+                .when(a["check"] > b["check"], 1)
+                .when(a["column"] < b["column"], -1)
+                .when(a["column"] > b["column"], 1)
+                .otherwise(0),
+            ),
+            lambda f: f["finding"],
+        ),
+    )
+    same = (F.col("check_id") == F.col("of")) & F.col("check").eqNullSafe(F.col("of_check"))
+    checks = records.join(held, same, "left").select(
+        "section",
+        F.struct("check_id", "label", "table", "column", "status", "summary", "findings").alias("c"),
+    )
+    per_section = checks.groupBy(F.col("section").alias("of_section")).agg(
+        F.collect_list("c").alias("checks")
+    )
+    by_id = lambda a, b: F.when(a["check_id"] < b["check_id"], -1).when(
+        a["check_id"] > b["check_id"], 1
+    ).otherwise(0)
+    whole = (
+        sections.join(per_section, F.col("section") == F.col("of_section"), "left")
+        .select(
+            F.struct(
+                "position",
+                "section",
+                "label",
+                "status",
+                "summary",
+                F.array_sort(F.coalesce("checks", F.array()), by_id).alias("checks"),
+                "warnings",
+            ).alias("s")
+        )
+        .agg(
+            F.array_sort(
+                F.collect_list("s"), lambda a, b: (a["position"] - b["position"]).cast("int")
+            ).alias("sections")
+        )
+    )
+    named = ("started_at_utc", "completed_at_utc", "runtime_ms", "dataset_count", "dataset_names")
+    return metadata.select(
+        "status",
+        "summary",
+        F.struct(*named).alias("metadata"),
+        whole.scalar().alias("sections"),
+        "warnings",
+        "errors",
+    )
+
+
 def summary_text(unit: Column) -> Column:
     """``N unit: a FAIL, b WARNING, c PASS.`` over the counts of a rollup."""
     counts = F.concat_ws(

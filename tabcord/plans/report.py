@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import local_rows
-from ..functions.durable import materialise, new_path, remove
+from ..functions.durable import exists, materialise, new_path, remove
 from ..rules import rulepack as rp
 
 DETAIL = T.StructType(
@@ -63,6 +63,13 @@ class Report:
             out = out.unionByName(part)
         return out
 
+    def stored_details(self) -> DataFrame:
+        """The details below the folder, whoever kept them."""
+        place = f"{self.folder}/details"
+        if not exists(self.spark, place):
+            return local_rows(self.spark, [], DETAIL)
+        return self.spark.read.schema(DETAIL).option("recursiveFileLookup", True).parquet(place)
+
     def clear(self) -> None:
         """Remove the intermediates; details and findings stay."""
         remove(self.spark, f"{self.folder}/scratch")

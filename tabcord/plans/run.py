@@ -19,7 +19,15 @@ from ..functions.durable import materialise
 from ..sources.tables import MissingFact, TableSet, preaggregated
 from ..rules import rulepack as rp
 from .checks import CHECKS, FAILED, tables_read
-from .findings import DEGRADED, FINDING, check_records, run_rollup, section_rollup, stated
+from .findings import (
+    DEGRADED,
+    FINDING,
+    check_records,
+    nested,
+    run_rollup,
+    section_rollup,
+    stated,
+)
 from .report import Report
 
 log = logging.getLogger(__name__)
@@ -54,6 +62,10 @@ class Run:
         for f in fields(self):
             getattr(self, f.name).write.mode("overwrite").format(fmt).save(f"{path}/{f.name}")
 
+    def payload(self) -> DataFrame:
+        """The run as one nested row: run, its sections, their checks, their findings."""
+        return nested(self.findings, self.sections, self.records, self.metadata)
+
 
 TIMING = "label string, ms bigint"
 
@@ -77,45 +89,79 @@ def collect_findings(
     return findings, warnings
 
 
+@dataclass(frozen=True)
+class Outcome:
+    """What one check found: rows of :data:`FINDING`, warnings, time, and whether it could run."""
+
+    label: str
+    rows: list[tuple]
+    warnings: list[str]
+    ms: int
+    degraded: bool = False
+
+
+def run_check(label: str, tables: TableSet, report: Report) -> Outcome:
+    """Run a check; if it fails its findings are safe SKIPs and the error a warning.
+
+    A check is lazy until its findings are gathered, so the guard encloses
+    that.  Findings are bounded by the schemas and the evidence they show.
+    """
+    spark, started = tables.fact.sparkSession, time.perf_counter()
+    place = FINDING.fieldNames().index("warning")
+    failed = False
+    try:
+        rows = [tuple(r) for r in CHECKS[label][2](tables, report).collect()]
+        warnings = sorted({r[place] for r in rows if r[place] is not None})
+    except Exception as e:
+        log.warning("%s failed: %s", label, e)
+        text = f"{label} degraded: {str(e).splitlines()[0] if str(e) else repr(e)}"
+        rows = [tuple(r) for r in _degraded(spark, label, text, tables).collect()]
+        warnings, failed = [text], True
+    ms = int((time.perf_counter() - started) * 1000)
+    log.info("%s: %d ms", label, ms)
+    return Outcome(label, rows, warnings, ms, failed or bool(warnings))
+
+
+def outcomes(
+    labels: Sequence[str],
+    report: Callable[[str], Report],
+    ready: Callable[[str], TableSet],
+    spark: SparkSession,
+) -> list[Outcome]:
+    """Run checks together, so that small stages of one fill the executors another leaves idle.
+
+    ``ready`` gives the tables of a check once they are prepared.
+    """
+    if not labels:
+        return []
+    job = lambda label: run_check(label, ready(label), report(label))
+    with ThreadPoolExecutor(len(labels)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(job), label) for label in labels]
+        return [j.result() for j in jobs]
+
+
+def store_findings(spark: SparkSession, rows: list[tuple], path: str) -> DataFrame:
+    return materialise(local_rows(spark, rows, FINDING).coalesce(1), "findings", path)
+
+
 def timed_findings(
     tables: TableSet,
     report: Report,
     labels: Sequence[str] = tuple(CHECKS),
     ready: Callable[[str], TableSet] | None = None,
 ) -> tuple[DataFrame, list[str], list[tuple[str, int]]]:
-    """Run each check on its own; a failing one becomes a warning, the rest go on.
+    """Findings of checks, stored together, their warnings and their times.
 
-    A check is lazy until its findings are gathered, so the guard encloses
-    that.  Findings are bounded by the schemas and the evidence they show; all
-    of them are stored together at the end.  The checks are independent Spark
-    jobs, submitted together so that small stages of one fill the executors
-    another leaves idle.  ``ready`` gives the tables of a check once they are
-    prepared.
+    Each check runs on its own; a failing one becomes a warning, the rest go on.
     """
     spark = tables.fact.sparkSession
-
-    def guarded(label: str) -> tuple[list[tuple], list[str], tuple[str, int]]:
-        own = ready(label) if ready else tables
-        started = time.perf_counter()
-        try:
-            rows = [tuple(r) for r in CHECKS[label][2](own, report).collect()]
-            place = FINDING.fieldNames().index("warning")
-            warnings = sorted({r[place] for r in rows if r[place] is not None})
-        except Exception as e:
-            log.warning("%s failed: %s", label, e)
-            text = f"{label} degraded: {str(e).splitlines()[0] if str(e) else repr(e)}"
-            rows = [tuple(r) for r in _degraded(spark, label, text, tables).collect()]
-            warnings = [text]
-        ms = int((time.perf_counter() - started) * 1000)
-        log.info("%s: %d ms", label, ms)
-        return rows, warnings, (label, ms)
-
-    with ThreadPoolExecutor(len(labels)) as pool:
-        jobs = [pool.submit(inheritable_thread_target(spark)(guarded), label) for label in labels]
-        done = [job.result() for job in jobs]
-    found = local_rows(spark, [r for d in done for r in d[0]], FINDING)
-    stored = materialise(found.coalesce(1), "findings", f"{report.folder}/findings")
-    return stored, [w for d in done for w in d[1]], [d[2] for d in done]
+    done = outcomes(labels, lambda label: report, ready or (lambda label: tables), spark)
+    rows = [r for d in done for r in d.rows]
+    return (
+        store_findings(spark, rows, f"{report.folder}/findings"),
+        [w for d in done for w in d.warnings],
+        [(d.label, d.ms) for d in done],
+    )
 
 
 class Prepared:
@@ -197,11 +243,24 @@ def run_checks(
 
 def _checked(ready: Prepared, report: Report, started: datetime, checks: Sequence[str]) -> Run:
     tables = ready.planned
-    spark = tables.fact.sparkSession
     try:
         findings, warnings, times = timed_findings(tables, report, checks, ready)
     finally:
         ready.finish()
+    return rolled_up(tables, report, started, findings, warnings, times, report.details())
+
+
+def rolled_up(
+    tables: TableSet,
+    report: Report,
+    started: datetime,
+    findings: DataFrame,
+    warnings: list[str],
+    times: list[tuple[str, int]],
+    details: DataFrame,
+) -> Run:
+    """The run that findings make."""
+    spark = tables.fact.sparkSession
     warnings = [*tables.notes, *warnings]
     sections = materialise(section_rollup(findings), "", f"{report.folder}/sections")
     status = run_rollup(sections, len(warnings)).first()["status"]
@@ -213,7 +272,7 @@ def _checked(ready: Prepared, report: Report, started: datetime, checks: Sequenc
         findings,
         sections,
         local_rows(spark, [row], METADATA),
-        report.details(),
+        details,
         check_records(findings),
         local_rows(spark, times, TIMING),
     )
