@@ -36,6 +36,12 @@ def canonical(names, rows):
     return sorted(repr(tuple(r[i] for i in order)) for r in rows)
 
 
+@pytest.fixture
+def uncached(spark):
+    """Plans are looked at as they are, whatever an earlier test keeps in memory."""
+    spark.catalog.clearCache()
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -79,7 +85,7 @@ def physical(spark, df):
 
 
 @needs_data
-def test_forward_integrity_needs_one_grouping_and_shares_it(spark):
+def test_forward_integrity_needs_one_grouping_and_shares_it(spark, uncached):
     df = entry.queries()["forward_ri_top10"](spark, SF)
     df.collect()
     final = plan_of(df).split("Initial Plan")[0]
@@ -88,19 +94,19 @@ def test_forward_integrity_needs_one_grouping_and_shares_it(spark):
 
 
 @needs_data
-def test_scans_read_only_what_they_need(spark):
+def test_scans_read_only_what_they_need(spark, uncached):
     plan = plan_of(entry.queries()["forward_ri_keys"](spark, SF))
     assert plan.count("ReadSchema: struct<doc_id:bigint>") == 2  # texts and lengths are pruned away
 
 
 @needs_data
-def test_large_sides_are_never_broadcast(spark):
+def test_large_sides_are_never_broadcast(spark, uncached):
     plan = physical(spark, entry.queries()["preaggregate"](spark, SF))
     assert plan.count("SortMergeJoin") >= 3
     assert plan.count("BroadcastHashJoin") <= 1  # the 25 nations
 
 
 @needs_data
-def test_top_rows_per_group_are_cut_before_the_shuffle(spark):
+def test_top_rows_per_group_are_cut_before_the_shuffle(spark, uncached):
     plan = plan_of(entry.queries()["sequence_check"](spark, SF))
     assert "WindowGroupLimit" in plan and "Partial" in plan

@@ -10,13 +10,14 @@ from tabcord.functions import exact
 from tabcord.functions.columns import aggregate_to_long, col
 from tabcord.functions.durable import materialise, new_path, remove
 from tabcord.operators import compare, determinants, integrity, shaping, uniqueness
+from tabcord.plans import resume
 from tabcord.plans.scenarios import Scenario
 from tabcord.plans.scenarios import scenario_matrix as matrix
 from tabcord.sources import inference, kept
 from tabcord.sources.tables import TableSet
 
 from .bindings import cents, order_facts, read, rule_tables, sales
-from .queries import _periods, query, units
+from .queries import _periods, query, run_findings, units
 
 #: Tables whose types are found from their cells.
 UNTYPED = ("customer", "part", "orders")
@@ -189,6 +190,49 @@ def scenario_matrix(spark, sf):
     )
 
 
+UNIQUE_CHECKS = ("Check 4", "Check 6")
+
+
+@query
+def resumed_run(spark, sf):
+    """A run after the mapping changed: what it found, and which checks it had to repeat."""
+    tables, path = rule_tables(spark, sf), new_path(spark, "resumed")
+    resume.resumed_run(TableSet.classify(tables), path, checks=UNIQUE_CHECKS)
+    mapping = tables["tbl_Key_Mapping"]
+    tables["tbl_Key_Mapping"] = mapping.unionByName(mapping.where("Segment = 'MACHINERY'"))
+    found = resume.resumed_run(TableSet.classify(tables), path, checks=UNIQUE_CHECKS)
+    repeated = {r["label"] for r in found.timings.collect() if r["ms"]}  # two rows
+    section = F.when(F.col("section") == "check6", "Check 6").otherwise("Check 4")
+    return found.findings.select(
+        "section",
+        F.col("check").alias("check_name"),
+        F.col("table").alias("table_name"),
+        "status",
+        "n_bad",
+        section.isin(*repeated).alias("repeated"),
+    )
+
+
+@query
+def nested_payload(spark, sf):
+    """The uniqueness checks as one JSON document, read back and taken apart again."""
+    found = run_findings(spark, sf, *UNIQUE_CHECKS).payload()
+    place = new_path(spark, "payload")
+    found.select(F.to_json(F.struct("*")).alias("value")).write.text(place)
+    whole = spark.read.schema(found.schema).json(place)
+    sections = whole.select("status", F.explode("sections").alias("s"))
+    checks = sections.select("status", "s", F.explode("s.checks").alias("c"))
+    return checks.select("status", "s", "c", F.explode("c.findings").alias("f")).select(
+        F.col("status").alias("run_status"),
+        F.col("s.section").alias("section"),
+        F.col("s.status").alias("section_status"),
+        F.col("c.check_id").alias("check_id"),
+        F.col("c.status").alias("status"),
+        F.col("f.check").alias("check_name"),
+        F.col("f.n_bad").alias("n_bad"),
+    )
+
+
 def _profiles(spark, sf, kept_orders, balance):
     """Customers with a struct, a map and a list of structs about their orders."""
     orders = read(spark, sf, "orders").where(kept_orders)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import COMPARED, PERIODS, RULE_TABLES, SALES, _run_rows  # noqa: F401
+from .oracle import PERIODS, RULE_TABLES, RUN, SALES, _run_rows
 
 INTS, TEXT, MONEY, MOMENT = "bigint", "string", "money", "timestamp_ntz"
 UNTYPED = {
@@ -196,6 +196,26 @@ SQL: dict[str, str] = {
             ),
         )
     ),
+    "resumed_run": "SELECT section, check_name, table_name, status, n_bad, "
+    "check_name = 'mapping_uniqueness' AS repeated FROM ("
+    + _scenario(
+        "copies",
+        {
+            "mapping": "SELECT * FROM {was} UNION ALL SELECT * FROM {was} "
+            "WHERE Segment = 'MACHINERY'"
+        },
+    )
+    + ") WHERE check_name IN ('row_uniqueness', 'mapping_uniqueness')",
+    "nested_payload": f"""
+        WITH found AS (
+          SELECT * FROM ({RUN} SELECT * FROM run)
+          WHERE check_name IN ('row_uniqueness', 'mapping_uniqueness')),
+        sections AS (SELECT section, max(status = 'FAIL') AS failed FROM found GROUP BY section)
+        SELECT CASE WHEN (SELECT max(failed) FROM sections) THEN 'FAIL' ELSE 'PASS' END
+                 AS run_status,
+               section, CASE WHEN failed THEN 'FAIL' ELSE 'PASS' END AS section_status,
+               section || '.' || table_name AS check_id, status, check_name, n_bad
+        FROM found JOIN sections USING (section)""",
     "nested_compare": f"""
         WITH {_profile_leaves("a", "", "c_acctbal")},
         {_profile_leaves("b", "WHERE o_orderpriority <> '1-URGENT'",
