@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
@@ -10,14 +11,44 @@ from ..functions.columns import is_numeric
 from . import rulepack as rp
 
 
+@dataclass(frozen=True)
+class Roles:
+    """What the columns of a reference table are for, seen from the fact.
+
+    ``join`` are the columns by which a fact row finds its reference row: those
+    of both tables that hold no numbers in the reference, the exempt key aside.
+    The other roles are parts of it, in its order.
+    """
+
+    join: tuple[str, ...]
+
+    @classmethod
+    def of(cls, ref: T.StructType, fact: T.StructType) -> Roles:
+        shared = {*fact.fieldNames()} - {rp.EXEMPT_KEY}
+        return cls(tuple(f.name for f in ref.fields if f.name in shared and not is_numeric(f.dataType)))
+
+    @property
+    def keys(self) -> tuple[str, ...]:
+        """Columns that hold keys by their name."""
+        return tuple(c for c in self.join if c.startswith(rp.KEY_PREFIX))
+
+    @property
+    def shown(self) -> tuple[str, ...]:
+        """Columns that a report shows: all but years and development months."""
+        return tuple(c for c in self.join if c not in rp.STRUCTURAL)
+
+    @property
+    def context(self) -> tuple[str, ...]:
+        """Shown columns that are no keys: they must be parents of the keys."""
+        return tuple(c for c in self.shown if c not in self.keys)
+
+
 def categorical(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields if not is_numeric(f.dataType)]
 
 
 def join_key(ref: T.StructType, fact: T.StructType) -> list[str]:
-    """Columns of both tables that are not numeric in the reference table."""
-    shared = set(fact.fieldNames()) - {rp.EXEMPT_KEY}
-    return [c for c in categorical(ref) if c in shared]
+    return list(Roles.of(ref, fact).join)
 
 
 def key_cols(names: Iterable[str]) -> list[str]:
@@ -25,12 +56,11 @@ def key_cols(names: Iterable[str]) -> list[str]:
 
 
 def display_cols(ref: T.StructType, fact: T.StructType) -> list[str]:
-    return [c for c in join_key(ref, fact) if c not in rp.STRUCTURAL]
+    return list(Roles.of(ref, fact).shown)
 
 
 def context_cols(ref: T.StructType, fact: T.StructType) -> list[str]:
-    shown = display_cols(ref, fact)
-    return [c for c in shown if c not in key_cols(shown)]
+    return list(Roles.of(ref, fact).context)
 
 
 def uniqueness_key(table: str, ref: T.StructType, fact: T.StructType) -> list[str]:
