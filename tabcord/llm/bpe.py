@@ -11,7 +11,9 @@ The vocabulary file is a parameter; its rows are never copied into the
 repository.  Null texts count as empty, and empty texts have no ids.  Rows of
 null ids and repeated rows are encoded like others; an empty table gives an
 empty result.  Special tokens that occur in a text get their own id, as the
-file's added tokens say.
+file's added tokens say.  Long texts are encoded whole, in slabs of bounded size
+with their neighbours; of equal pairs that overlap the first is merged.  Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -20,7 +20,12 @@ Texts without a word (null, empty) are rejected with score 0.  A null category
 is a category of its own; a null number falls in a bin of its own.  Rows of
 null ids are scored and never train.  Repeated rows are scored alike.  If no
 label of either class exists, all documents with words are accepted with score
-1.  Empty tables give an empty result.
+1.  Long texts are read whole, a few MB at a time.  Of equally sure documents of
+the pool the first by a hash of the id is taken, and a label that a document has
+twice counts as the worse.  Every category value of the sample has a column of its
+own; unseen values share one.  Empty tables give an empty result.  Columns of
+documents with clashing names stay apart in ``row``; other columns of labels are
+ignored.
 """
 
 from __future__ import annotations

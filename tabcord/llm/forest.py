@@ -10,7 +10,9 @@ its words in repeated windows of 8 words, fails them and is not kept.  Null
 texts have no words and so fail.  Rows of null ids are scored and never
 calibrate; repeated rows are scored alike.  Without labelled rows of both
 kinds the threshold is the score above which ``spare`` of all documents lie.
-Empty tables give an empty result.
+Long texts are read whole; a value equal to a split goes to its right, and a
+score at the threshold is anomalous.  Empty tables give an empty result.  Other
+columns of both tables are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Models are fitted on a bounded sample of the labelled rows: at most
 hash of the id.  Null or empty texts and texts without a letter are "und" with
 score 0 and never train; a null language never trains.  If nothing can be
 learned, every text is "und".  Repeated rows get equal results; an empty table
-gives an empty result.
+gives an empty result.  Long texts are read whole, a few MB at a time.  Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

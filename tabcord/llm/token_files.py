@@ -14,8 +14,9 @@ letters with trailing punctuation go straight to the library's merge model,
 which knows the same piece; every other word passes the whole library.
 
 Null and empty texts have only the end id.  Rows of null ids come first; ties
-in id are ordered by text.  Repeated rows are written repeatedly.  An empty
-table gives an empty file set and result.
+in id are ordered by text.  Repeated rows are written repeatedly.  Long texts
+are encoded whole, a slab at a time.  An empty table gives an empty file set and
+result.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
