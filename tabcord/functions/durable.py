@@ -10,6 +10,9 @@ folder of one machine is lost with it.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +33,32 @@ def work_dir(spark: SparkSession) -> str:
     return named.rstrip("/") + "/tabcord"
 
 
+#: Folders that the current thread made inside :func:`scratch`, if it is inside.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the work folder; every run writes its own copy."""
-    return f"{work_dir(spark)}/{uuid.uuid4().hex}/{name}"
+    folder = f"{work_dir(spark)}/{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(folder)
+    return f"{folder}/{name}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end or on failure, the intermediates that this thread makes inside.
+
+    What is to stay must be stored before, at a path from outside.
+    """
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        made = _MADE.get()
+        _MADE.reset(token)
+        for folder in made:
+            remove(spark, folder)
 
 
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
