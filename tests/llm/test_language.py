@@ -75,3 +75,38 @@ def test_only_letters_make_a_language(spark, docs):
     rows = spark.createDataFrame([(1, "½ ² ¾ ① Ⅷ 42 _"), (2, "ª"), (3, "字")], "doc_id long, text string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(rows, model).collect()}
     assert got[1] == ("und", 0.0) and "und" not in (got[2][0], got[3][0])
+
+
+def plain_prediction(model, text):
+    """The hierarchy for one text: trigrams counted one by one, a dot product per machine."""
+    raw = b" " + text.lower().encode("utf-8", "replace") + b" "
+    kept = [c if 97 <= c <= 122 or c >= 128 else 0 for c in raw]
+    counts = np.zeros(language.SIZE)
+    for a, b, c in zip(kept, kept[1:], kept[2:]):
+        if b:
+            code = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF
+            counts[((code * 0x27D4EB2F) & 0xFFFFFFFF) >> 21] += 1
+    x = np.sqrt(counts)
+    x = x / max(np.linalg.norm(x), 1e-9)
+    by_family = [float(x @ w[:-1] + w[-1]) for w in model.family]
+    family = model.families[int(np.argmax(by_family))]
+    codes = model.languages[family]
+    votes, total = [0] * len(codes), [0.0] * len(codes)
+    for i, j, w in model.pairs[family]:
+        m = float(x @ w[:-1] + w[-1])
+        votes[i if m > 0 else j] += 1
+        total[i], total[j] = total[i] + m, total[j] - m
+    return max(range(len(codes)), key=lambda k: (votes[k], total[k], -k)), codes
+
+
+def test_predictions_equal_plain_ones_over_a_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.train(docs, per_language=40)
+    texts = {r.doc_id: r.text for r in docs.where("n_chars < 20000").collect()}
+    got = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    for i, text in texts.items():
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        k, codes = plain_prediction(model, text)
+        assert got[i].lang_pred == codes[k]

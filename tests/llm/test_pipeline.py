@@ -3,6 +3,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline as cp
+from tabcord.functions.durable import work_dir
 from tabcord.llm import queries
 from tabcord.llm.frames import materialise
 
@@ -41,8 +42,18 @@ def test_stages_follow_each_other(spark, sf):
         assert r.n_tokens == len(library.encode(seen[r.doc_id], add_special_tokens=False).ids)
 
 
-def test_run_gives_the_last_stage(spark, sf):
+def files_below(spark):
+    import os
+
+    place = work_dir(spark)
+    return {os.path.join(d, f) for d, _, names in os.walk(place) for f in names if f.endswith(".parquet")}
+
+
+def test_run_gives_the_last_stage_and_leaves_nothing_else(spark, sf):
+    before = files_below(spark)
     got = cp.run(spark, sf)
+    left = files_below(spark) - before
+    assert left and all("/bpe/" in f for f in left)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert got.count() > 0
 
@@ -58,5 +69,5 @@ def test_odd_documents(spark, sf, odd, none):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
