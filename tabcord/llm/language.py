@@ -153,6 +153,30 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(key) % 3 == 1
 
 
+#: Languages whose sizes are sent to every task; more are found by a join of both tables.
+SENT = 10_000
+
+
+def likely_first(rows: DataFrame, mark: Column, most: int) -> DataFrame:
+    """Rows whose hash is so small that they may be among the ``most`` first of their language.
+
+    A hash is even, so a language of n rows needs only the share 8 * most / n of
+    the range of hashes: what is ranked by language stays a few times ``most``,
+    however many tasks read a language that most documents have.
+    """
+    sizes = materialise(
+        rows.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n")), "languages"
+    )
+    if sizes.count() <= SENT:
+        sizes = F.broadcast(sizes)
+    place = mark.cast("double") / F.lit(2.0**64) + 0.5
+    return (
+        rows.join(sizes, F.col("lang") == F.col("of"))
+        .where(place * F.col("n") <= 8.0 * most)
+        .select("doc_id", "lang")
+    )
+
+
 def train(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -169,9 +193,9 @@ def train(
     ).where(~held_out(F.col(id_col)) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     mark = F.xxhash64("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(mark, "doc_id")
+    usable = rows.where(F.length("text") > 0).select("doc_id", "lang")
     ids = (
-        rows.where(F.length("text") > 0)
-        .select("doc_id", "lang")
+        likely_first(usable, mark, per_language)
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= per_language)
         .orderBy("place", "lang")

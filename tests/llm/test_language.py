@@ -110,3 +110,18 @@ def test_predictions_equal_plain_ones_over_a_table(spark, sf):
             continue
         k, codes = plain_prediction(model, text)
         assert got[i].lang_pred == codes[k]
+
+
+def test_the_first_of_a_language_are_among_the_likely_ones(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).selectExpr(
+        "id AS doc_id", "CASE WHEN id % 50 > 0 THEN 'en' WHEN id % 100 > 0 THEN 'fr' ELSE 'x' || id END AS lang"
+    )
+    mark = F.xxhash64("doc_id", "lang")
+    order = Window.partitionBy("lang").orderBy(mark, "doc_id")
+    first = lambda df: df.withColumn("p", F.row_number().over(order)).where("p <= 30")
+    some = language.likely_first(rows, mark, 30)
+    assert first(some).exceptAll(first(rows)).count() == first(rows).exceptAll(first(some)).count() == 0
+    assert some.where("lang = 'en'").count() < 400
