@@ -12,10 +12,12 @@ read once, so a further scenario costs its own rows and a few sums, not a run.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +38,6 @@ from ..operators import ranges
 from ..rules import roles
 from ..rules import rulepack as rp
 from ..sources.tables import TableSet
-from .checks import FAILED  # noqa: F401  (the wording of skipped checks)
 
 OUTCOME = "scenario string, section string, check string, table string, column string, status string, n_bad bigint"
 
@@ -219,7 +220,19 @@ class _Matrix:
 
     # -- checks -----------------------------------------------------------------
 
-    def key_registration(self) -> DataFrame:
+    def checks(self) -> list[Callable[[], list[DataFrame]]]:
+        """The checks, each one plan for all scenarios; they can run side by side."""
+        return [
+            self.key_registration,
+            self.referential_integrity,
+            self.row_uniqueness,
+            self.parent_columns,
+            self.mapping_uniqueness,
+            self.value_ranges,
+            self.key_coverage,
+        ]
+
+    def key_registration(self) -> list[DataFrame]:
         rows = []
         for w, s in enumerate(self.scenarios):
             targets = {rp.FACT: self.tables.registered()}
@@ -229,7 +242,7 @@ class _Matrix:
                 wanted = [c for c in roles.key_cols(df.columns) if c != rp.EXEMPT_KEY]
                 n = sum(c not in have for c in wanted for have in targets.values())
                 rows.append((w, "check1", "key_registration", name, None, "FAIL" if n else "PASS", n))
-        return self.static(rows)
+        return [self.static(rows)]
 
     def referential_integrity(self) -> list[DataFrame]:
         keys, skipped = {}, []
@@ -638,20 +651,18 @@ def scenario_matrix(tables: TableSet, scenarios: Sequence[Scenario]) -> DataFram
     if any(rp.FACT in s.dropped for s in scenarios):
         raise ValueError("without the fact there is nothing to check")
     m = _Matrix(tables, scenarios)
-    parts = [
-        m.key_registration(),
-        *m.referential_integrity(),
-        *m.row_uniqueness(),
-        *m.parent_columns(),
-        *m.mapping_uniqueness(),
-        *m.value_ranges(),
-        *m.key_coverage(),
+    spark = m.spark
+
+    def gathered(check: Callable[[], list[DataFrame]]) -> list[Row]:
+        parts = check()  # findings of all scenarios: bounded by the schemas
+        return reduce(DataFrame.unionByName, parts).collect() if parts else []
+
+    with ThreadPoolExecutor(len(m.checks())) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(gathered), c) for c in m.checks()]
+        found = [r for job in jobs for r in job.result()]
+    rows = [
+        (names[r["world"]], *(r[c] for c in ("section", "check", "table", "column", "status", "n_bad")))
+        for r in found
+        if r["table"] == rp.MAPPING or r["table"] not in scenarios[r["world"]].dropped
     ]
-    absent = [(w, t) for w, s in enumerate(scenarios) for t in s.dropped if t != rp.MAPPING]
-    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("world") + 1)
-    out = reduce(DataFrame.unionByName, parts)
-    for w, t in absent:
-        out = out.where(~((F.col("world") == w) & F.col("table").eqNullSafe(F.lit(t))))
-    return out.select(
-        named.alias("scenario"), "section", "check", "table", "column", "status", "n_bad"
-    )
+    return local_rows(spark, rows, OUTCOME)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabcord.plans import run
-from tabcord.plans.scenarios import OUTCOME, Scenario, scenario_matrix
+from tabcord.plans.scenarios import OUTCOME, Scenario, _Matrix, scenario_matrix
 from tabcord.sources.tables import TableSet
 
 CORE = ("section", "check", "table", "column", "status", "n_bad")
@@ -90,8 +90,10 @@ def test_the_fact_is_read_once(spark, base, tmp_path):
     place = f"{tmp_path}/fact"
     base["tbl_DetailedData"].write.parquet(place)
     tables = {**base, "tbl_DetailedData": spark.read.parquet(place)}
-    plan = scenario_matrix(TableSet.classify(tables), scenarios_of(base))
-    assert place not in plan._jdf.queryExecution().executedPlan().toString()
+    matrix = _Matrix(TableSet.classify(tables), scenarios_of(base))
+    for check in matrix.checks():
+        for part in check():
+            assert place not in part._jdf.queryExecution().executedPlan().toString()
 
 
 def test_odd_scenarios(base):
