@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Numbers of a matrix that may be kept as doubles.
+WIDEN = 50_000_000
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
@@ -24,6 +28,8 @@ def fit(
     """
     n, d = x.shape
     x = np.hstack([x, np.ones((n, 1), x.dtype)])
+    if x.size <= WIDEN:
+        x = x.astype(np.float64)  # once, instead of in every product
     weight = np.ones(n) if weight is None else weight
     weight = weight / max(weight.sum(), 1e-9)
     curve = 0.25 if loss == "logistic" else 2.0
