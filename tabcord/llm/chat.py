@@ -9,8 +9,10 @@ away again gives the text back.  :func:`read_back` undoes the whole format.
 Conversations of more than :data:`LONG` turns are not collected whole: their
 turns are sorted across tasks, stored, and cut into segments by the place of a
 row in the stored files, so a conversation that holds a third of all rows (or
-all rows without an id) is formatted by many tasks.  Each segment opens its own
-block.
+all rows without an id) is formatted by many tasks.  A cut does not show: a
+segment that begins inside a block goes on with it, and names its role in
+``inside``, so the texts of the segments, one after the other, are the text that
+one task would have made of the conversation.
 
 Defined results.  Null texts and roles count as empty; a null conversation id is
 a conversation; turns are ordered by turn (null first), role and text, so ties
@@ -21,7 +23,7 @@ whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import materialise
@@ -71,8 +73,11 @@ def blocks_of(turns: Column) -> Column:
     )
 
 
-def _spans(blocks: Column) -> Column:
-    """Where the learned texts stand: (start, length) in code points, from 0."""
+def _spans(blocks: Column, goes_on: Column) -> Column:
+    """Where the learned texts stand: (start, length) in code points, from 0.
+
+    If a segment goes on with a block, its text begins with a mark instead of a head.
+    """
     kind = "struct<at:bigint,found:array<struct<start:bigint,length:bigint>>>"
 
     def text(state: Column, size: Column, learned: Column) -> Column:
@@ -89,30 +94,42 @@ def _spans(blocks: Column) -> Column:
         at = done["at"] - len(AND) + len(END)
         return F.struct(at.alias("at"), done["found"].alias("found")).cast(kind)
 
+    # the head of the first block is counted by block(), so that of an open one is taken off here
+    unheaded = len(AND) - len(START) - 1 - F.length(F.get(blocks, F.lit(0))["role"])
     nothing = F.struct(
-        F.lit(0).cast("long").alias("at"),
+        F.when(goes_on, unheaded).otherwise(0).cast("long").alias("at"),
         F.array().cast("array<struct<start:bigint,length:bigint>>").alias("found"),
     ).cast(kind)
     return F.aggregate(blocks, nothing, block)["found"]
 
 
 def render(segments: DataFrame) -> DataFrame:
-    """Segments with sorted ``turns`` (escaped) to their ``text`` and ``loss`` spans."""
+    """Segments with sorted ``turns`` (escaped) to their ``text`` and ``loss`` spans.
+
+    ``before`` and ``after`` are the roles of the turns beside the segment (null:
+    none); a block that reaches over the border is opened and ended once.
+    """
     merged = segments.withColumn("blocks", blocks_of(F.col("turns")))
+    size, none = F.size("blocks"), F.lit(False)
+    goes_on = F.coalesce(F.get("blocks", F.lit(0))["role"] == F.col("before"), none)
+    stays_open = F.coalesce(F.get("blocks", size - 1)["role"] == F.col("after"), none)
     body = F.transform(
         "blocks",
-        lambda b: F.concat(
-            F.lit(START), b["role"], F.lit("\n"), F.array_join(b["texts"], AND), F.lit(END)
+        lambda b, i: F.concat(
+            F.when((i == 0) & goes_on, AND).otherwise(F.concat(F.lit(START), b["role"], F.lit("\n"))),
+            F.array_join(b["texts"], AND),
+            F.when((i == size - 1) & stays_open, "").otherwise(END),
         ),
     )
     return merged.select(
         "conv_id",
         "segment",
         "whole",
+        F.when(goes_on, F.col("before")).alias("inside"),
         F.size("turns").cast("long").alias("n_turns"),
-        F.size("blocks").cast("long").alias("n_blocks"),
+        (size - goes_on.cast("int")).cast("long").alias("n_blocks"),
         F.array_join(body, "").alias("text"),
-        _spans(F.col("blocks")).alias("loss"),
+        _spans(F.col("blocks"), goes_on).alias("loss"),
     )
 
 
@@ -131,13 +148,35 @@ def _cut(rows: DataFrame) -> DataFrame:
         F.coalesce(piece.try_cast("long"), F.lit(0)).alias("piece"),
     )
     order = F.struct("part", "piece", F.floor(F.col("place") / SEGMENT).alias("number"))
-    found = placed.groupBy("conv_id", order.alias("segment")).agg(
-        F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns")
+    placed = placed.withColumn("segment", order)
+    # one row per segment tells its neighbours where a block goes on
+    ends = placed.groupBy("conv_id", "segment").agg(
+        F.min_by("role", "place").alias("first"), F.max_by("role", "place").alias("last")
+    )
+    beside = Window.partitionBy("conv_id").orderBy("segment")
+    borders = ends.select(
+        "conv_id",
+        "segment",
+        F.lag("last").over(beside).alias("before"),
+        F.lead("first").over(beside).alias("after"),
+    )
+    turn = F.struct("place", "role", "text")
+    found = (
+        placed.select("conv_id", "segment", turn.alias("turn"))
+        .unionByName(borders, allowMissingColumns=True)
+        .groupBy("conv_id", "segment")
+        .agg(
+            F.sort_array(F.collect_list("turn")).alias("turns"),
+            F.max("before").alias("before"),
+            F.max("after").alias("after"),
+        )
     )
     return found.select(
         "conv_id",
         "segment",
         F.lit(False).alias("whole"),
+        "before",
+        "after",
         F.transform("turns", lambda t: F.struct(t["role"], t["text"])).alias("turns"),
     )
 
@@ -150,10 +189,12 @@ def format_chats(
     text_col: str = "text",
     long: int = LONG,
 ) -> DataFrame:
-    """Formatted segments: conv_id, segment (their order), whole, n_turns, n_blocks, text, loss.
+    """Formatted segments: conv_id, segment (their order), whole, inside, n_turns, n_blocks, text, loss.
 
     A conversation of at most ``long`` turns is one segment, marked ``whole``.
-    ``loss`` has the (start, length) of each learned text inside ``text``.
+    ``loss`` has the (start, length) of each learned text inside ``text``;
+    ``n_blocks`` counts the blocks that begin there.  How a conversation is cut
+    changes neither its texts, put together, nor its counts.
     """
 
     def own(name: str) -> Column:
@@ -182,6 +223,8 @@ def format_chats(
             "conv_id",
             first.alias("segment"),
             F.lit(True).alias("whole"),
+            F.lit(None).cast("string").alias("before"),
+            F.lit(None).cast("string").alias("after"),
             F.transform("turns", lambda t: F.struct(t["role"], t["text"])).alias("turns"),
         )
     )
@@ -193,19 +236,27 @@ def format_chats(
 def read_back(formatted: DataFrame) -> DataFrame:
     """Add ``turns`` (role, text) parsed from ``text``, and ``learned``: the texts under the mask."""
 
-    def block(part: Column) -> Column:
-        inner = F.substr(part, F.lit(1), F.length(part) - len(END))
-        line = F.substring_index(inner, "\n", 1)
-        body = F.substr(inner, F.length(line) + 2)
+    def said(line: Column, body: Column) -> Column:
+        # no text ends like a block: the marks are escaped in it
+        ended = F.endswith(body, F.lit(END))
+        body = F.substr(body, F.lit(1), F.length(body) - F.when(ended, len(END)).otherwise(0))
         return F.transform(
             F.split(body, AND.replace("|", r"\|"), -1),
             lambda t: F.struct(_role_in(line).alias("role"), unescaped(t).alias("text")),
         )
 
+    def block(part: Column) -> Column:
+        line = F.substring_index(part, "\n", 1)
+        return said(line, F.substr(part, F.length(line) + 2))
+
     parts = F.split("text", START.replace("|", r"\|"), -1)
+    opened = F.transform(F.slice(parts, 2, F.size(parts)), block)
+    going_on = F.array(said(F.col("inside"), F.substr(F.get(parts, F.lit(0)), F.lit(len(AND) + 1))))
     return formatted.withColumns(
         {
-            "turns": F.flatten(F.transform(F.slice(parts, 2, F.size(parts)), block)),
+            "turns": F.flatten(
+                F.when(F.col("inside").isNull(), opened).otherwise(F.concat(going_on, opened))
+            ),
             "learned": F.transform(
                 "loss",
                 lambda s: unescaped(

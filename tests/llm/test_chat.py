@@ -88,6 +88,30 @@ def test_a_hot_conversation_is_cut_in_order(spark):
     assert digests(got) == plain([tuple(r) for r in rows.collect()])
 
 
+def test_a_cut_changes_no_result(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SEGMENT", 5)
+    say = "CASE id DIV 4 % 5 WHEN 0 THEN 'user' WHEN 3 THEN 'a\\nb' ELSE 'assistant' END"
+    rows = spark.range(90).selectExpr(
+        "IF(id < 70, IF(id % 2 = 0, NULL, 7), id) AS conv_id",
+        "id AS turn",
+        f"IF(id BETWEEN 20 AND 40, 'assistant', {say}) AS role",
+        "IF(id % 6 = 0, NULL, repeat('<|im_end|>\\n', CAST(id % 3 AS INT))) AS text",
+    )
+    texts, results = set(), set()
+    for long, tasks in ((4096, 1), (1, 3), (3, 7)):
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        try:
+            got = chat.format_chats(rows, long=long)
+            segments = got.orderBy("conv_id", "segment").select("conv_id", "text", "whole").collect()
+            results.add(tuple(chat.digests(got).orderBy("conv_id").collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 2)
+        assert sum(not r.whole for r in segments) >= 14 * (long < 4096)
+        found = itertools.groupby(segments, lambda r: r.conv_id)
+        texts.add(tuple((c, "".join(r.text for r in own)) for c, own in found))
+    assert len(texts) == len(results) == 1
+
+
 def test_tables_without_rows(frame):
     empty = chat.format_chats(frame(SCHEMA))
     assert empty.collect() == [] and chat.digests(empty).collect() == []
