@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabcord.sources import kept
 from tabcord.sources.tables import preaggregate
+from workload import growing
 
 SCHEMA = "k string, j int, m decimal(10,2)"
 
@@ -118,3 +119,24 @@ def test_a_folder_without_files(spark, tmp_path):
     assert sums.is_current()
     with pytest.raises(LookupError):
         sums.refresh()
+
+
+def test_many_tasks_write_a_bucket_of_the_fact(spark, tmp_path):
+    rows = spark.range(800).selectExpr(
+        "id * 8 + IF(id < 40, 1, 0) AS l_orderkey",
+        "'A' AS l_returnflag",
+        "'F' AS l_linestatus",
+        "DATE'1995-06-01' AS l_shipdate",
+        "CAST(id AS DOUBLE) AS l_extendedprice",
+    )
+    rows.repartition(8).write.parquet(f"{tmp_path}/sf/lineitem.parquet")
+    folder = f"{tmp_path}/fact"
+    for factor in (1, 2):  # written again, a bucket has only its new rows
+        growing._fact_folder(spark, f"{tmp_path}/sf", folder, factor, [0, 1])
+        fact = spark.read.parquet(folder)
+        got = fact.groupBy("bucket").agg(F.count("*"), F.sum("price")).collect()
+        assert sorted(map(tuple, got)) == [
+            (0, 760, 100 * factor * sum(range(40, 800))),
+            (1, 40, 100 * factor * sum(range(40))),
+        ]
+        assert fact.where("bucket = 0").select(F.input_file_name()).distinct().count() > 1
