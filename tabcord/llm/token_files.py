@@ -8,10 +8,11 @@ so a reader can fetch a few documents, or only the metadata, without the rest.
 
 The tokenizers library does the encoding.  Its pre-tokenizer never joins text
 across ASCII white space, so a text is encoded word by word and a worker
-remembers words, up to a bound.  For vocabularies of the plain form (NFC,
+remembers words from task to task, up to a bound.  For vocabularies of the plain form (NFC,
 lower case, runs of letters apart from the rest) words of ordinary Latin
 letters with trailing punctuation go straight to the library's merge model,
-which knows the same piece; every other word passes the whole library.
+which knows the same piece, thousands of pieces a call; every other word passes
+the whole library.
 
 Null and empty texts have only the end id.  Rows of null ids come first; ties
 in id are ordered by text.  Repeated rows are written repeatedly.  Long texts
@@ -22,6 +23,7 @@ result.  Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import itertools
+import json
 import operator
 import os
 import re
@@ -49,43 +51,81 @@ _PLAIN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all lists in one array, and the length of each list."""
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = itertools.chain.from_iterable(lists)
+    return np.fromiter(flat, np.int32, int(counts.sum())), counts
+
+
 class WordEncoder:
     """Ids of texts, one library call per new word."""
 
-    def __init__(self, path: str, remember: int = 500_000):
-        import json
+    #: Pieces that one call of the merge model gets.
+    CALL = 10_000
 
+    def __init__(self, path: str, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark spreads the work
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        tokenizer = self.tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
         self.remember = remember
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        steps = (spec.get("normalizer") or {}).get("normalizers", [])
-        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        added = any(not t["content"].startswith("<") for t in spec["added_tokens"])
+
+        def spec(part) -> dict:
+            return json.loads(part.__getstate__()) if part is not None else {}
+
+        steps = spec(tokenizer.normalizer).get("normalizers", [])
+        cuts = spec(tokenizer.pre_tokenizer).get("pretokenizers", [{}])
+        tokens = tokenizer.get_added_tokens_decoder().values()
+        added = any(not t.content.startswith("<") for t in tokens)
         self.plain = (
             [s["type"] for s in steps] == _PLAIN_NORMALIZERS
             and cuts[0].get("pattern") == {"Regex": _PLAIN_PATTERN}
             and not added
         )
-        #: The vocabulary's character for each byte.
+        #: The vocabulary's character for each byte; a space parts the pieces of a call.
         self.symbols = dict(enumerate(byte_symbols()))
+        self.spaced = self.symbols | {32: " "}
+        self.merges = Tokenizer(tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        #: Which ids end a piece, if the vocabulary marks them.
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        self.ending = None
+        if suffix:
+            vocab = tokenizer.get_vocab(with_added_tokens=False)
+            self.ending = np.zeros(max(vocab.values()) + 1, bool)
+            self.ending[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
-        #: Words by number, and the numbers of their one or two pieces (-1: none).
+        #: Words by number, and their ids.
         self.words = Numbers()
-        self.head = np.empty(0, np.int32)
-        self.tail = np.empty(0, np.int32)
-        #: Pieces by number, bytes for the merge model and texts for the whole library; their ids.
-        self.pieces = Numbers()
         self.ids = np.empty(0, np.int32)
         self.starts = np.empty(0, np.int64)
         self.counts = np.empty(0, np.int64)
+        #: Pieces by number, bytes for the merge model and texts for the whole library; their ids.
+        self.pieces = Numbers()
+        self.piece_ids = np.empty(0, np.int32)
+        self.piece_starts = np.empty(0, np.int64)
+        self.piece_counts = np.empty(0, np.int64)
+
+    def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain pieces in one array, and the number of ids of each."""
+        if self.ending is not None:
+            line = b" ".join(pieces).decode("latin-1").translate(self.spaced)
+            (found,) = self.merges.encode_batch_fast([line], add_special_tokens=False)
+            ids = np.array(found.ids, np.int32)
+            ends = np.flatnonzero(self.ending[ids])
+            if len(ends) == len(pieces) and ends[-1] == len(ids) - 1:
+                return ids, np.diff(ends, prepend=-1)
+        # a vocabulary that does not mark or not know some ends
+        model, symbols = self.tokenizer.model, self.symbols
+        lists = [
+            list(map(_ID, model.tokenize(p.decode("latin-1").translate(symbols)))) for p in pieces
+        ]
+        return _flat(lists)
 
     def learn(self, words: list[bytes]) -> None:
         """Cut new words into pieces and have the library encode those that are new."""
@@ -104,27 +144,29 @@ class WordEncoder:
             else:
                 head.append(pieces[piece])
                 tail.append(pieces[w[len(core) :]] if len(core) < len(w) else -1)
-        self.head = np.concatenate([self.head, np.array(head, np.int32)])
-        self.tail = np.concatenate([self.tail, np.array(tail, np.int32)])
-
-        model, symbols = self.tokenizer.model, self.symbols
-        whole = iter(
-            self.tokenizer.encode_batch(
-                [p for p in pieces.new if isinstance(p, str)], add_special_tokens=False
-            )
-        )
-        found = [
-            next(whole).ids
-            if isinstance(p, str)
-            else list(map(_ID, model.tokenize(p.decode("latin-1").translate(symbols))))
-            for p in pieces.new
-        ]
-        pieces.new = []
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        own = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(counts.sum()))
+        new, pieces.new = pieces.new, []
+        plain = [i for i, p in enumerate(new) if isinstance(p, bytes)]
+        other = [i for i, p in enumerate(new) if isinstance(p, str)]
+        batch = self.tokenizer.encode_batch([new[i] for i in other], add_special_tokens=False)
+        parts = [_flat([e.ids for e in batch])]
+        for i in range(0, len(plain), self.CALL):
+            parts.append(self.merged([new[k] for k in plain[i : i + self.CALL]]))
+        counts = np.concatenate([n for _, n in parts])
+        own = np.empty((2, len(new)), np.int64)
+        own[:, [*other, *plain]] = len(self.piece_ids) + np.cumsum(counts) - counts, counts
+        self.piece_ids = np.concatenate([self.piece_ids, *(ids for ids, _ in parts)])
+        self.piece_starts = np.concatenate([self.piece_starts, own[0]])
+        self.piece_counts = np.concatenate([self.piece_counts, own[1]])
+
+        piece = np.array([head, tail], np.int32).T.ravel()
+        piece = piece[piece >= 0]
+        both = 1 + (np.array(tail, np.int32) >= 0)
+        sizes = self.piece_counts[piece]
+        counts = np.add.reduceat(sizes, np.cumsum(both) - both)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
-        self.ids = np.concatenate([self.ids, own])
+        ids = self.piece_ids[spread(self.piece_starts[piece], sizes)]
+        self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of ids of each text."""
@@ -140,10 +182,25 @@ class WordEncoder:
         if self.words.new:
             self.learn(self.words.new)
             self.words.new = []
-        piece = np.column_stack([self.head[at], self.tail[at]]).ravel()
-        counts = np.where(piece >= 0, self.counts[piece], 0)
-        ends = np.concatenate([[0], np.cumsum(counts)])[2 * np.cumsum(sizes)]
-        return self.ids[spread(self.starts[piece], counts)], np.diff(ends, prepend=0)
+        counts = self.counts[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
+        return self.ids[spread(self.starts[at], counts)], np.diff(ends, prepend=0)
+
+
+def kept_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, with the words it knows from the tasks before.
+
+    What travels by value is made anew in every task, so the library's module holds it.
+    """
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_word_encoders", {})
+    state = os.stat(path)
+    key = (path, state.st_mtime_ns, state.st_size)
+    if key not in held:
+        held.clear()
+        held[key] = WordEncoder(path)
+    return held[key]
 
 
 def slabs(found: list[str], limit: int = 1 << 21):
@@ -162,7 +219,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, n_tokens, ids) of (doc_id, text), row by row in the given order."""
 
     def run(batches):
-        encoder = WordEncoder(path)
+        encoder = kept_encoder(path)
         for batch in batches:
             found = texts(batch)
             for a, b in slabs(found):

@@ -38,6 +38,37 @@ def test_words_encode_as_whole_texts(library, docs):
     assert got == want
 
 
+def test_new_pieces_share_calls_of_the_merge_model(library):
+    encoder = token_files.WordEncoder(vocabulary(PATH))
+    calls, merges = [], encoder.merges
+
+    class Counted:
+        def encode_batch_fast(self, found, **options):
+            calls.append(len(found))
+            return merges.encode_batch_fast(found, **options)
+
+    words = [f"{a}{b}{c}ö" for a in "abcdefgh" for b in "stuvwxyz" for c in ("", "q", "é", "zz")]
+    text = " ".join(words) + " Ä!! 42 it's"
+    want = library.encode(text, add_special_tokens=False).ids
+    for call, ending in ((10_000, encoder.ending), (100, encoder.ending), (100, None)):
+        encoder.forget()
+        encoder.merges, encoder.CALL, encoder.ending = Counted(), call, ending
+        assert encoder.encode([text, "", text])[0].tolist() == want * 2
+    assert encoder.plain and len(calls) == 1 + 3
+
+
+def test_a_worker_keeps_its_encoder(library, tmp_path):
+    own = tmp_path / "vocabulary.json"
+    with open(vocabulary(PATH), "rb") as f:
+        own.write_bytes(f.read())
+    first = token_files.kept_encoder(str(own))
+    first.encode(["words that stay known"])
+    again = token_files.kept_encoder(str(own))
+    assert again is first and b"known" in again.words
+    own.write_bytes(own.read_bytes() + b"\n")
+    assert token_files.kept_encoder(str(own)) is not first
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_files_hold_all_ids_in_order(spark, docs, library, tmp_path, encoding):
     target = str(tmp_path / "tokens")
